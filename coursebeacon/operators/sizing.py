@@ -1,0 +1,18 @@
+"""Joins against small dimensions, with the size checked before anything is broadcast."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROW_LIMIT = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Materialise ``df`` once when it is small, so joins can broadcast it.
+
+    At most ``max_rows + 1`` rows reach the driver. A larger table comes back unchanged and
+    without a hint: the join then shuffles, and AQE splits the partitions of a hot key.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))

@@ -47,7 +47,7 @@ def class_averages(df: DataFrame, simulated_prefix: str = "sim_", metrics: list[
 def confusion_table(df: DataFrame) -> DataFrame:
     """Actual against predicted label, absent combinations as 0."""
     return (
-        df.groupBy("label").pivot("predicted_label", [0, 1]).agg(F.count("*"))
+        df.groupBy("label").pivot("predicted_label", [0, 1]).agg(F.count(F.lit(1)))
         .na.fill(0)
         .withColumnsRenamed({"0": "predicted_fail", "1": "predicted_pass"})
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursebeacon.functions.scalars import min_max
+from coursebeacon.operators.scaling import column_ranges, scaled
 from coursebeacon.schemas import MAX_WEEKS, week_columns
 
 
@@ -19,18 +19,12 @@ def prefix_means(df: DataFrame, keep: list[str], max_weeks: int = MAX_WEEKS) ->
 def proxy_scores(df: DataFrame, keep: list[str], max_weeks: int = MAX_WEEKS) -> DataFrame:
     """Long table (keep, week, score) for all prefixes at once.
 
-    The 2 x weeks extremes come from one global aggregate, read back as a scalar subquery; the
-    learners are not shuffled.
+    The extremes of each prefix come from one global aggregate; learners are not shuffled.
     """
     means = prefix_means(df, keep, max_weeks)
-    ranges = means.agg(
-        F.array(*[F.struct(F.min(f"m{t}").alias("lo"), F.max(f"m{t}").alias("hi"))
-                  for t in range(max_weeks)]).alias("ranges")
-    )
-    ranged = means.withColumn("_r", ranges.scalar())
-    entries = [
-        F.struct(F.lit(t).alias("week"),
-                 min_max(f"m{t}", F.col("_r")[t]["lo"], F.col("_r")[t]["hi"]).alias("score"))
-        for t in range(max_weeks)
-    ]
-    return ranged.select(*keep, F.inline(F.array(*entries)))
+    names = [f"m{t}" for t in range(max_weeks)]
+    ranges = column_ranges(means, names)
+    if ranges[0][0] is None:  # no rows at all
+        ranges = [(0.0, 1.0)] * max_weeks
+    scores = F.array(*[scaled(m, lo, hi) for m, (lo, hi) in zip(names, ranges)])
+    return means.select(*keep, F.posexplode(scores).alias("week", "score"))

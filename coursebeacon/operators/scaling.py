@@ -1,14 +1,26 @@
-"""Per-week min-max scaling of the click matrix."""
+"""Per-week min-max scaling of the click matrix.
 
-from pyspark.sql import Column, DataFrame
+Fitting is one global aggregate (one row per partition is shuffled). The fitted ranges, two numbers
+per week, become literals of the scaling expressions, so scaling stays plain compiled arithmetic.
+"""
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursebeacon.functions.scalars import min_max
-from coursebeacon.schemas import MAX_WEEKS, week_columns
+from coursebeacon.schemas import MAX_WEEKS, SCALER, week_columns
+
+
+def column_ranges(df: DataFrame, columns: list[str]) -> list[tuple[float, float]]:
+    """(min, max) of each column, from a single row."""
+    row = df.agg(*[f(c).cast("double") for c in columns for f in (F.min, F.max)]).first()
+    return [(row[2 * i], row[2 * i + 1]) for i in range(len(columns))]
 
 
-def scaler_row(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
-    """All ranges in one row: a single global aggregate, one row per partition is shuffled."""
+def scaler_table(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
+    """The fitted ranges as rows (week, min, max); a maximum of 0 counts as 1."""
     ranges = [
         F.struct(
             F.lit(k).alias("week"),
@@ -17,35 +29,48 @@ def scaler_row(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
         )
         for k, c in enumerate(week_columns(max_weeks))
     ]
-    return df.agg(F.array(*ranges).alias("ranges"))
+    return df.agg(F.array(*ranges).alias("ranges")).select(F.inline("ranges"))
 
 
-def scaler_table(row: DataFrame) -> DataFrame:
-    return row.select(F.inline("ranges"))
+@dataclass(frozen=True)
+class ClickScaler:
+    ranges: tuple[tuple[float, float], ...]
 
+    @staticmethod
+    def fit(df: DataFrame, max_weeks: int = MAX_WEEKS) -> "ClickScaler":
+        return ClickScaler.of_table(scaler_table(df, max_weeks), max_weeks)
 
-def scaler_row_of_table(table: DataFrame) -> DataFrame:
-    """Back from the stored table; its size is the number of weeks."""
-    entries = F.collect_list(F.struct("week", "min", "max"))
-    return table.agg(F.array_sort(entries).alias("ranges"))
+    @staticmethod
+    def of_table(table: DataFrame, max_weeks: int = MAX_WEEKS) -> "ClickScaler":
+        """From a stored table; a week it lacks keeps its values."""
+        rows = {r["week"]: (r["min"], r["max"]) for r in
+                table.filter(F.col("week") < max_weeks).limit(max_weeks).collect()}
+        ranges = [rows.get(k, (0.0, 1.0)) for k in range(max_weeks)]
+        return ClickScaler(tuple((0.0 if lo is None else lo, 1.0 if hi is None else hi) for lo, hi in ranges))
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            c: scaled(c, lo, hi) for c, (lo, hi) in zip(week_columns(len(self.ranges)), self.ranges)
+        })
 
-def scale_weeks(df: DataFrame, scaler: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
-    """Scale the weekly columns by a one-row scaler, read as a scalar subquery (no join)."""
-    with_ranges = df.withColumn("_ranges", scaler.scalar())
-    ranges = F.col("_ranges")
-    return with_ranges.withColumns(
-        {
-            c: min_max(c, ranges[k]["min"], ranges[k]["max"])
-            for k, c in enumerate(week_columns(max_weeks))
-        }
-    ).drop("_ranges")
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(k, lo, hi) for k, (lo, hi) in enumerate(self.ranges)]
+        return spark.createDataFrame(rows, SCALER)
 
 
-def week_array(max_weeks: int = MAX_WEEKS) -> Column:
-    return F.array(*[F.col(c) for c in week_columns(max_weeks)])
+def scaled(x: Column | str, low: float, high: float) -> Column:
+    return min_max(x, F.lit(float(low)), F.lit(float(high)))
 
 
 def mask_future(df: DataFrame, t: int, max_weeks: int = MAX_WEEKS) -> DataFrame:
     """Weeks after ``t`` become 0, as if not yet observed."""
     return df.withColumns({c: F.lit(0.0) for c in week_columns(max_weeks)[t + 1:]})
+
+
+def every_prefix(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
+    """Every row once per week ``week`` with the later weeks masked."""
+    each = df.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(max_weeks - 1))))
+    return each.withColumns({
+        c: F.when(F.col("week") >= k, F.col(c)).otherwise(F.lit(0.0))
+        for k, c in enumerate(week_columns(max_weeks))
+    })

@@ -10,7 +10,7 @@ from coursebeacon.operators.enrolments import attach_labels
 from coursebeacon.operators.metric_log import best_variants, latest_per
 from coursebeacon.operators.proxy import proxy_scores
 from coursebeacon.operators.ranking import SCORE_DIGITS, by_mode, ranking_metrics, score_histogram, score_totals
-from coursebeacon.operators.scaling import scale_weeks
+from coursebeacon.operators.scaling import ClickScaler, every_prefix
 from coursebeacon.operators.thresholds import SWEEP_FIELDS, Strategy, threshold_sweep
 from coursebeacon.schemas import MAX_WEEKS
 
@@ -35,31 +35,21 @@ VARIANTS = [
 def weekly_scores(
     test: DataFrame,
     model=None,
-    scaler: DataFrame | None = None,
+    scaler: ClickScaler | None = None,
     max_weeks: int = MAX_WEEKS,
 ) -> DataFrame:
     """(student_uid, label, week, score) of the observed prefix of every week.
 
-    The weekly columns are taken as scaled already; a one-row ``scaler`` scales them (again).
-    ``model`` maps a table with masked weekly columns to one with ``prob_pass``.
+    The weekly columns are taken as scaled already; a ``scaler`` scales them (again), after the
+    weeks not yet observed were zeroed. ``model`` maps a table with such weekly columns to one with
+    ``prob_pass``.
     """
-    rows = test if scaler is None else None
     if model is None:
-        rows = rows if rows is not None else scale_weeks(test, scaler, max_weeks)
+        rows = test if scaler is None else scaler.transform(test)
         return proxy_scores(rows, ["student_uid", "label"], max_weeks)
-    prefixes = _prefixes(test, max_weeks)
-    if scaler is not None:  # weeks are zeroed before they are scaled
-        prefixes = scale_weeks(prefixes, scaler, max_weeks)
-    return model(prefixes).select("student_uid", "label", "week", F.col("prob_pass").alias("score"))
-
-
-def _prefixes(test: DataFrame, max_weeks: int) -> DataFrame:
-    """Every row once per week with the later weeks zeroed."""
-    every = test.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(max_weeks - 1))))
-    return every.withColumns({
-        f"w{k}_clicks": F.when(F.col("week") >= k, F.col(f"w{k}_clicks")).otherwise(F.lit(0.0))
-        for k in range(max_weeks)
-    })
+    prefixes = every_prefix(test, max_weeks)
+    rows = prefixes if scaler is None else scaler.transform(prefixes)
+    return model(rows).select("student_uid", "label", "week", F.col("prob_pass").alias("score"))
 
 
 def evaluate_variants(
@@ -103,7 +93,7 @@ def weekly_metrics(
     test: DataFrame,
     real: DataFrame | None = None,
     model=None,
-    scaler: DataFrame | None = None,
+    scaler: ClickScaler | None = None,
     max_weeks: int = MAX_WEEKS,
     calibration: str | None = None,
     threshold: str = "f1",

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from coursebeacon.operators.enrolments import real_labels
 from coursebeacon.operators.features import Inputs, feature_table, model_dataset
-from coursebeacon.operators.scaling import scale_weeks, scaler_row, scaler_table
+from coursebeacon.operators.scaling import ClickScaler
 from coursebeacon.operators.splitting import with_exact_split, with_split
 from coursebeacon.schemas import MAX_WEEKS
+from coursebeacon.session import staged
 
 
 @dataclass(frozen=True)
 class Prepared:
     dataset: DataFrame  # scaled weekly columns, metrics, label, split
-    scaler: DataFrame   # (week, min, max)
+    scaler: ClickScaler
 
     @property
     def train(self) -> DataFrame:
@@ -38,9 +39,12 @@ def prepare(
     exact_split: bool = False,
     max_weeks: int = MAX_WEEKS,
 ) -> Prepared:
-    """``fit_on="all"`` fits the scaler before the split, ``"train"`` on training rows only."""
+    """``fit_on="all"`` fits the scaler before the split, ``"train"`` on training rows only.
+
+    The unscaled table is written once: scaler, training and evaluation read it, not the raw logs.
+    """
     unscaled = model_dataset(feature_table(inputs, join_keys, completion, max_weeks))
-    unscaled = with_exact_split(unscaled) if exact_split else with_split(unscaled)
+    unscaled = staged(with_exact_split(unscaled) if exact_split else with_split(unscaled), "dataset")
     fit_rows = {"all": unscaled, "train": unscaled.filter(F.col("split") == "train")}[fit_on]
-    row = scaler_row(fit_rows, max_weeks)
-    return Prepared(scale_weeks(unscaled, row, max_weeks), scaler_table(row))
+    scaler = ClickScaler.fit(fit_rows, max_weeks)
+    return Prepared(scaler.transform(unscaled), scaler)

@@ -34,6 +34,11 @@ def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> Da
     return df.withColumns({c: F.round(c, digits) for c in chosen})
 
 
+def row_rounded(df: DataFrame) -> DataFrame:
+    """Values of single rows, computed alike in both engines; a coarse rounding would meet ties."""
+    return rounded(df, 9)
+
+
 def _features(spark: SparkSession, folder: str, join_keys: str = "student") -> DataFrame:
     return feature_table(relational.inputs(spark, folder), join_keys)
 
@@ -136,7 +141,7 @@ def assessment_features(spark, folder):
     i = relational.inputs(spark, folder)
     profile, keys = assessments.score_profile(i.student_assessment, i.assessments)
     owners = enrolments.enrolments(i.student_info)
-    return rounded(owners.join(profile, keys).select("student_uid", "n_submitted", "mean_score"))
+    return row_rounded(owners.join(profile, keys).select("student_uid", "n_submitted", "mean_score"))
 
 
 @query
@@ -150,17 +155,17 @@ FEATURE_COLUMNS = ["student_uid", "label", "has_clicks", "n_submitted", "mean_sc
 
 @query
 def feature_table_(spark, folder):
-    return rounded(_features(spark, folder).select(*FEATURE_COLUMNS))
+    return row_rounded(_features(spark, folder).select(*FEATURE_COLUMNS))
 
 
 @query
 def feature_table_strict(spark, folder):
-    return rounded(_features(spark, folder, "enrolment").select(*FEATURE_COLUMNS))
+    return row_rounded(_features(spark, folder, "enrolment").select(*FEATURE_COLUMNS))
 
 
 @query
 def model_dataset_(spark, folder):
-    return rounded(model_dataset(_features(spark, folder)).select(
+    return row_rounded(model_dataset(_features(spark, folder)).select(
         "student_uid", "label", "final_result", *week_columns(), "n_submitted", "mean_score",
         "total_clicks", "active_weeks", "n_assessments"))
 
@@ -175,7 +180,7 @@ def click_scaler(spark, folder):
 @query
 def scaled_weekly(spark, folder):
     scaled = _prepared(spark, folder).dataset
-    return rounded(scaled.select(
+    return (scaled.select(
         "student_uid", F.posexplode(F.array(*week_columns())).alias("week", "scaled")))
 
 
@@ -209,36 +214,36 @@ def aligned_labels(spark, folder):
 @query
 def masked_prefix(spark, folder):
     masked = scaling.mask_future(_prepared(spark, folder).test, 9)
-    return rounded(masked.select("student_uid", *week_columns()))
+    return (masked.select("student_uid", *week_columns()))
 
 
 # --- index, risk, class view -------------------------------------------------------------------------
 
 @query
 def learning_index_(spark, folder):
-    return rounded(_learners(spark, folder).select("student_uid", "learning_index"))
+    return row_rounded(_learners(spark, folder).select("student_uid", "learning_index"))
 
 
 @query
 def fallback_probability_(spark, folder):
-    return rounded(_learners(spark, folder).select(
+    return row_rounded(_learners(spark, folder).select(
         "student_uid", "prob_pass", (F.lit(1.0) - F.col("prob_pass")).alias("prob_risk")))
 
 
 @query
 def at_risk(spark, folder):
     """Flagship: the ranked at-risk list from the index alone."""
-    return rounded(warning.ranked_at_risk(warning.mark_at_risk(_features(spark, folder))))
+    return row_rounded(warning.ranked_at_risk(warning.mark_at_risk(_features(spark, folder))))
 
 
 @query
 def at_risk_predicted(spark, folder):
-    return rounded(warning.ranked_at_risk(_marked(spark, folder)))
+    return row_rounded(warning.ranked_at_risk(_marked(spark, folder)))
 
 
 @query
 def at_risk_top(spark, folder):
-    return rounded(warning.ranked_at_risk(_marked(spark, folder), 100))
+    return row_rounded(warning.ranked_at_risk(_marked(spark, folder), 100))
 
 
 @query
@@ -253,12 +258,12 @@ def class_kpis(spark, folder):
 
 @query
 def explain_at_risk(spark, folder):
-    return rounded(warning.explain_at_risk(_marked(spark, folder)))
+    return row_rounded(warning.explain_at_risk(_marked(spark, folder)))
 
 
 @query
 def advice(spark, folder):
-    return rounded(warning.advice(_marked(spark, folder)))
+    return row_rounded(warning.advice(_marked(spark, folder)))
 
 
 @query
@@ -285,7 +290,7 @@ def confusion_rates(spark, folder):
 
 @query
 def index_histogram(spark, folder):
-    return rounded(overview.histogram(_learners(spark, folder), "learning_index", "label"))
+    return row_rounded(overview.histogram(_learners(spark, folder), "learning_index", "label"))
 
 
 @query
@@ -308,7 +313,7 @@ def class_weights(spark, folder):
 def predictions_joined(spark, folder):
     learners = _learners(spark, folder)
     predictions = _predictions(learners.filter("has_clicks"))
-    return rounded(enrolments.attach_predictions(learners.drop("prob_pass"), predictions).select(
+    return row_rounded(enrolments.attach_predictions(learners.drop("prob_pass"), predictions).select(
         "student_uid", "predicted_label", "prob_pass", "prob_risk"))
 
 
@@ -442,7 +447,7 @@ def numbered_weeks(spark, folder):
 @query
 def whatif_class(spark, folder):
     simulated = whatif.class_whatif(_features(spark, folder), CLASS_SLIDERS)
-    return rounded(simulated.select(
+    return row_rounded(simulated.select(
         "student_uid", *[f"sim_{m}" for m in METRICS], "learning_index", "sim_learning_index"))
 
 
@@ -458,7 +463,7 @@ def _scenario(name: str) -> Query:
         total = F.lit(0.0)
         for c in week_columns():
             total = total + F.col(c)
-        return rounded(changed.select("student_uid", "in_cohort", *METRICS, total.alias("scaled_clicks")))
+        return row_rounded(changed.select("student_uid", "in_cohort", *METRICS, total.alias("scaled_clicks")))
     return run
 
 
@@ -491,24 +496,24 @@ def student_presets(spark, folder):
 
 @query
 def learner_whatif(spark, folder):
-    return rounded(whatif.simulate_learner(_requests(spark, folder)).select(
+    return row_rounded(whatif.simulate_learner(_requests(spark, folder)).select(
         "student_uid", "preset", "prob_pass", "predicted_label", "prob_risk", "alert"))
 
 
 @query
 def twin_delta(spark, folder):
-    return rounded(whatif.twin_delta(_requests(spark, folder), ["student_uid", "preset"]))
+    return row_rounded(whatif.twin_delta(_requests(spark, folder), ["student_uid", "preset"]))
 
 
 @query
 def weekly_trend(spark, folder):
     goal = F.col("total_clicks") * F.lit(1.25)
-    return rounded(whatif.weekly_trend(_prepared(spark, folder).test, goal, ["student_uid"]))
+    return row_rounded(whatif.weekly_trend(_prepared(spark, folder).test, goal, ["student_uid"]))
 
 
 @query
 def learner_profile(spark, folder):
-    return rounded(whatif.learner_profile(_prepared(spark, folder).dataset))
+    return (whatif.learner_profile(_prepared(spark, folder).dataset))
 
 
 # --- blending ---------------------------------------------------------------------------------------------
@@ -528,7 +533,7 @@ def blend_search(spark, folder):
 def blend_predictions(spark, folder):
     real, first, second = _blend_inputs(spark, folder)
     best = blending.best_weight(blending.blend_search(blending.common_predictions(real, first, second)))
-    return rounded(blending.apply_blend(first, second, best))
+    return row_rounded(blending.apply_blend(first, second, best))
 
 
 # functions whose plain name is taken by the operator they call

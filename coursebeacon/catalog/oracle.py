@@ -26,6 +26,11 @@ def r(x, digits=6) -> str:
     return f"round({x}, {digits})"
 
 
+def r9(x) -> str:
+    """For values of single rows: both engines compute them alike, only ties of a coarser rounding differ."""
+    return r(x, 9)
+
+
 def _each(template: str, sep: str = ", ") -> str:
     return sep.join(template.replace("#", str(k)) for k in W)
 
@@ -260,8 +265,8 @@ def q(ctes: list[str], body: str) -> str:
     return "with " + ",".join(c.strip() for c in ctes) + "\n" + body.strip()
 
 
-def rounded(columns) -> str:
-    return ", ".join(f"{r(c)} as {c}" for c in columns)
+def rounded(columns, digits=6) -> str:
+    return ", ".join(f"{r(c, digits)} as {c}" for c in columns)
 
 
 def _metrics_of(mode: str, strategy: str, parameter) -> str:
@@ -322,7 +327,7 @@ def _scenario_sql(s, aggregate: bool) -> str:
         from scaled where split = 'test'"""
     total_weeks = " + ".join(weeks[f"w{k}"] for k in W)
     return f"""select student_uid, {inside} as in_cohort,
-      {", ".join(f"{r(e)} as {m}" for m, e in cols.items())}, {r(total_weeks)} as scaled_clicks
+      {", ".join(f"{r9(e)} as {m}" for m, e in cols.items())}, {r9(total_weeks)} as scaled_clicks
     from scaled where split = 'test'"""
 
 
@@ -384,23 +389,23 @@ def statements() -> dict[str, str]:
     out["label_enrolment"] = q([RAW], """
       select student_uid, id_student, code_module, code_presentation, final_result, cast(label as integer) as label from enrol""")
     out["distinct_learners"] = q([RAW], "select distinct id_student from student_info")
-    out["assessment_features"] = q([RAW, WEEKLY], f"select student_uid, n_submitted, {r('mean_score')} as mean_score from scores")
+    out["assessment_features"] = q([RAW, WEEKLY], f"select student_uid, n_submitted, {r9('mean_score')} as mean_score from scores")
     out["course_totals"] = q([RAW], "select code_module, code_presentation, n_assessments from course_totals")
     feature = f"""select student_uid, cast(label as integer) as label, has_clicks, n_submitted,
-      {r("mean_score")} as mean_score, total_clicks, active_weeks, n_assessments, {r("completion")} as completion
+      {r9("mean_score")} as mean_score, total_clicks, active_weeks, n_assessments, {r9("completion")} as completion
       from features"""
     out["feature_table"] = q(DATASET, feature)
     out["feature_table_strict"] = q([RAW, WEEKLY_STRICT, FEATURES], feature)
     out["model_dataset"] = q(DATASET, f"""
       select student_uid, cast(label as integer) as label, final_result, {_each("w# as w#_clicks")}, n_submitted,
-        {r("mean_score")} as mean_score, total_clicks, active_weeks, n_assessments
+        {r9("mean_score")} as mean_score, total_clicks, active_weeks, n_assessments
       from features where has_clicks""")
 
     # scaling and split
     out["click_scaler"] = q(TEST, " union all ".join(
         f"select {k} as week, {d(f'lo{k}')} as min, {d(f'hi{k}')} as max from ranges" for k in W))
     out["scaled_weekly"] = q(TEST, " union all ".join(
-        f"select student_uid, {k} as week, {r(f'w{k}')} as scaled from scaled" for k in W))
+        f"select student_uid, {k} as week, w{k} as scaled from scaled" for k in W))
     out["split_sizes"] = q(TEST, "select split, cast(count(*) as bigint) as n_rows from scaled group by split")
     out["split_members"] = q(TEST, "select student_uid, split from scaled")
     out["exact_split"] = q(TEST, f"""
@@ -414,20 +419,20 @@ def statements() -> dict[str, str]:
       select s.student_uid, cast(coalesce(t.label, 0) as integer) as label
       from scaled s left join (select student_uid, label from scaled where split = 'test') t using (student_uid)""")
     out["masked_prefix"] = q(TEST, f"""
-      select student_uid, {", ".join((r(f"w{k}") if k <= 9 else d(0)) + f" as w{k}_clicks" for k in W)}
+      select student_uid, {", ".join((f"w{k}" if k <= 9 else d(0)) + f" as w{k}_clicks" for k in W)}
       from scaled where split = 'test'""")
 
     # index, risk, class view
-    out["learning_index"] = q(LEARNER, f"select student_uid, {r('learning_index')} as learning_index from learners")
+    out["learning_index"] = q(LEARNER, f"select student_uid, {r9('learning_index')} as learning_index from learners")
     out["fallback_probability"] = q(LEARNER, f"""
-      select student_uid, {r("prob_pass")} as prob_pass, {r("1 - prob_pass")} as prob_risk from learners""")
-    risk_list = f"""student_uid, {r("mean_score")} as mean_score, {r("completion")} as completion, n_submitted,
-      total_clicks, active_weeks, {r("learning_index")} as learning_index"""
+      select student_uid, {r9("prob_pass")} as prob_pass, {r9("1 - prob_pass")} as prob_risk from learners""")
+    risk_list = f"""student_uid, {r9("mean_score")} as mean_score, {r9("completion")} as completion, n_submitted,
+      total_clicks, active_weeks, {r9("learning_index")} as learning_index"""
     out["at_risk"] = q(LEARNER, f"select {risk_list} from learners where learning_index < 50")
     out["at_risk_predicted"] = q([*LEARNER, MARKED], f"""
-      select {risk_list}, {r("1 - prob_pass")} as prob_risk from marked where at_risk""")
+      select {risk_list}, {r9("1 - prob_pass")} as prob_risk from marked where at_risk""")
     out["at_risk_top"] = q([*LEARNER, MARKED], f"""
-      select {risk_list}, {r("1 - prob_pass")} as prob_risk from marked where at_risk
+      select {risk_list}, {r9("1 - prob_pass")} as prob_risk from marked where at_risk
       order by 1 - marked.prob_pass desc nulls last, marked.learning_index desc, student_uid limit 100""")
     out["warning_kpis"] = q([*LEARNER, MARKED], f"""
       select {r("avg(learning_index)")} as mean_index,
@@ -437,10 +442,10 @@ def statements() -> dict[str, str]:
       select cast(count(*) as bigint) as n_learners, {r("avg(label) * 100")} as pass_rate,
         {r("avg(mean_score)")} as mean_score from learners""")
     out["explain_at_risk"] = q([*LEARNER, MARKED, EXPLAINED], f"""
-      select student_uid, factor, {rounded(["value", "class_mean", "deviation_pct", "weight", "impact"])} from explained""")
+      select student_uid, factor, {rounded(["value", "class_mean", "deviation_pct", "weight", "impact"], 9)} from explained""")
     advice_case = "case factor " + " ".join(f"when '{k}' then '{v}'" for k, v in ADVICE.items()) + f" else '{DEFAULT_ADVICE}' end"
     out["advice"] = q([*LEARNER, MARKED, EXPLAINED], f"""
-      select student_uid, factor, {r("impact")} as impact, {advice_case} as advice from explained
+      select student_uid, factor, {r9("impact")} as impact, {advice_case} as advice from explained
       where impact is not null
       qualify row_number() over (partition by student_uid order by impact, position) = 1""")
     out["label_metric_means"] = q([*LEARNER, SIM], f"""
@@ -467,7 +472,7 @@ def statements() -> dict[str, str]:
       select cast(label as integer) as label,
         cast(least(floor((learning_index - lo) / ((hi - lo) / {d(30)})), 29) as integer) as bin,
         cast(count(*) as bigint) as n,
-        {r(f"any_value(lo + least(floor((learning_index - lo) / ((hi - lo) / {d(30)})), 29) * ((hi - lo) / {d(30)}))")} as bin_start
+        {r9(f"any_value(lo + least(floor((learning_index - lo) / ((hi - lo) / {d(30)})), 29) * ((hi - lo) / {d(30)}))")} as bin_start
       from learners, (select min(learning_index) as lo, max(learning_index) as hi from learners) x group by label, bin""")
     out["index_quartiles"] = q(LEARNER, "select cast(label as integer) as label, cast(count(*) as bigint) as n, " + ", ".join(
         f"round(quantile_cont(round(learning_index, 6), {p}), 9) as q{int(p * 100)}" for p in (0, 0.25, 0.5, 0.75, 1))
@@ -480,8 +485,8 @@ def statements() -> dict[str, str]:
         {r(f"sum(count(*)) over () / ({d(2)} * count(*))")} as weight from scaled where split = 'train' group by label""")
     out["predictions_joined"] = q([*LEARNER, PREDICTED], f"""
       select student_uid, case when has_clicks then cast(predicted_label as integer) end as predicted_label,
-        {r("case when has_clicks then prob_pass end")} as prob_pass,
-        {r("1 - coalesce(case when has_clicks then prob_pass end, 0.5)")} as prob_risk from predicted""")
+        {r9("case when has_clicks then prob_pass end")} as prob_pass,
+        {r9("1 - coalesce(case when has_clicks then prob_pass end, 0.5)")} as prob_risk from predicted""")
 
     # weekly evaluation
     out["proxy_scores"] = q([*TEST, PROXY], f"select student_uid, week, {r('score', 9)} as score from proxy")
@@ -538,8 +543,8 @@ def statements() -> dict[str, str]:
 
     # what-if
     out["whatif_class"] = q([*LEARNER, SIM], f"""
-      select student_uid, {", ".join(f"{r(f'sim_{m}')} as sim_{m}" for m in METRICS)},
-        {r("learning_index")} as learning_index, {r("sim_learning_index")} as sim_learning_index from simx""")
+      select student_uid, {", ".join(f"{r9(f'sim_{m}')} as sim_{m}" for m in METRICS)},
+        {r9("learning_index")} as learning_index, {r9("sim_learning_index")} as sim_learning_index from simx""")
     out["simulated_pass_rate"] = q(LEARNER, f"""
       select {r("avg(label) * 100")} as pass_rate, {r(f"avg(label) * 100 + {(CLASS_SLIDERS.mean_score + CLASS_SLIDERS.completion) / 2}")} as simulated_pass_rate,
         {r(f"abs({d((CLASS_SLIDERS.mean_score + CLASS_SLIDERS.completion) / 2)})")} as twin_gap from learners""")
@@ -550,23 +555,23 @@ def statements() -> dict[str, str]:
       select student_uid, preset, {", ".join(f"in_{m}" for m in METRICS)} from requests""")
     simulated = fallback_sql(_given)
     out["learner_whatif"] = q([*TEST, REQUESTS], f"""
-      select student_uid, preset, {r("p")} as prob_pass, case when p > 0.5 then 1 else 0 end as predicted_label,
-        {r("1 - p")} as prob_risk, 1 - p >= 0.94 as alert
+      select student_uid, preset, {r9("p")} as prob_pass, case when p > 0.5 then 1 else 0 end as predicted_label,
+        {r9("1 - p")} as prob_risk, 1 - p >= 0.94 as alert
       from (select *, {simulated} as p from requests) x""")
     rows = []
     for m in METRICS:
         real = f"(coalesce({d(m)}, 0) / {d(FULL_SCALE[m])})"
         sim = f"({d(_given[m])} / {d(FULL_SCALE[m])})"
-        rows.append(f"""select student_uid, preset, '{m}' as metric, {r(f"{real} * 100")} as real_pct,
-          {r(f"{sim} * 100")} as simulated_pct, {r(f"({sim} - {real}) * 100")} as delta_pct from requests""")
+        rows.append(f"""select student_uid, preset, '{m}' as metric, {r9(f"{real} * 100")} as real_pct,
+          {r9(f"{sim} * 100")} as simulated_pct, {r9(f"({sim} - {real}) * 100")} as delta_pct from requests""")
     out["twin_delta"] = q([*TEST, REQUESTS], " union all ".join(rows))
     out["weekly_trend"] = q(TEST, " union all ".join(
-        f"""select student_uid, {k + 1} as week, {r(f"w{k}")} as real_clicks,
-          {r(f"w{k} * (total_clicks * {d(1.25)} / greatest({d('total_clicks')}, 1))")} as simulated_clicks
+        f"""select student_uid, {k + 1} as week, w{k} as real_clicks,
+          {r9(f"w{k} * (total_clicks * {d(1.25)} / greatest({d('total_clicks')}, 1))")} as simulated_clicks
         from scaled where split = 'test'""" for k in W))
     out["learner_profile"] = q(TEST, " union all ".join(
-        [f"select student_uid, '{m}' as series, 0 as week, {r(f'coalesce({d(m)}, 0)')} as value from scaled" for m in METRICS]
-        + [f"select student_uid, 'weekly_clicks' as series, {k + 1} as week, {r(f'w{k}')} as value from scaled" for k in W]))
+        [f"select student_uid, '{m}' as series, 0 as week, coalesce({d(m)}, 0) as value from scaled" for m in METRICS]
+        + [f"select student_uid, 'weekly_clicks' as series, {k + 1} as week, w{k} as value from scaled" for k in W]))
 
     # blending
     blend_ctes = [*LEARNER, PREDICTED, f"""
@@ -584,7 +589,7 @@ def statements() -> dict[str, str]:
     out["blend_search"] = q(blend_ctes, f"""
       select ordinal, weight, {rounded(["auc_pr", "auc_roc", "f1", "model_score"])} from blended""")
     out["blend_predictions"] = q(blend_ctes, f"""
-      select student_uid, case when p >= 0.5 then 1 else 0 end as predicted_label, {r("p")} as prob_pass
+      select student_uid, case when p >= 0.5 then 1 else 0 end as predicted_label, {r9("p")} as prob_pass
       from (select student_uid, weight * prob_pass + ({d(1)} - weight) * prob_b as p
             from predicted, (select weight from blended order by model_score desc, ordinal limit 1) b) x""")
     out.update(_stream_statements())

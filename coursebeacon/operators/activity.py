@@ -63,7 +63,7 @@ def click_profile(weeks: DataFrame, keys: list[str], max_weeks: int = MAX_WEEKS)
     Weeks past the matrix are cut from it but still count in the two totals.
     """
     dense = [
-        F.coalesce(F.sum(F.when(F.col("week_idx") == k, F.col("sum_click"))), F.lit(0)).alias(name)
+        F.expr(f"coalesce(sum(if(week_idx = {k}, sum_click, null)), 0)").alias(name)
         for k, name in enumerate(week_columns(max_weeks))
     ]
     return weeks.groupBy(*keys).agg(

@@ -60,7 +60,7 @@ def feature_table(
     return joined.select(
         "student_uid", "id_student", *COURSE, "final_result", "label",
         F.coalesce("has_clicks", F.lit(False)).alias("has_clicks"),
-        *[F.coalesce(w, F.lit(0)).cast("double").alias(w) for w in week_columns(max_weeks)],
+        *[F.expr(f"double(coalesce({w}, 0))").alias(w) for w in week_columns(max_weeks)],
         n_submitted.alias("n_submitted"),
         F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"),
         F.coalesce("total_clicks", F.lit(0)).cast("bigint").alias("total_clicks"),

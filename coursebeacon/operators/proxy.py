@@ -9,11 +9,9 @@ from coursebeacon.schemas import MAX_WEEKS, week_columns
 
 def prefix_means(df: DataFrame, keep: list[str], max_weeks: int = MAX_WEEKS) -> DataFrame:
     """Column ``m<t>``: mean of weeks 0..t. Plain arithmetic on the wide row, no shuffle."""
-    means, total = [], None
-    for t, name in enumerate(week_columns(max_weeks)):
-        total = F.col(name) if total is None else total + F.col(name)
-        means.append((total / F.lit(float(t + 1))).alias(f"m{t}"))
-    return df.select(*keep, *means)
+    names = week_columns(max_weeks)
+    means = [f"({' + '.join(names[:t + 1])}) / {t + 1}D as m{t}" for t in range(max_weeks)]
+    return df.selectExpr(*keep, *means)
 
 
 def proxy_scores(df: DataFrame, keep: list[str], max_weeks: int = MAX_WEEKS) -> DataFrame:

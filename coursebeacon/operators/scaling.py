@@ -9,27 +9,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.functions.scalars import min_max
 from coursebeacon.schemas import MAX_WEEKS, SCALER, week_columns
 
 
 def column_ranges(df: DataFrame, columns: list[str]) -> list[tuple[float, float]]:
     """(min, max) of each column, from a single row."""
-    row = df.agg(*[f(c).cast("double") for c in columns for f in (F.min, F.max)]).first()
+    row = df.agg(*[F.expr(f"double({f}({c}))") for c in columns for f in ("min", "max")]).first()
     return [(row[2 * i], row[2 * i + 1]) for i in range(len(columns))]
 
 
 def scaler_table(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
     """The fitted ranges as rows (week, min, max); a maximum of 0 counts as 1."""
     ranges = [
-        F.struct(
-            F.lit(k).alias("week"),
-            F.min(c).cast("double").alias("min"),
-            F.when(F.max(c) == 0, F.lit(1.0)).otherwise(F.max(c).cast("double")).alias("max"),
-        )
+        f"struct({k} as week, double(min({c})) as min, if(max({c}) = 0, 1D, double(max({c}))) as max)"
         for k, c in enumerate(week_columns(max_weeks))
     ]
-    return df.agg(F.array(*ranges).alias("ranges")).select(F.inline("ranges"))
+    return df.agg(F.expr(f"array({', '.join(ranges)})").alias("ranges")).selectExpr("inline(ranges)")
 
 
 @dataclass(frozen=True)
@@ -58,19 +53,21 @@ class ClickScaler:
         return spark.createDataFrame(rows, SCALER)
 
 
-def scaled(x: Column | str, low: float, high: float) -> Column:
-    return min_max(x, F.lit(float(low)), F.lit(float(high)))
+def scaled(x: str, low: float, high: float) -> Column:
+    """``x`` scaled by fitted bounds; a zero range counts as 1."""
+    span = high - low if high != low else 1.0
+    return F.expr(f"({x} - {float(low)!r}D) / {float(span)!r}D")
 
 
 def mask_future(df: DataFrame, t: int, max_weeks: int = MAX_WEEKS) -> DataFrame:
     """Weeks after ``t`` become 0, as if not yet observed."""
-    return df.withColumns({c: F.lit(0.0) for c in week_columns(max_weeks)[t + 1:]})
+    return df.withColumns({c: F.expr("0D") for c in week_columns(max_weeks)[t + 1:]})
 
 
 def every_prefix(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
     """Every row once per week ``week`` with the later weeks masked."""
     each = df.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(max_weeks - 1))))
     return each.withColumns({
-        c: F.when(F.col("week") >= k, F.col(c)).otherwise(F.lit(0.0))
+        c: F.expr(f"if(week >= {k}, {c}, 0D)")
         for k, c in enumerate(week_columns(max_weeks))
     })

@@ -13,8 +13,20 @@ from coursebeacon.operators.features import Inputs
 SUPPLIER_OFFSET = 1_000_000_000
 
 
+# Only the columns used; with the schema given, reading starts no job to infer it.
+TABLES = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE, "
+                "l_returnflag STRING, l_shipdate TIMESTAMP_NTZ",
+    "part": "p_partkey BIGINT, p_size INT",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
+
+
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
 def _order_course(orders: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Doubles are rounded after the last operation, because the two engines add in dif
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,14 @@ from coursebeacon.functions.scalars import label_at
 from coursebeacon.operators import activity, assessments, blending, enrolments, metric_log, overview
 from coursebeacon.operators import ranking, scaling, scenario, splitting, thresholds, warning, whatif
 from coursebeacon.operators.features import feature_table, model_dataset
-from coursebeacon.plans import evaluate
+from coursebeacon.operators.sizing import small_side
+from coursebeacon.plans import evaluate, train
 from coursebeacon.plans.prepare import Prepared, prepare
-from coursebeacon.schemas import METRICS, week_columns
+from coursebeacon.schemas import METRICS, STATUS, week_columns
+from coursebeacon.session import staged, work_path
 from coursebeacon.sources import relational
+from coursebeacon.streaming import activity as stream_activity
+from coursebeacon.streaming import runner, twin
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,7 +98,7 @@ def course_calendar(spark, folder):
 @query
 def week_index(spark, folder):
     i = relational.inputs(spark, folder)
-    calendar = activity.small_side(activity.course_calendar(i.student_vle, i.student_info))
+    calendar = small_side(activity.course_calendar(i.student_vle, i.student_info))
     return activity.with_week_index(i.student_vle, calendar).groupBy(
         "code_module", "code_presentation", "week_idx"
     ).agg(F.count("*").alias("n_rows"), F.sum("sum_click").alias("sum_click"))
@@ -180,8 +186,7 @@ def click_scaler(spark, folder):
 @query
 def scaled_weekly(spark, folder):
     scaled = _prepared(spark, folder).dataset
-    return (scaled.select(
-        "student_uid", F.posexplode(F.array(*week_columns())).alias("week", "scaled")))
+    return scaled.select("student_uid", F.posexplode(F.array(*week_columns())).alias("week", "scaled"))
 
 
 @query
@@ -214,7 +219,7 @@ def aligned_labels(spark, folder):
 @query
 def masked_prefix(spark, folder):
     masked = scaling.mask_future(_prepared(spark, folder).test, 9)
-    return (masked.select("student_uid", *week_columns()))
+    return masked.select("student_uid", *week_columns())
 
 
 # --- index, risk, class view -------------------------------------------------------------------------
@@ -508,12 +513,12 @@ def twin_delta(spark, folder):
 @query
 def weekly_trend(spark, folder):
     goal = F.col("total_clicks") * F.lit(1.25)
-    return row_rounded(whatif.weekly_trend(_prepared(spark, folder).test, goal, ["student_uid"]))
+    return whatif.weekly_trend(_prepared(spark, folder).test, goal, ["student_uid"])
 
 
 @query
 def learner_profile(spark, folder):
-    return (whatif.learner_profile(_prepared(spark, folder).dataset))
+    return whatif.learner_profile(_prepared(spark, folder).dataset)
 
 
 # --- blending ---------------------------------------------------------------------------------------------
@@ -536,6 +541,131 @@ def blend_predictions(spark, folder):
     return row_rounded(blending.apply_blend(first, second, best))
 
 
+# --- models -------------------------------------------------------------------------------------------------
+
+def _model_quality(train_one: Callable) -> Query:
+    def run(spark, folder):
+        p = _prepared(spark, folder)
+        _, score = train_one(p.train)
+        return rounded(train.quality(score(p.test)))
+    return run
+
+
+QUERIES["train_gbt"] = _model_quality(train.train_boosting)
+QUERIES["train_sequence"] = _model_quality(train.train_sequence)
+QUERIES["train_aggregate"] = _model_quality(train.train_aggregate)
+
+
+@query
+def train_baselines(spark, folder):
+    p = _prepared(spark, folder)
+    fitted = train.train_baselines(p.train)
+    runs = {name: train.quality(score(p.test)) for name, score in fitted.items()}
+    return rounded(metric_log.union_runs(runs))
+
+
+@query
+def tune(spark, folder):
+    """Score of every configuration of a logistic grid."""
+    estimator = LogisticRegression(labelCol="label", weightCol="class_weight")
+    grid = (ParamGridBuilder().addGrid(estimator.regParam, [0.0, 0.01, 0.1])
+            .addGrid(estimator.elasticNetParam, [0.0, 0.5]).build())
+    _, scores = train.tune(_prepared(spark, folder).train, estimator, grid)
+    rows = [(i, float(m[estimator.regParam]), float(m[estimator.elasticNetParam]), float(v))
+            for i, (m, v) in enumerate(zip(grid, scores))]
+    return rounded(spark.createDataFrame(
+        rows, "ordinal int, reg_param double, elastic_net double, model_score double"))
+
+
+@query
+def calibrate_platt(spark, folder):
+    return rounded(evaluate.weekly_metrics(_prepared(spark, folder).test, calibration="platt"))
+
+
+@query
+def calibrate_isotonic(spark, folder):
+    return rounded(evaluate.weekly_metrics(_prepared(spark, folder).test, calibration="isotonic", mode="risk"))
+
+
+@query
+def weekly_metrics_model(spark, folder):
+    """Weekly evaluation of a trained model on masked prefixes."""
+    p = _prepared(spark, folder)
+    _, score = train.train_sequence(p.train)
+    return rounded(evaluate.weekly_metrics(p.test, model=score))
+
+
+# --- streams ------------------------------------------------------------------------------------------------
+
+@query
+def stream_weekly(spark, folder):
+    events = twin.watch_table(spark, folder, relational.TABLES["events"], pattern="events*.parquet")
+    out = work_path(spark, "weekly-events")
+    runner.run_available(spark, stream_activity.weekly_events(events), runner.batch_table(out), "update")
+    final = runner.newest(runner.read_batches(spark, out), ["user_id", "event_type", "week_start"])
+    return rounded(final.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd")))
+
+
+def _test_stream(spark, folder):
+    test = staged(_prepared(spark, folder).test, "test")
+    path = test.inputFiles()[0].rsplit("/", 1)[0]
+    return twin.watch_table(spark, path, test.schema)
+
+
+@query
+def stream_rescore(spark, folder):
+    out = work_path(spark, "predictions")
+    runner.run_available(spark, twin.rescore(_test_stream(spark, folder)), runner.batch_table(out))
+    return row_rounded(runner.newest(runner.read_batches(spark, out), ["student_uid"]))
+
+
+def _snapshots(spark, folder):
+    log, status = work_path(spark, "snapshots"), work_path(spark, "status")
+    writer = twin.snapshot_writer(log, status, scenario.scenario_named("exam_season"))
+    runner.run_available(spark, _test_stream(spark, folder), writer)
+    return log, status
+
+
+@query
+def stream_snapshot(spark, folder):
+    log, _ = _snapshots(spark, folder)
+    return rounded(runner.read_batches(spark, log).drop("timestamp", "batch_id"))
+
+
+@query
+def stream_status(spark, folder):
+    _, status = _snapshots(spark, folder)
+    documents = spark.read.schema(f"{STATUS}, batch_id BIGINT").option("basePath", status).json(status)
+    return metric_log.latest_row(documents, ["batch_id"]).select("scenario", "affected_fraction", "rows")
+
+
+@query
+def stream_alerts(spark, folder):
+    scores = staged(_scores(spark, folder).withColumn("prob_risk", F.round(F.lit(1.0) - F.col("score"), 9)), "scores")
+    histogram = ranking.by_mode(ranking.score_histogram(scores, ["week"]), ["risk"])
+    sweep = thresholds.threshold_sweep(histogram, ["mode", "week"])
+    picked = thresholds.select_thresholds(sweep, ["mode", "week"], thresholds.Strategy("f1"))
+    theta = small_side(picked.select("week", F.col("theta").alias("theta_t")))
+    path = scores.inputFiles()[0].rsplit("/", 1)[0]
+    out = work_path(spark, "alerts")
+    stream = twin.alerts(twin.watch_table(spark, path, scores.schema), theta)
+    runner.run_available(spark, stream, runner.batch_table(out))
+    return runner.read_batches(spark, out).select("student_uid", "week", "prob_risk", "theta_t", "alert")
+
+
+@query
+def stream_learner_weeks(spark, folder):
+    i = relational.inputs(spark, folder)
+    calendar = small_side(activity.course_calendar(i.student_vle, i.student_info))
+    clicks = staged(i.student_vle, "clicks")
+    path = clicks.inputFiles()[0].rsplit("/", 1)[0]
+    out = work_path(spark, "learner-weeks")
+    stream = stream_activity.learner_weeks(twin.watch_table(spark, path, clicks.schema), calendar)
+    runner.run_available(spark, stream, runner.batch_table(out), "update")
+    parts = runner.newest(runner.read_batches(spark, out), ["id_student", "week_idx", "span_start"])
+    return stream_activity.total_per_week(parts)
+
+
 # functions whose plain name is taken by the operator they call
 for _name in ("feature_table_", "model_dataset_", "learning_index_", "fallback_probability_"):
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)

@@ -567,7 +567,7 @@ def statements() -> dict[str, str]:
     out["twin_delta"] = q([*TEST, REQUESTS], " union all ".join(rows))
     out["weekly_trend"] = q(TEST, " union all ".join(
         f"""select student_uid, {k + 1} as week, w{k} as real_clicks,
-          {r9(f"w{k} * (total_clicks * {d(1.25)} / greatest({d('total_clicks')}, 1))")} as simulated_clicks
+          w{k} * (total_clicks * {d(1.25)} / greatest({d('total_clicks')}, 1)) as simulated_clicks
         from scaled where split = 'test'""" for k in W))
     out["learner_profile"] = q(TEST, " union all ".join(
         [f"select student_uid, '{m}' as series, 0 as week, coalesce({d(m)}, 0) as value from scaled" for m in METRICS]
@@ -597,14 +597,30 @@ def statements() -> dict[str, str]:
 
 
 def _stream_statements() -> dict[str, str]:
-    weekly = f"""
+    """The batch results the streams must end up with."""
+    weekly = """
     events_weekly as materialized (
       select user_id, event_type, time_bucket(interval '7 days', ts, timestamp '1970-01-01 00:00:00') as start,
         count(*) as n, sum(value) as total from events group by all)"""
+    exam = next(s for s in SCENARIOS if s.name == "exam_season")
+    theta = chosen("f1", None, "risk")
     return {
         "stream_weekly": q([weekly], f"""
           select user_id, event_type, strftime(start, '%Y-%m-%d') as week_start, cast(n as bigint) as n_events,
             {r("total")} as total_value from events_weekly"""),
-        "stream_snapshot": q([], "") if False else f"""
-          select event_type, cast(count(*) as bigint) as n_events, {r("avg(value)")} as mean_value from events group by event_type""",
+        "stream_rescore": q([*TEST], f"""
+          select student_uid, case when p > 0.5 then 1 else 0 end as predicted_label, {r9("p")} as prob_pass
+          from (select student_uid, {fallback_sql({m: m for m in METRICS})} as p from scaled where split = 'test') x"""),
+        "stream_snapshot": q(TEST, _scenario_sql(exam, aggregate=True)),
+        "stream_status": q(TEST, f"""
+          select '{exam.name}' as scenario, {d(exam.fraction)} as affected_fraction, cast(count(*) as bigint) as rows
+          from scaled where split = 'test'"""),
+        "stream_alerts": q(SWEPT, f"""
+          select student_uid, week, {r9("1 - score")} as prob_risk, theta as theta_t,
+            round(1 - score, 9) >= theta as alert
+          from proxy join {theta} c using (week)"""),
+        "stream_learner_weeks": q([RAW], f"""
+          select v.id_student, cast(floor((v.date - c.min_date) / {d(7)}) as integer) as week_idx,
+            cast(sum(v.sum_click) as bigint) as sum_click
+          from known_vle v join calendar c using (code_module, code_presentation) group by all"""),
     }

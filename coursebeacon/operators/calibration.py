@@ -4,6 +4,7 @@ The fits run on weighted distinct scores of the calibration share. Only fitted p
 the driver; the rows are calibrated in place.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -18,6 +19,7 @@ from coursebeacon.operators.ranking import SCORE_DIGITS, enough_of_both, score_h
 
 CALIBRATION_FRACTION = 0.3
 CALIBRATION_SEED = "calibration-42"
+PARALLEL_FITS = 8
 
 
 def calibration_points(scored: DataFrame, digits: int = SCORE_DIGITS,
@@ -33,9 +35,10 @@ def calibration_points(scored: DataFrame, digits: int = SCORE_DIGITS,
     return counts.select("week", p.alias("score"), F.inline(classes)).filter("weight > 0")
 
 
-def fit_platt(points: DataFrame) -> tuple[float, float]:
+def fit_platt(points: DataFrame, total: float | None = None) -> tuple[float, float]:
     """(slope, intercept) of a logistic fit on the score, L2 strength 1 as a sum over the rows."""
-    total = points.agg(F.sum("weight")).first()[0]
+    if total is None:
+        total = points.agg(F.sum("weight")).first()[0]
     rows = points.withColumn("features", array_to_vector(F.array("score")))
     model = LogisticRegression(
         regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False,
@@ -44,7 +47,7 @@ def fit_platt(points: DataFrame) -> tuple[float, float]:
     return float(model.coefficients[0]), float(model.intercept)
 
 
-def fit_isotonic(points: DataFrame):
+def fit_isotonic(points: DataFrame, total: float | None = None):
     """Increasing fit; scores outside the fitted range take the end values."""
     rows = points.withColumn("features", array_to_vector(F.array("score")))
     return IsotonicRegression(weightCol="weight", labelCol="label", featuresCol="features").fit(rows)
@@ -57,15 +60,18 @@ def calibrate_weekly(scored: DataFrame, method: str, digits: int = SCORE_DIGITS)
     """
     if method not in ("platt", "isotonic"):
         raise ValueError(f"unknown calibration {method!r}")
-    usable = [r["week"] for r in enough_of_both(score_histogram(scored, ["week"], digits=digits), ["week"])
-              .filter("calibratable").select("week").orderBy("week").collect()]
+    guard = enough_of_both(score_histogram(scored, ["week"], digits=digits), ["week"])
     points = calibration_points(scored, digits).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = {}
-        for week in usable:
-            rows = points.filter(F.col("week") == week)
-            if rows.select("label").distinct().count() == 2:
-                fits[week] = (fit_platt if method == "platt" else fit_isotonic)(rows)
+        sizes = points.groupBy("week").agg(
+            F.sum("weight").alias("total"), F.count_distinct("label").alias("classes")
+        )
+        usable = guard.filter("calibratable").join(sizes.filter("classes = 2"), "week")
+        weeks = [(r["week"], r["total"]) for r in usable.select("week", "total").collect()]
+        fit = fit_platt if method == "platt" else fit_isotonic
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            fitted = pool.map(lambda w: fit(points.filter(F.col("week") == w[0]), w[1]), weeks)
+            fits = {week: model for (week, _), model in zip(weeks, fitted)}
     finally:
         points.unpersist()
     return (_apply_platt if method == "platt" else _apply_isotonic)(scored, fits)

@@ -42,7 +42,7 @@ def fit_platt(points: DataFrame, total: float | None = None) -> tuple[float, flo
     rows = points.withColumn("features", array_to_vector(F.array("score")))
     model = LogisticRegression(
         regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False,
-        maxIter=1000, tol=1e-10, weightCol="weight",
+        maxIter=1000, tol=1e-8, weightCol="weight",
     ).fit(rows)
     return float(model.coefficients[0]), float(model.intercept)
 

@@ -57,8 +57,8 @@ def weekly_clicks(vle: DataFrame, info: DataFrame, enrolled: DataFrame, join_key
     return weeks.join(owners, keys).select("student_uid", "week_idx", "sum_click")
 
 
-def click_profile(weeks: DataFrame, keys: list[str], max_weeks: int = MAX_WEEKS) -> DataFrame:
-    """Dense weekly columns plus total clicks and active weeks, one row per key.
+def click_aggregates(max_weeks: int = MAX_WEEKS) -> list:
+    """Dense weekly columns, total clicks and active weeks over rows (week_idx, sum_click).
 
     Weeks past the matrix are cut from it but still count in the two totals.
     """
@@ -66,11 +66,11 @@ def click_profile(weeks: DataFrame, keys: list[str], max_weeks: int = MAX_WEEKS)
         F.expr(f"coalesce(sum(if(week_idx = {k}, sum_click, null)), 0)").alias(name)
         for k, name in enumerate(week_columns(max_weeks))
     ]
-    return weeks.groupBy(*keys).agg(
+    return [
         *dense,
-        F.sum("sum_click").alias("total_clicks"),
+        F.coalesce(F.sum("sum_click"), F.lit(0)).alias("total_clicks"),
         F.count(F.when(F.col("sum_click") > 0, 1)).alias("active_weeks"),
-    )
+    ]
 
 
 def weekly_matrix(weekly: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:

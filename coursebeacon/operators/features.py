@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursebeacon.functions.scalars import ratio
-from coursebeacon.operators.activity import click_profile, learner_weeks
-from coursebeacon.operators.assessments import course_totals, score_profile
+from coursebeacon.operators.activity import click_aggregates, learner_weeks
+from coursebeacon.operators.assessments import course_totals, score_aggregates, score_sums
 from coursebeacon.operators.enrolments import enrolments
 from coursebeacon.operators.sizing import small_side
-from coursebeacon.schemas import COURSE, MAX_WEEKS, week_columns
+from coursebeacon.schemas import COURSE, ENROLMENT, MAX_WEEKS, week_columns
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,26 @@ class Inputs:
     student_assessment: DataFrame
 
 
+def learner_profiles(inputs: Inputs, join_keys: str, max_weeks: int) -> tuple[DataFrame, list[str]]:
+    """Clicks and scores of every key that has either: what a full outer join of both would hold.
+
+    Weekly sums and scores are put under one another and added up by one aggregate, so one shuffle
+    of map-side sums replaces two aggregates and a join. Where both sides come by different keys
+    (logs without course columns) they are joined instead.
+    """
+    weeks, click_keys = learner_weeks(inputs.student_vle, inputs.student_info, join_keys)
+    scores, score_keys = score_sums(inputs.student_assessment, inputs.assessments, join_keys)
+    has_clicks = (F.count("week_idx") > 0).alias("has_clicks")
+    clicked = [*click_aggregates(max_weeks), has_clicks]
+    if click_keys == score_keys:
+        both = weeks.unionByName(scores, allowMissingColumns=True)
+        return both.groupBy(*click_keys).agg(*clicked, *score_aggregates()), click_keys
+    owners = inputs.student_info.select(*ENROLMENT).distinct()
+    by_learner = scores.groupBy(*score_keys).agg(*score_aggregates())
+    by_course = weeks.groupBy(*click_keys).agg(*clicked)
+    return owners.join(by_learner, score_keys).join(by_course, ENROLMENT, "full_outer"), ENROLMENT
+
+
 def feature_table(
     inputs: Inputs,
     join_keys: str = "student",
@@ -30,23 +50,12 @@ def feature_table(
     """Every enrolment with clicks or scores: weekly columns and the aggregate metrics.
 
     ``join_keys="student"`` counts all of a learner's activity for each enrolment, ``"enrolment"``
-    only that of the course. ``completion="absent"`` leaves the ratio at 0. The profiles are left
-    joined to the enrolments on the key both sides are already partitioned by; keeping the rows
-    where either matched gives what a full outer join of the profiles would.
+    only that of the course. ``completion="absent"`` leaves the ratio at 0. Enrolments meet finished
+    profiles, one row per key, in a single join that AQE can split where a key is hot.
     """
-    weeks, click_keys = learner_weeks(inputs.student_vle, inputs.student_info, join_keys)
-    clicks = click_profile(weeks, click_keys, max_weeks).withColumn("has_clicks", F.lit(True))
-    scores, score_keys = score_profile(inputs.student_assessment, inputs.assessments, join_keys)
-    scores = scores.withColumn("has_scores", F.lit(True))
+    profiles, keys = learner_profiles(inputs, join_keys, max_weeks)
     totals = small_side(course_totals(inputs.assessments))
-
-    joined = (
-        enrolments(inputs.student_info)
-        .join(clicks, click_keys, "left")
-        .join(scores, score_keys, "left")
-        .filter(F.col("has_clicks") | F.col("has_scores"))
-        .join(totals, COURSE, "left")
-    )
+    joined = enrolments(inputs.student_info).join(profiles, keys).join(totals, COURSE, "left")
     n_submitted = F.coalesce("n_submitted", F.lit(0)).cast("bigint")
     n_assessments = F.coalesce("n_assessments", F.lit(0)).cast("bigint")
     if completion == "ratio":

@@ -16,6 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from coursebeacon.functions.scalars import hash_below
 from coursebeacon.operators.ranking import SCORE_DIGITS, enough_of_both, score_histogram
+from coursebeacon.session import staged
 
 CALIBRATION_FRACTION = 0.3
 CALIBRATION_SEED = "calibration-42"
@@ -60,6 +61,8 @@ def calibrate_weekly(scored: DataFrame, method: str, digits: int = SCORE_DIGITS)
     """
     if method not in ("platt", "isotonic"):
         raise ValueError(f"unknown calibration {method!r}")
+    # written by week: the fits and the per-week application read their own part only
+    scored = staged(scored, "scored", ["week"])
     guard = enough_of_both(score_histogram(scored, ["week"], digits=digits), ["week"])
     points = calibration_points(scored, digits).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from coursebeacon.functions.scalars import hash_below, hash_prefix
 from coursebeacon.operators.ordered import running_totals
+from coursebeacon.operators.sizing import small_side
 
 TEST_FRACTION = 0.2
 SPLIT_SEED = 42
@@ -29,7 +30,7 @@ def with_exact_split(df: DataFrame, fraction: float = TEST_FRACTION, seed: int =
     counts = hashed.groupBy(label, "_h").agg(F.count("*").alias("_n"))
     running = running_totals(counts, [label], "_h", ["_n"], bucket_width=2**16)
     sizes = df.groupBy(label).agg(F.round(F.count("*") * F.lit(float(fraction))).alias("_quota"))
-    marked = running.join(F.broadcast(sizes), label).withColumn("_before", F.col("cum__n") - F.col("_n"))
+    marked = running.join(small_side(sizes), label).withColumn("_before", F.col("cum__n") - F.col("_n"))
     cuts = marked.select(label, "_h", F.greatest(F.lit(0), F.col("_quota") - F.col("_before")).alias("_take"))
     # rows sharing one hash value are collisions of a 32-bit hash, told apart by their key
     place = F.row_number().over(Window.partitionBy(label, "_h").orderBy(key))

@@ -45,12 +45,12 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     For a result that is read more than once: the plan behind it is not run again, and a lost
     executor costs nothing but the tasks it was running.
     """
     path = work_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

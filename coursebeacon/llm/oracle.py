@@ -79,3 +79,34 @@ SELECT page_id, host, path, rule,
        WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM v
 """
+
+STATEMENTS["op2_benchmark_decontamination"] = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size,
+         array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS run
+  FROM iw, unnest(range(1, greatest(len(w) - 10 + 2, 2))) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM win),
+place AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS run
+  FROM dw, sizes, unnest(range(1, len(w) - size + 2)) AS u(i)),
+hit AS (SELECT doc_id, i, place.size, item FROM place JOIN win ON win.run = place.run AND win.size = place.size),
+word AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, size)) AS u(k) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+  FROM hit GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

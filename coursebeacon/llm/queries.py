@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import exact_dedup, license_scan, url_reputation
+from coursebeacon.llm import decontamination, exact_dedup, license_scan, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,18 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return result.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, table(spark, folder, "benchmark"))
+    hits = F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        "doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )
+
+
 @query
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """A label's id names the page; a page of low quality or a toxic one is bad."""

@@ -5,8 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import decontamination, exact_dedup, license_scan, url_reputation
+from coursebeacon.llm import decontamination, exact_dedup, license_scan, simhash, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
+from coursebeacon.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +77,16 @@ def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    prints = staged(simhash.with_fingerprint(docs).drop("text"), "simhash-documents")
+    found = simhash.linked(prints)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

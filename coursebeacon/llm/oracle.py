@@ -110,3 +110,19 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+STATEMENTS["op10_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS run
+  FROM d, unnest(range(1, len(w) - 20 + 2)) AS u(i)),
+rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM win)
+  WHERE nth > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS g FROM rep, unnest(range(0, 20)) AS u(k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string([w[j] FOR j IN range(1, len(w) + 1) IF NOT list_contains(coalesce(g, []), j)], ' '), ''))
+    AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import decontamination, exact_dedup, license_scan, simhash, url_reputation
+from coursebeacon.llm import decontamination, exact_dedup, license_scan, simhash, substring_dedup, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
 from coursebeacon.session import staged
 
@@ -87,6 +87,13 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = substring_dedup.substring_dedup(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

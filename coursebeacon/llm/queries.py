@@ -5,13 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import decontamination, exact_dedup, license_scan, simhash, substring_dedup, url_reputation
+from coursebeacon.llm import decontamination, exact_dedup, license_scan, mixing, simhash, substring_dedup, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
 from coursebeacon.session import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+MIX_WEIGHTS = (3, 1, 2)
 LICENSE_PHRASES = {
     "under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc",
 }
@@ -77,6 +78,13 @@ def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    mixed = mixing.mix(staged(docs, "mix-sizes"), MIX_WEIGHTS, size_col="size")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -2,10 +2,12 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import decontamination, exact_dedup, license_scan, mixing, simhash, substring_dedup, url_reputation
+from coursebeacon.llm import decontamination, exact_dedup, license_scan, mixing, simhash, substring_dedup, token_counts
+from coursebeacon.llm import token_files, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
 from coursebeacon.session import staged
 
@@ -13,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 MIX_WEIGHTS = (3, 1, 2)
+END_ID, TOKEN_LIMIT = 2, 2048
 LICENSE_PHRASES = {
     "under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc",
 }
@@ -95,6 +98,19 @@ def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_files.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import decontamination, exact_dedup, license_scan, mixing, simhash, substring_dedup, token_counts
+from coursebeacon.llm import decontamination, exact_dedup, language_id, license_scan, mixing, simhash, substring_dedup, token_counts
 from coursebeacon.llm import token_files, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
 from coursebeacon.session import staged
@@ -88,6 +88,14 @@ def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs.drop("lang"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

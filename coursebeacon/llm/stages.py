@@ -1,23 +1,47 @@
-"""The stages of the corpus pipeline: documents in, documents out."""
+"""The stages of the corpus pipeline: documents in, documents out, and token files at the end.
 
+Each stage calls one operator and lets its decisions take effect. All but the last return the
+columns of documents.
+"""
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coursebeacon.llm import decontamination, language_id, mixing, simhash, token_files
+
+MIX_WEIGHTS = (3, 1, 2)
+END_ID = 2
 
 
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents without a recognisable language go: null texts and those without a letter."""
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    if not model.families:  # no labelled document to learn from
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(docs, model, out="_lang", score="_score")
+    return found.filter(F.col("_lang") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    found = simhash.near_duplicates(docs)
+    return found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that contain a window of a benchmark text go."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.size("word_spans") == 0).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """A document's text becomes the blocks that the mix takes of it, repeats included."""
+    mixed = mixing.mix(docs, MIX_WEIGHTS).filter("taken > 0")
+    mixed = mixed.withColumn("text", mixing.mixed_text(F.col("text"), F.col("pieces")))
+    return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def token_output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Writes what is left as token files; one row per document as read back from them."""
+    return token_files.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)

@@ -16,11 +16,10 @@ from coursebeacon.functions.scalars import label_at
 from coursebeacon.operators import activity, assessments, blending, enrolments, metric_log, overview
 from coursebeacon.operators import ranking, scaling, scenario, splitting, thresholds, warning, whatif
 from coursebeacon.operators.features import feature_table, model_dataset
-from coursebeacon.operators.sizing import small_side
 from coursebeacon.plans import evaluate, train
 from coursebeacon.plans.prepare import Prepared, prepare
 from coursebeacon.schemas import METRICS, STATUS, week_columns
-from coursebeacon.session import staged, work_path
+from coursebeacon.session import staged, staged_path, work_path
 from coursebeacon.sources import relational
 from coursebeacon.streaming import activity as stream_activity
 from coursebeacon.streaming import runner, twin
@@ -98,7 +97,7 @@ def course_calendar(spark, folder):
 @query
 def week_index(spark, folder):
     i = relational.inputs(spark, folder)
-    calendar = small_side(activity.course_calendar(i.student_vle, i.student_info))
+    calendar = activity.course_calendar(i.student_vle, i.student_info)
     return activity.with_week_index(i.student_vle, calendar).groupBy(
         "code_module", "code_presentation", "week_idx"
     ).agg(F.count("*").alias("n_rows"), F.sum("sum_click").alias("sum_click"))
@@ -288,6 +287,18 @@ def confusion(spark, folder):
     return overview.confusion_table(learners.withColumn("predicted_label", label_at("prob_pass")))
 
 
+@query
+def threshold_grid_edges(spark, folder):
+    """The sweep over scores that lie exactly on the grid."""
+    orders = relational._read(spark, folder, "orders")
+    scored = orders.select(
+        thresholds.grid_value(F.col("o_orderkey") % 101).alias("score"),
+        (F.col("o_custkey") % 2).cast("int").alias("label"), (F.col("o_orderkey") % 3).cast("int").alias("week"),
+    )
+    histogram = ranking.by_mode(ranking.score_histogram(scored, ["week"]), ["pass", "risk"])
+    return rounded(thresholds.threshold_sweep(histogram, ["mode", "week"]).drop("positives"), only=["precision", "recall", "f1"])
+
+
 @query
 def confusion_rates(spark, folder):
     return rounded(ranking.confusion_counts(_learners(spark, folder), ["code_module"], score="prob_pass"))
@@ -300,7 +311,7 @@ def index_histogram(spark, folder):
 
 @query
 def index_quartiles(spark, folder):
-    return rounded(overview.box_plot(_learners(spark, folder), "learning_index"), 9)
+    return rounded(overview.box_plot(_learners(spark, folder), "learning_index"))
 
 
 @query
@@ -480,14 +491,7 @@ for _s in scenario.SCENARIOS:
 def snapshot_means(spark, folder):
     """One snapshot row per scenario."""
     test = _prepared(spark, folder).test
-    rows = [
-        overview.snapshot_means(scenario.apply_scenario(test, s)).withColumn("scenario", F.lit(s.name))
-        for s in scenario.SCENARIOS
-    ]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return rounded(out)
+    return rounded(scenario.scenario_means(test, scenario.SCENARIOS))
 
 
 def _requests(spark, folder):
@@ -597,19 +601,29 @@ def weekly_metrics_model(spark, folder):
 
 # --- streams ------------------------------------------------------------------------------------------------
 
+def _backlog(table, order, purpose):
+    """The table written in five files, newest rows first, so that a stream meets the oldest last."""
+    path = work_path(table.sparkSession, purpose)
+    parts = staged(table.repartitionByRange(5, F.col(order).desc()).withColumn("_part", F.spark_partition_id()), purpose)
+    for part in range(5):
+        parts.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @query
 def stream_weekly(spark, folder):
-    events = twin.watch_table(spark, folder, relational.TABLES["events"], pattern="events*.parquet")
+    table = spark.read.schema(relational.TABLES["events"]).parquet(f"{folder}/events.parquet")
+    path = _backlog(table, "ts", "events")
+    events = twin.watch_table(spark, path, table.schema, files_per_trigger=1)
     out = work_path(spark, "weekly-events")
-    runner.run_available(spark, stream_activity.weekly_events(events), runner.batch_table(out), "update")
-    final = runner.newest(runner.read_batches(spark, out), ["user_id", "event_type", "week_start"])
+    runner.run_available(spark, events, runner.batch_table(out, stream_activity.weekly_events))
+    final = stream_activity.total_events(runner.read_batches(spark, out))
     return rounded(final.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd")))
 
 
 def _test_stream(spark, folder):
-    test = staged(_prepared(spark, folder).test, "test")
-    path = test.inputFiles()[0].rsplit("/", 1)[0]
-    return twin.watch_table(spark, path, test.schema)
+    test = _prepared(spark, folder).test
+    return twin.watch_table(spark, staged_path(test, "test"), test.schema)
 
 
 @query
@@ -629,7 +643,7 @@ def _snapshots(spark, folder):
 @query
 def stream_snapshot(spark, folder):
     log, _ = _snapshots(spark, folder)
-    return rounded(runner.read_batches(spark, log).drop("timestamp", "batch_id"))
+    return rounded(runner.read_batches(spark, log).drop("timestamp", "batch_id", "rows", "test_csv_mtime"))
 
 
 @query
@@ -641,29 +655,30 @@ def stream_status(spark, folder):
 
 @query
 def stream_alerts(spark, folder):
-    scores = staged(_scores(spark, folder).withColumn("prob_risk", F.round(F.lit(1.0) - F.col("score"), 9)), "scores")
+    rows = _scores(spark, folder).withColumn("prob_risk", F.lit(1.0) - F.col("score"))
+    path = staged_path(rows, "scores")
+    scores = spark.read.schema(rows.schema).parquet(path)
     histogram = ranking.by_mode(ranking.score_histogram(scores, ["week"]), ["risk"])
     sweep = thresholds.threshold_sweep(histogram, ["mode", "week"])
     picked = thresholds.select_thresholds(sweep, ["mode", "week"], thresholds.Strategy("f1"))
-    theta = small_side(picked.select("week", F.col("theta").alias("theta_t")))
-    path = scores.inputFiles()[0].rsplit("/", 1)[0]
+    theta = staged(picked.select("week", F.col("theta").alias("theta_t")), "thresholds")
     out = work_path(spark, "alerts")
     stream = twin.alerts(twin.watch_table(spark, path, scores.schema), theta)
     runner.run_available(spark, stream, runner.batch_table(out))
-    return runner.read_batches(spark, out).select("student_uid", "week", "prob_risk", "theta_t", "alert")
+    found = runner.read_batches(spark, out).select("student_uid", "week", "prob_risk", "theta_t", "alert")
+    return rounded(found, 9, ["prob_risk"])
 
 
 @query
 def stream_learner_weeks(spark, folder):
     i = relational.inputs(spark, folder)
-    calendar = small_side(activity.course_calendar(i.student_vle, i.student_info))
-    clicks = staged(i.student_vle, "clicks")
-    path = clicks.inputFiles()[0].rsplit("/", 1)[0]
+    calendar = staged(activity.course_calendar(i.student_vle, i.student_info), "calendar")
+    clicks = i.student_vle.select("id_student", "code_module", "code_presentation", "date", "sum_click")
+    path = _backlog(clicks, "code_presentation", "clicks")
     out = work_path(spark, "learner-weeks")
-    stream = stream_activity.learner_weeks(twin.watch_table(spark, path, clicks.schema), calendar)
-    runner.run_available(spark, stream, runner.batch_table(out), "update")
-    parts = runner.newest(runner.read_batches(spark, out), ["id_student", "week_idx", "span_start"])
-    return stream_activity.total_per_week(parts)
+    stream = twin.watch_table(spark, path, clicks.schema, files_per_trigger=1)
+    runner.run_available(spark, stream, runner.batch_table(out, lambda b: stream_activity.learner_weeks(b, calendar)))
+    return stream_activity.total_per_week(runner.read_batches(spark, out))
 
 
 # functions whose plain name is taken by the operator they call

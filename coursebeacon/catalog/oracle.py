@@ -187,12 +187,12 @@ def histogram_ctes(source: str, groups: str, score: str = "score") -> str:
     """(groups, mode, p, pos, neg) in both modes, then running sums and per-group metrics."""
     return f"""
 points as materialized (
-  select {groups}, cast(round({score} * 1e9) as bigint) as key, label from {source}),
+  select {groups}, {score} as score, coalesce(label, 0) as label from {source}),
 hist as materialized (
-  select {groups}, 'pass' as mode, {d("key")} / 1e9 as p, sum(label) as pos, sum(1 - label) as neg
+  select {groups}, 'pass' as mode, score as p, sum(label) as pos, sum(1 - label) as neg
   from points group by all
   union all
-  select {groups}, 'risk' as mode, {d("(1000000000 - key)")} / 1e9 as p, sum(1 - label) as pos, sum(label) as neg
+  select {groups}, 'risk' as mode, 1 - score as p, sum(1 - label) as pos, sum(label) as neg
   from points group by all),
 running as materialized (
   select *, sum(pos) over w as cum_pos, sum(neg) over w as cum_neg from hist
@@ -475,7 +475,7 @@ def statements() -> dict[str, str]:
         {r9(f"any_value(lo + least(floor((learning_index - lo) / ((hi - lo) / {d(30)})), 29) * ((hi - lo) / {d(30)}))")} as bin_start
       from learners, (select min(learning_index) as lo, max(learning_index) as hi from learners) x group by label, bin""")
     out["index_quartiles"] = q(LEARNER, "select cast(label as integer) as label, cast(count(*) as bigint) as n, " + ", ".join(
-        f"round(quantile_cont(round(learning_index, 6), {p}), 9) as q{int(p * 100)}" for p in (0, 0.25, 0.5, 0.75, 1))
+        f"round(quantile_cont(learning_index, {p}), 6) as q{int(p * 100)}" for p in (0, 0.25, 0.5, 0.75, 1))
         + " from learners group by label")
     out["metric_correlation"] = q(LEARNER, f"""
       select cast(label as integer) as label, cast(count(*) as bigint) as n,
@@ -495,6 +495,13 @@ def statements() -> dict[str, str]:
     out["brier_weekly"] = q(SCORED, f"""
       select mode, week, cast(positives as bigint) as positives, cast(negatives as bigint) as negatives,
         {r("brier")} as brier from totals""")
+    edges = f"""
+edges as materialized (
+  select {d("o_orderkey % 101")} * {d("0.01")} as score, cast(o_custkey % 2 as integer) as label,
+    cast(o_orderkey % 3 as integer) as week from orders)"""
+    out["threshold_grid_edges"] = q([edges, histogram_ctes("edges", "week"), SWEEP], f"""
+      select mode, week, theta_idx, theta, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
+        {rounded(["precision", "recall", "f1"])} from sweep""")
     out["threshold_sweep"] = q(SWEPT, f"""
       select mode, week, theta_idx, theta, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
         {rounded(["precision", "recall", "f1"])} from sweep""")
@@ -617,7 +624,7 @@ def _stream_statements() -> dict[str, str]:
           from scaled where split = 'test'"""),
         "stream_alerts": q(SWEPT, f"""
           select student_uid, week, {r9("1 - score")} as prob_risk, theta as theta_t,
-            round(1 - score, 9) >= theta as alert
+            1 - score >= theta as alert
           from proxy join {theta} c using (week)"""),
         "stream_learner_weeks": q([RAW], f"""
           select v.id_student, cast(floor((v.date - c.min_date) / {d(7)}) as integer) as week_idx,

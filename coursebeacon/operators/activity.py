@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from coursebeacon.functions.scalars import week_index
 from coursebeacon.operators.enrolments import known_learners
-from coursebeacon.operators.sizing import small_side
 from coursebeacon.schemas import COURSE, ENROLMENT, MAX_WEEKS, week_columns
 
 
@@ -40,7 +39,7 @@ def with_week_index(vle: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def learner_weeks(vle: DataFrame, info: DataFrame, join_keys: str = "student") -> tuple[DataFrame, list[str]]:
     """Weekly sums at the finest grain that does not depend on the enrolment, with its key."""
-    calendar = small_side(course_calendar(vle, info))
+    calendar = course_calendar(vle, info)
     clicks = F.sum("sum_click").alias("sum_click")
     if not has_course(vle):
         days = vle.groupBy("id_student", "date").agg(clicks)

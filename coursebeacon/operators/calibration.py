@@ -15,25 +15,29 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from coursebeacon.functions.scalars import hash_below
-from coursebeacon.operators.ranking import SCORE_DIGITS, enough_of_both, score_histogram
+from coursebeacon.operators.ranking import enough_of_both, score_histogram
 from coursebeacon.session import staged
 
 CALIBRATION_FRACTION = 0.3
 CALIBRATION_SEED = "calibration-42"
+# Decimals of the scores that the fits are made on; the library's isotonic fit gathers all distinct ones.
+POINT_DIGITS = 4
 PARALLEL_FITS = 8
 
 
-def calibration_points(scored: DataFrame, digits: int = SCORE_DIGITS,
+def calibration_points(scored: DataFrame, digits: int = POINT_DIGITS,
                        key: str = "student_uid") -> DataFrame:
-    """(week, score, label, weight): the calibration share as weighted distinct scores."""
+    """(week, score, label, weight): the calibration share as weighted distinct scores.
+
+    Scores are binned to ``digits`` decimals, so a week has at most 10^digits + 1 of them.
+    """
     share = scored.filter(hash_below(key, CALIBRATION_FRACTION, CALIBRATION_SEED))
     counts = score_histogram(share, ["week"], digits=digits)
     classes = F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), F.col("neg").cast("double").alias("weight")),
     )
-    p = F.col("key") / F.lit(float(10**digits))
-    return counts.select("week", p.alias("score"), F.inline(classes)).filter("weight > 0")
+    return counts.select("week", F.col("p").alias("score"), F.inline(classes)).filter("weight > 0")
 
 
 def fit_platt(points: DataFrame, total: float | None = None) -> tuple[float, float]:
@@ -54,7 +58,7 @@ def fit_isotonic(points: DataFrame, total: float | None = None):
     return IsotonicRegression(weightCol="weight", labelCol="label", featuresCol="features").fit(rows)
 
 
-def calibrate_weekly(scored: DataFrame, method: str, digits: int = SCORE_DIGITS) -> DataFrame:
+def calibrate_weekly(scored: DataFrame, method: str, digits: int = POINT_DIGITS) -> DataFrame:
     """Calibrated scores, where a week has both classes with at least five rows; else unchanged.
 
     One small fit per week (the number of weeks is fixed) on the shared, persisted points.

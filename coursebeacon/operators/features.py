@@ -9,7 +9,6 @@ from coursebeacon.functions.scalars import ratio
 from coursebeacon.operators.activity import click_aggregates, learner_weeks
 from coursebeacon.operators.assessments import course_totals, score_aggregates, score_sums
 from coursebeacon.operators.enrolments import enrolments
-from coursebeacon.operators.sizing import small_side
 from coursebeacon.schemas import COURSE, ENROLMENT, MAX_WEEKS, week_columns
 
 
@@ -54,7 +53,7 @@ def feature_table(
     profiles, one row per key, in a single join that AQE can split where a key is hot.
     """
     profiles, keys = learner_profiles(inputs, join_keys, max_weeks)
-    totals = small_side(course_totals(inputs.assessments))
+    totals = course_totals(inputs.assessments)
     joined = enrolments(inputs.student_info).join(profiles, keys).join(totals, COURSE, "left")
     n_submitted = F.coalesce("n_submitted", F.lit(0)).cast("bigint")
     n_assessments = F.coalesce("n_assessments", F.lit(0)).cast("bigint")

@@ -1,40 +1,51 @@
 """Running totals and exact quantiles over an ordered key, without a single-task sort.
 
-A window per group would put a whole group into one task. Here the key is an integer from a
-bounded range, cut into buckets: one window runs inside each bucket (at most ``bucket_width``
-distinct keys), one over the bucket totals (range / width rows), and the two are added up.
+A window per group would put a whole group into one task. Here the key is cut into buckets that keep
+its order: one window runs inside each bucket, one over the bucket totals, and the two are added up.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Buckets of quantiles per doubling of the value.
+OCTAVE = 4096
+
+
 def running_totals(
     counts: DataFrame,
     groups: list[str],
     key: str,
     measures: list[str],
-    bucket_width: int,
+    bucket: Column,
     descending: bool = False,
 ) -> DataFrame:
-    """Adds ``cum_<measure>``, the total up to and including each key; keys are unique per group."""
-    bucketed = counts.withColumn("_bucket", F.floor(F.col(key) / F.lit(float(bucket_width))))
+    """Adds ``cum_<measure>``, the total up to and including each key, and ``tied_<measure>``, that of
+    its key alone. ``bucket`` must not fall as the key rises.
+    """
+    bucketed = counts.withColumn("_bucket", bucket)
     by = [*groups, "_bucket"]
 
     def ordered(window, column):
         return window.orderBy(F.col(column).desc() if descending else F.col(column).asc())
 
-    inside = ordered(Window.partitionBy(*by), key).rowsBetween(Window.unboundedPreceding, 0)
+    keys = ordered(Window.partitionBy(*by), key)
+    inside = keys.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tied = keys.rangeBetween(Window.currentRow, Window.currentRow)
     before = ordered(Window.partitionBy(*groups), "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = bucketed.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures])
     offsets = totals.select(
         *by, *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off_{m}") for m in measures]
     )
-    local = bucketed.withColumns({f"_in_{m}": F.sum(m).over(inside) for m in measures})
+    local = bucketed.withColumns(
+        {f"_in_{m}": F.sum(m).over(inside) for m in measures}
+        | {f"tied_{m}": F.sum(m).over(tied) for m in measures}
+    )
     return local.join(offsets, by).select(
         *counts.columns,
         *[(F.col(f"_in_{m}") + F.col(f"_off_{m}")).alias(f"cum_{m}") for m in measures],
+        *[f"tied_{m}" for m in measures],
     )
 
 
@@ -43,21 +54,21 @@ def exact_quantiles(
     value: str,
     groups: list[str],
     probabilities: list[float],
-    digits: int = 6,
 ) -> DataFrame:
-    """Linearly interpolated quantiles of ``value`` rounded to ``digits``, one column per probability.
+    """Linearly interpolated quantiles of ``value``, one column per probability.
 
-    Exact on the rounded values, yet only value counts are ordered.
+    Only value counts are ordered, in buckets by sign and size of the value.
     """
-    scale = float(10**digits)
+    v = F.col("_key")
     counts = (
         df.filter(F.col(value).isNotNull())
-        .withColumn("_key", F.round(F.col(value) * scale).cast("bigint"))
+        .withColumn("_key", F.col(value).cast("double"))
         .groupBy(*groups, "_key")
         .agg(F.count("*").alias("_n"))
     )
-    running = running_totals(counts, groups, "_key", ["_n"], bucket_width=10**6)
-    sizes = counts.groupBy(*groups).agg(F.sum("_n").alias("_size"))
+    bucket = F.floor(F.signum(v) * F.log2(F.abs(v) + 1.0) * OCTAVE)
+    running = running_totals(counts, groups, "_key", ["_n"], bucket)
+    sizes = running.groupBy(*groups).agg(F.max("cum__n").alias("_size"))
     placed = running.join(sizes, groups)
     picks = []
     for i, p in enumerate(probabilities):
@@ -70,6 +81,6 @@ def exact_quantiles(
     for i, p in enumerate(probabilities):
         at = (F.col("_size") - 1) * F.lit(float(p))
         part = at - F.floor(at)
-        low, high = F.col(f"_lo{i}") / scale, F.col(f"_hi{i}") / scale
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         out.append((low + (high - low) * part).alias(f"q{int(round(p * 100))}"))
     return found.select(*groups, F.col("_size").alias("n"), *out)

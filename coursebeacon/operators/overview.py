@@ -1,11 +1,11 @@
 """Class-level summaries: KPIs, label means, averages, cross-tab, histogram, box-plot values."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursebeacon.functions.scalars import ratio
 from coursebeacon.operators.ordered import exact_quantiles
-from coursebeacon.schemas import METRICS
+from coursebeacon.schemas import METRICS, SNAPSHOT_NAMES
 
 
 def class_kpis(df: DataFrame) -> DataFrame:
@@ -78,13 +78,11 @@ def metric_correlation(df: DataFrame, x: str, y: str, by: str | None = None) ->
     return grouped.agg(F.count("*").alias("n"), F.corr(x, y).alias("correlation"))
 
 
-def snapshot_means(df: DataFrame) -> DataFrame:
+def snapshot_means(df: DataFrame, more: list[Column] | None = None) -> DataFrame:
     """Means of the five metrics as logged per cycle; an absent column counts as 0."""
-    names = {"total_clicks": "mean_click", "mean_score": "mean_score", "completion": "mean_completion",
-             "n_submitted": "mean_submits", "active_weeks": "mean_weeks"}
     return df.agg(*[
-        (F.avg(m) if m in df.columns else F.max(F.lit(0.0))).alias(out) for m, out in names.items()
-    ])
+        (F.avg(m) if m in df.columns else F.max(F.lit(0.0))).alias(out) for m, out in SNAPSHOT_NAMES.items()
+    ], *(more or []))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -5,60 +5,69 @@ and distinct score. It is built with one map-side-combined aggregate, so a score
 of all rows costs no more than any other, and pass and risk views are two readings of it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursebeacon.functions.scalars import label_at, ratio
 from coursebeacon.operators.ordered import running_totals
 
-# Scores closer than half a unit of this decimal place count as tied.
-SCORE_DIGITS = 9
+# Width of the score buckets inside which running totals are ordered.
+BUCKET_WIDTH = 2.0**-15
+
+
+def _checked(scored: DataFrame, score: str, label: str) -> Column:
+    """The score as a double; a missing score or an impossible label stops the job."""
+    value = F.col(score).cast("double")
+    bad = value.isNull() | F.isnan(value) | ~F.coalesce(F.col(label).isin(0, 1), F.lit(True))
+    return F.when(bad, F.raise_error("a score is missing, or a label is neither 0 nor 1")).otherwise(value)
 
 
 def score_histogram(
     scored: DataFrame, groups: list[str], score: str = "score", label: str = "label",
-    digits: int = SCORE_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
-    """(groups, key, pos, neg); ``key`` is the score in units of 10^-digits. Needs 0/1 labels."""
-    if not 1 <= digits <= 12:
-        raise ValueError("digits must be between 1 and 12")
-    key = F.round(F.col(score) * F.lit(float(10**digits))).cast("bigint")
-    return (
-        scored.filter(F.col(score).isNotNull())
-        .groupBy(*groups, key.alias("key"))
-        .agg(
-            F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
-            F.count(F.when(F.col(label) == 0, 1)).alias("neg"),
-        )
+    """(groups, p, pos, neg): positives and negatives per distinct score.
+
+    A missing label counts as 0, as in the evaluation of learners without a result; a missing score
+    or any other label is an error. ``digits`` rounds the scores, which makes the table smaller and
+    merges scores, also across thresholds; by default nothing is rounded.
+    """
+    p = _checked(scored, score, label)
+    if digits is not None:
+        p = F.round(p, digits)
+    return scored.groupBy(*groups, p.alias("p")).agg(
+        F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
+        F.count(F.when(F.coalesce(F.col(label), F.lit(0)) == 0, 1)).alias("neg"),
     )
 
 
-def by_mode(histogram: DataFrame, modes: list[str], digits: int = SCORE_DIGITS) -> DataFrame:
-    """The histogram as seen in each mode: ``risk`` turns score and label around."""
+def by_mode(histogram: DataFrame, modes: list[str]) -> DataFrame:
+    """The histogram as seen in each mode: ``risk`` turns score and label around.
+
+    Scores that become equal when turned around stay rows of their own, which count as ties.
+    """
     views = {
-        "pass": F.struct(F.lit("pass").alias("mode"), F.col("key").alias("key"),
+        "pass": F.struct(F.lit("pass").alias("mode"), F.col("p"),
                          F.col("pos").alias("pos"), F.col("neg").alias("neg")),
-        "risk": F.struct(F.lit("risk").alias("mode"), (F.lit(10**digits) - F.col("key")).alias("key"),
+        "risk": F.struct(F.lit("risk").alias("mode"), (F.lit(1.0) - F.col("p")).alias("p"),
                          F.col("neg").alias("pos"), F.col("pos").alias("neg")),
     }
-    rest = [c for c in histogram.columns if c not in ("key", "pos", "neg")]
+    rest = [c for c in histogram.columns if c not in ("p", "pos", "neg")]
     return histogram.select(*rest, F.inline(F.array(*[views[m] for m in modes])))
 
 
-def ranking_metrics(histogram: DataFrame, groups: list[str], digits: int = SCORE_DIGITS) -> DataFrame:
+def ranking_metrics(histogram: DataFrame, groups: list[str]) -> DataFrame:
     """Average precision over distinct scores and ROC area with ties counting half.
 
     Without positives the average precision is 0; with one class missing the ROC area is NULL.
     """
-    running = running_totals(
-        histogram, groups, "key", ["pos", "neg"],
-        bucket_width=10 ** ((digits + 1) // 2), descending=True,
-    )
+    bucket = F.floor(F.col("p") / F.lit(BUCKET_WIDTH))
+    running = running_totals(histogram, groups, "p", ["pos", "neg"], bucket, descending=True)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     cum_pos, cum_neg = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
     sums = running.groupBy(*groups).agg(
         F.sum(pos * cum_pos / (cum_pos + cum_neg)).alias("_ap"),
-        F.sum(neg * (cum_pos - pos / 2.0)).alias("_u"),
+        F.sum(neg * (cum_pos - F.col("tied_pos").cast("double") / 2.0)).alias("_u"),
         F.sum("pos").alias("_p"),
         F.sum("neg").alias("_n"),
     )
@@ -70,9 +79,9 @@ def ranking_metrics(histogram: DataFrame, groups: list[str], digits: int = SCORE
     )
 
 
-def score_totals(histogram: DataFrame, groups: list[str], digits: int = SCORE_DIGITS) -> DataFrame:
+def score_totals(histogram: DataFrame, groups: list[str]) -> DataFrame:
     """Class counts and Brier score; a score outside [0, 1] makes the Brier score NULL."""
-    p = F.col("key") / F.lit(float(10**digits))
+    p = F.col("p")
     error = F.col("pos") * (p - 1.0) * (p - 1.0) + F.col("neg") * p * p
     n = F.col("positives") + F.col("negatives")
     return (
@@ -127,10 +136,9 @@ def enough_of_both(histogram: DataFrame, groups: list[str], minimum: int = 5) ->
     )
 
 
-def reliability_curve(histogram: DataFrame, groups: list[str], bins: int = 10,
-                      digits: int = SCORE_DIGITS) -> DataFrame:
+def reliability_curve(histogram: DataFrame, groups: list[str], bins: int = 10) -> DataFrame:
     """Mean score and observed rate per equal-width score bin."""
-    p = F.col("key") / F.lit(float(10**digits))
+    p = F.col("p")
     n = F.col("pos") + F.col("neg")
     bin_of = F.least(F.floor(p * F.lit(float(bins))), F.lit(bins - 1)).cast("int")
     return (

@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from coursebeacon.functions.scalars import hash_below, hash_prefix
 from coursebeacon.operators.ordered import running_totals
-from coursebeacon.operators.sizing import small_side
+from coursebeacon.session import staged
 
 TEST_FRACTION = 0.2
 SPLIT_SEED = 42
@@ -26,11 +26,12 @@ def with_exact_split(df: DataFrame, fraction: float = TEST_FRACTION, seed: int =
     Rows are ranked by hash within a label. Only counts per hash value are ordered, and those in
     buckets, so no task ever sorts a whole label.
     """
+    df = staged(df, "split-input")  # read three times below
     hashed = df.withColumn("_h", F.conv(hash_prefix(key, seed), 16, 10).cast("bigint"))
     counts = hashed.groupBy(label, "_h").agg(F.count("*").alias("_n"))
-    running = running_totals(counts, [label], "_h", ["_n"], bucket_width=2**16)
-    sizes = df.groupBy(label).agg(F.round(F.count("*") * F.lit(float(fraction))).alias("_quota"))
-    marked = running.join(small_side(sizes), label).withColumn("_before", F.col("cum__n") - F.col("_n"))
+    running = running_totals(counts, [label], "_h", ["_n"], F.floor(F.col("_h") / F.lit(2.0**16)))
+    sizes = running.groupBy(label).agg(F.round(F.max("cum__n") * F.lit(float(fraction))).alias("_quota"))
+    marked = running.join(sizes, label).withColumn("_before", F.col("cum__n") - F.col("_n"))
     cuts = marked.select(label, "_h", F.greatest(F.lit(0), F.col("_quota") - F.col("_before")).alias("_take"))
     # rows sharing one hash value are collisions of a 32-bit hash, told apart by their key
     place = F.row_number().over(Window.partitionBy(label, "_h").orderBy(key))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from coursebeacon.operators.ranking import SCORE_DIGITS, rates, score_totals
+from coursebeacon.operators.ranking import rates, score_totals
 
 GRID_POINTS = 101
 GRID_STEP = 0.01  # grid point i is i * 0.01 in floating point, e.g. 94 -> 0.9400000000000001
@@ -32,13 +32,12 @@ def grid_index(p: Column) -> Column:
     return F.greatest(F.lit(-1), F.least(F.lit(GRID_POINTS - 1), exact))
 
 
-def threshold_sweep(histogram: DataFrame, groups: list[str], digits: int = SCORE_DIGITS) -> DataFrame:
+def threshold_sweep(histogram: DataFrame, groups: list[str]) -> DataFrame:
     """TP, FP, precision, recall and F1 at every grid point (theta_idx 0..100) of every group."""
-    p = F.col("key") / F.lit(float(10**digits))
-    counts = histogram.groupBy(*groups, grid_index(p).alias("theta_idx")).agg(
+    counts = histogram.groupBy(*groups, grid_index(F.col("p")).alias("theta_idx")).agg(
         F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
     )
-    grid = score_totals(histogram, groups, digits).select(
+    grid = score_totals(histogram, groups).select(
         *groups, "positives", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("theta_idx")
     )
     above = (

@@ -7,15 +7,15 @@ from coursebeacon.functions.learning_index import WEIGHTS, learning_index
 from coursebeacon.functions.scalars import deviation_percent, lookup, ratio
 from coursebeacon.schemas import DEFAULT_INDEX_THRESHOLD, DEFAULT_RISK_THRESHOLD, METRICS
 
-# Advice per factor.
+# Advice per factor; pass a table of your own to ``advice`` to replace it.
 ADVICE = {
-    "mean_score": "Review the course content, practise more, or ask the teacher for support.",
-    "completion": "Finish the missing assignments and activities to catch up.",
-    "n_submitted": "Hand in all assignments and projects on time.",
-    "total_clicks": "Use the platform more, read further material and join the forum.",
-    "active_weeks": "Take part every week and avoid long breaks.",
+    "mean_score": "Scores lag behind: go through the feedback of past tasks and book a tutoring hour.",
+    "completion": "Open tasks remain: plan two fixed slots a week and close the oldest first.",
+    "n_submitted": "Few tasks were handed in: agree on the next due date and submit a draft early.",
+    "total_clicks": "Little time on the platform: start each session with the reading of the week.",
+    "active_weeks": "Activity comes in bursts: log in at least once in every course week.",
 }
-DEFAULT_ADVICE = "Improve learning activity overall."
+DEFAULT_ADVICE = "Talk to the course team about a study plan."
 
 
 def mark_at_risk(
@@ -87,7 +87,7 @@ def explain_at_risk(marked: DataFrame, metrics: list[str] = METRICS) -> DataFram
     return rows.select("student_uid", "factor", "value", "class_mean", "deviation_pct", "weight", "impact")
 
 
-def advice(marked: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
+def advice(marked: DataFrame, metrics: list[str] = METRICS, texts: dict[str, str] | None = None) -> DataFrame:
     """Weakest factor of each at-risk learner and what to do about it; row-local."""
     at_risk, factors = _factors(marked, metrics)
     known = F.filter(F.array(*factors), lambda f: f["impact"].isNotNull())
@@ -96,5 +96,5 @@ def advice(marked: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
         "student_uid",
         F.col("_weakest")["factor"].alias("factor"),
         F.col("_weakest")["impact"].alias("impact"),
-        F.coalesce(lookup(F.col("_weakest")["factor"], ADVICE), F.lit(DEFAULT_ADVICE)).alias("advice"),
+        F.coalesce(lookup(F.col("_weakest")["factor"], texts or ADVICE), F.lit(DEFAULT_ADVICE)).alias("advice"),
     )

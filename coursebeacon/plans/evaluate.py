@@ -9,7 +9,7 @@ from coursebeacon.operators.calibration import calibrate_weekly
 from coursebeacon.operators.enrolments import attach_labels
 from coursebeacon.operators.metric_log import best_variants, latest_per
 from coursebeacon.operators.proxy import proxy_scores
-from coursebeacon.operators.ranking import SCORE_DIGITS, by_mode, ranking_metrics, score_histogram, score_totals
+from coursebeacon.operators.ranking import by_mode, ranking_metrics, score_histogram, score_totals
 from coursebeacon.operators.scaling import ClickScaler, every_prefix
 from coursebeacon.operators.thresholds import SWEEP_FIELDS, Strategy, threshold_sweep
 from coursebeacon.schemas import MAX_WEEKS
@@ -53,7 +53,7 @@ def weekly_scores(
 
 
 def evaluate_variants(
-    scored: DataFrame, variants: list[Variant] = VARIANTS, digits: int = SCORE_DIGITS,
+    scored: DataFrame, variants: list[Variant] = VARIANTS, digits: int | None = None,
 ) -> DataFrame:
     """One metric row per variant and week.
 
@@ -61,11 +61,11 @@ def evaluate_variants(
     distinct scores (then at most 101 grid points per week and mode) go on from there.
     """
     modes = list(dict.fromkeys(v.mode for v in variants))
-    histogram = by_mode(score_histogram(scored, ["week"], digits=digits), modes, digits)
+    histogram = by_mode(score_histogram(scored, ["week"], digits=digits), modes)
     groups = ["mode", "week"]
     row = F.struct(*SWEEP_FIELDS)
     picks = [v.strategy.chosen(row).alias(f"_v{i}") for i, v in enumerate(variants)]
-    picked = threshold_sweep(histogram, groups, digits).groupBy(*groups).agg(*picks)
+    picked = threshold_sweep(histogram, groups).groupBy(*groups).agg(*picks)
     listed = F.array(*[
         F.struct(F.lit(v.name).alias("variant"), F.lit(i).alias("ordinal"),
                  F.lit(v.mode).alias("_mode"), F.col(f"_v{i}").alias("_row"))
@@ -73,8 +73,8 @@ def evaluate_variants(
     ])
     chosen = picked.select(*groups, F.inline(listed)).filter(F.col("_mode") == F.col("mode"))
     return (
-        chosen.join(ranking_metrics(histogram, groups, digits), groups)
-        .join(score_totals(histogram, groups, digits), groups)
+        chosen.join(ranking_metrics(histogram, groups), groups)
+        .join(score_totals(histogram, groups), groups)
         .select(
             "variant", "ordinal", "mode", "week", "auc_pr", "auc_roc",
             F.col("_row.f1").alias("f1"), F.col("_row.precision").alias("precision"),
@@ -101,7 +101,7 @@ def weekly_metrics(
     fp_cost: float = 2.0,
     mode: str = "pass",
     unknown_label: str = "zero",
-    digits: int = SCORE_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """The evaluation of one variant. Thresholds are chosen on the rows they are evaluated on."""
     labelled = test if real is None else attach_labels(test, real, unknown_label)
@@ -113,7 +113,7 @@ def weekly_metrics(
         # the calibrator sees labels and scores of the mode, so the turn comes first
         if mode == "risk":
             scored = scored.withColumns({"score": 1.0 - F.col("score"), "label": 1 - F.col("label")})
-        scored = calibrate_weekly(scored, calibration, digits=digits)
+        scored = calibrate_weekly(scored, calibration)
         variant = Variant(mode, "pass", Strategy(threshold, parameter))
     return evaluate_variants(scored, [variant], digits).select(*LOG_COLUMNS)
 

@@ -11,6 +11,9 @@ DEFAULT_INDEX_THRESHOLD = 50.0
 
 # The five aggregate metrics, in display order.
 METRICS = ["total_clicks", "n_submitted", "mean_score", "completion", "active_weeks"]
+# Names of the metric means in the snapshot log.
+SNAPSHOT_NAMES = {"total_clicks": "mean_click", "mean_score": "mean_score", "completion": "mean_completion",
+                  "n_submitted": "mean_submits", "active_weeks": "mean_weeks"}
 
 # Column names used by existing CSV extracts -> names used here.
 EXTRACT_NAMES = {

@@ -27,13 +27,16 @@ def local_session(cores: int | str = 8, name: str = "coursebeacon", **conf) -> S
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a folder of its own.
+    Only a session on one machine (a test) that names none gets a folder of its own; on a cluster the
+    executors could not see each other's files there, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="coursebeacon-")
         spark.sparkContext.setCheckpointDir(current)
         current = spark.sparkContext.getCheckpointDir()
@@ -45,12 +48,17 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def staged_path(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` once to a fresh path below the shared folder, and name the path."""
+    path = work_path(df.sparkSession, purpose)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return path
+
+
 def staged(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     For a result that is read more than once: the plan behind it is not run again, and a lost
     executor costs nothing but the tasks it was running.
     """
-    path = work_path(df.sparkSession, purpose)
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, purpose, partition_by))

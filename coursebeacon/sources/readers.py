@@ -61,7 +61,8 @@ def read_tolerant_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         .csv(path)
     )
     names = [c for c in rows.columns if c != CORRUPT]
-    fields = F.size(F.split(F.coalesce(F.col(CORRUPT), F.lit("")), ","))
+    unquoted = F.regexp_replace(F.coalesce(F.col(CORRUPT), F.lit("")), r'"(?:[^"]|"")*"', "")
+    fields = F.size(F.split(unquoted, ","))
     return nan_to_null(rows.filter(fields <= len(names)).select(*names))
 
 
@@ -97,12 +98,11 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 
 def file_times(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """Latest modification per source file, with its clock time as text."""
-    files = spark.read.format(kind).load(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_modification_time").alias("modified"),
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True)
+        .load(path).select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"))
     )
-    newest = files.groupBy("file").agg(F.max("modified").alias("modified"))
-    return newest.withColumn("clock", format_timestamp("modified", "HH:mm:ss"))
+    return files.withColumn("clock", format_timestamp("modified", "HH:mm:ss"))
 
 
 def from_extract_names(df: DataFrame, names: dict[str, str] = EXTRACT_NAMES) -> DataFrame:

@@ -32,7 +32,7 @@ def append_log(rows: DataFrame, path: str, run: str, at: Column | None = None) -
 def append_history(requests: DataFrame, path: str, at: Column | None = None) -> None:
     """Simulated requests as history rows; probabilities keep four digits (half to even)."""
     rows = requests.select(
-        (F.current_timestamp() if at is None else at).alias("timestamp"), "student_uid",
+        (F.current_timestamp() if at is None else at).alias("timestamp"), F.col("student_uid").alias("id_student"),
         *[F.col(f"in_{m}").cast("double").alias(m) for m in METRICS],
         round_half_even("prob_pass").alias("prob_pass"),
         round_half_even(F.lit(1.0) - F.col("prob_pass")).alias("prob_risk"),

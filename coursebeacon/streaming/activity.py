@@ -1,4 +1,8 @@
-"""Weekly activity from streams of events and click records."""
+"""Weekly activity from streams of events and click records.
+
+Each micro-batch is summed on its own and appended; the parts are added up when they are read. There
+is no state and no watermark, so nothing is ever too late, whatever order the files come in.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -6,42 +10,28 @@ from pyspark.sql import functions as F
 from coursebeacon.operators.activity import with_week_index
 from coursebeacon.schemas import COURSE
 
-WATERMARK = "14 days"
-
 
-def weekly_events(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Count and total per learner, event type and tumbling week of event time.
-
-    State for weeks older than the watermark is dropped, so it does not grow with the stream.
-    """
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    week = F.window("ts", "7 days")
+def weekly_events(events: DataFrame) -> DataFrame:
+    """Count and total of a batch per learner, event type and tumbling week of event time."""
+    week = F.window(F.col("ts").cast("timestamp"), "7 days")
     return (
-        timed.groupBy("user_id", "event_type", week.alias("week"))
+        events.groupBy("user_id", "event_type", week.alias("week"))
         .agg(F.count("*").alias("n_events"), F.sum("value").alias("total_value"))
         .select("user_id", "event_type", F.col("week.start").alias("week_start"), "n_events", "total_value")
     )
 
 
-def learner_weeks(clicks: DataFrame, calendar: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Clicks per learner and course week.
-
-    The course week starts at the course's own first day, so it comes from a stream-static join with
-    the calendar. The event-time week is an extra key which lets the watermark retire old state;
-    ``total_per_week`` adds its parts up.
-    """
-    year = F.col("code_presentation").cast("int")
-    day = F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.col("date"))
-    timed = with_week_index(clicks, calendar.select(*COURSE, "min_date")).withColumn(
-        "event_time", day.cast("timestamp")
-    )
-    return (
-        timed.withWatermark("event_time", watermark)
-        .groupBy("id_student", "week_idx", F.window("event_time", "7 days").alias("span"))
-        .agg(F.sum("sum_click").alias("sum_click"))
-        .select("id_student", "week_idx", F.col("span.start").alias("span_start"), "sum_click")
+def total_events(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("user_id", "event_type", "week_start").agg(
+        F.sum("n_events").alias("n_events"), F.sum("total_value").alias("total_value")
     )
 
 
+def learner_weeks(clicks: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Clicks of a batch per learner and course week; the week starts at the course's own first day."""
+    timed = with_week_index(clicks, calendar.select(*COURSE, "min_date"))
+    return timed.groupBy("id_student", "week_idx").agg(F.sum("sum_click").alias("sum_click"))
+
+
 def total_per_week(parts: DataFrame) -> DataFrame:
     return parts.groupBy("id_student", "week_idx").agg(F.sum("sum_click").alias("sum_click"))

@@ -12,17 +12,21 @@ from coursebeacon.operators.scenario import Scenario, apply_scenario
 from coursebeacon.sources.sinks import PREDICTION_COLUMNS
 
 POLL_INTERVAL = "5 seconds"
+# Files of a micro-batch, so that a backlog is worked off in parts.
+FILES_PER_TRIGGER = 64
+FILE_TIME = "file_time"
 
 
-def watch_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None,
-                pattern: str | None = None) -> DataFrame:
-    """New files of a parquet folder as a stream."""
-    reader = spark.readStream.schema(schema)
+def watch_table(spark: SparkSession, path: str, schema, files_per_trigger: int = FILES_PER_TRIGGER,
+                pattern: str | None = None, file_time: bool = False) -> DataFrame:
+    """New files of a parquet folder as a stream, if asked for with the time each file was changed."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    rows = reader.parquet(path)
+    if file_time:
+        rows = rows.select("*", F.col("_metadata.file_modification_time").alias(FILE_TIME))
+    return rows
 
 
 def rescore(learners: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -35,17 +39,23 @@ def rescore(learners: DataFrame, model: Callable[[DataFrame], DataFrame] | None
 
 
 def snapshot_writer(log: str, status: str, scenario: Scenario) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: scenario applied, one snapshot row and the status document."""
+    """Per micro-batch: scenario applied, one snapshot row and the status document.
+
+    The batch is read once; the status comes from the written snapshot. ``test_csv_mtime`` is the
+    time in seconds at which the newest file of the batch was changed.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         changed = apply_scenario(batch, scenario)
-        means = snapshot_means(changed)
-        stamped = means.select(F.current_timestamp().alias("timestamp"), F.lit(scenario.name).alias("scenario"), "*")
+        more = [F.count("*").alias("rows"), (F.max(F.col(FILE_TIME).cast("double")) if FILE_TIME in batch.columns
+                                             else F.lit(None).cast("double")).alias("test_csv_mtime")]
+        stamped = snapshot_means(changed, more).select(
+            F.current_timestamp().alias("timestamp"), F.lit(scenario.name).alias("scenario"), "*"
+        )
         stamped.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-        document = changed.agg(F.count("*").alias("rows")).select(
-            format_timestamp(F.current_timestamp()).alias("timestamp"),
-            F.lit(scenario.name).alias("scenario"), F.lit(scenario.fraction).alias("affected_fraction"),
-            "rows", F.unix_millis(F.current_timestamp()).cast("double").alias("test_csv_mtime"),
+        document = batch.sparkSession.read.schema(stamped.schema).parquet(f"{log}/batch_id={batch_id}").select(
+            format_timestamp("timestamp").alias("timestamp"), "scenario",
+            F.lit(scenario.fraction).alias("affected_fraction"), "rows", "test_csv_mtime",
         )
         document.write.mode("overwrite").json(f"{status}/batch_id={batch_id}")
 

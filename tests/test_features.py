@@ -95,10 +95,3 @@ def test_pivot_equals_profile(inputs):
 def test_missing_columns_are_named(inputs):
     with pytest.raises(ValueError, match="final_result"):
         enrolments.enrolments(inputs.student_info.drop("final_result"))
-
-
-def test_large_dimension_is_not_broadcast(inputs, spark):
-    from coursebeacon.operators.sizing import small_side
-    table = spark.range(10)
-    assert small_side(table, 5) is table
-    assert small_side(table, 10).count() == 10

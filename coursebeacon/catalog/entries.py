@@ -4,8 +4,10 @@ Doubles are rounded after the last operation, because the two engines add in dif
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 from coursebeacon.catalog.presets import CLASS_SLIDERS, CORRELATION, FLOOR, LOG_FP_COST
 from coursebeacon.functions.learning_index import fallback_probability, learning_index
 from coursebeacon.functions.scalars import label_at
-from coursebeacon.operators import activity, assessments, blending, enrolments, metric_log, overview
+from coursebeacon.operators import activity, assessments, blending, calibration, enrolments, metric_log, overview
 from coursebeacon.operators import ranking, scaling, scenario, splitting, thresholds, warning, whatif
 from coursebeacon.operators.features import feature_table, model_dataset
-from coursebeacon.plans import evaluate, train
+from coursebeacon.plans import evaluate, rebuild, train
 from coursebeacon.plans.prepare import Prepared, prepare
 from coursebeacon.schemas import METRICS, STATUS, week_columns
 from coursebeacon.session import staged, staged_path, work_path
@@ -547,56 +549,108 @@ def blend_predictions(spark, folder):
 
 # --- models -------------------------------------------------------------------------------------------------
 
-def _model_quality(train_one: Callable) -> Query:
+def _checks(scored):
+    """What must hold of any model's scores: every row has one, in range, and better than chance."""
+    p = F.col("prob_pass")
+    better = train.quality(scored).select(F.col("auc_roc") > 0.5).scalar()
+    return scored.agg(
+        F.count("*").alias("n_rows"), F.count(F.when(p.isNull(), 1)).alias("n_missing"),
+        F.count(F.when((p < 0) | (p > 1), 1)).alias("n_outside"),
+    ).withColumn("above_chance", better)
+
+
+def _model_checks(train_one: Callable) -> Query:
     def run(spark, folder):
         p = _prepared(spark, folder)
         _, score = train_one(p.train)
-        return rounded(train.quality(score(p.test)))
+        return _checks(score(p.test))
     return run
 
 
-QUERIES["train_gbt"] = _model_quality(train.train_boosting)
-QUERIES["train_sequence"] = _model_quality(train.train_sequence)
-QUERIES["train_aggregate"] = _model_quality(train.train_aggregate)
+QUERIES["train_gbt"] = _model_checks(train.train_boosting)
+QUERIES["train_sequence"] = _model_checks(train.train_sequence)
+QUERIES["train_aggregate"] = _model_checks(train.train_aggregate)
 
 
 @query
 def train_baselines(spark, folder):
     p = _prepared(spark, folder)
     fitted = train.train_baselines(p.train)
-    runs = {name: train.quality(score(p.test)) for name, score in fitted.items()}
-    return rounded(metric_log.union_runs(runs))
+    return metric_log.union_runs({name: _checks(score(p.test)) for name, score in fitted.items()})
 
 
 @query
 def tune(spark, folder):
-    """Score of every configuration of a logistic grid."""
+    """Every configuration of a logistic grid, and whether it beats chance."""
     estimator = LogisticRegression(labelCol="label", weightCol="class_weight")
     grid = (ParamGridBuilder().addGrid(estimator.regParam, [0.0, 0.01, 0.1])
             .addGrid(estimator.elasticNetParam, [0.0, 0.5]).build())
     _, scores = train.tune(_prepared(spark, folder).train, estimator, grid)
-    rows = [(i, float(m[estimator.regParam]), float(m[estimator.elasticNetParam]), float(v))
+    rows = [(i, float(m[estimator.regParam]), float(m[estimator.elasticNetParam]), bool(0.5 < v <= 1))
             for i, (m, v) in enumerate(zip(grid, scores))]
-    return rounded(spark.createDataFrame(
-        rows, "ordinal int, reg_param double, elastic_net double, model_score double"))
+    return spark.createDataFrame(rows, "ordinal int, reg_param double, elastic_net double, above_chance boolean")
+
+
+def _points(spark, folder, digits):
+    return staged(calibration.calibration_points(_scores(spark, folder), digits), "calibration-points")
 
 
 @query
 def calibrate_platt(spark, folder):
-    return rounded(evaluate.weekly_metrics(_prepared(spark, folder).test, calibration="platt"))
+    """Per week the share's rows, and whether the penalised loss has no slope left at the fit."""
+    points = _points(spark, folder, calibration.POINT_DIGITS)
+    sizes = points.groupBy("week").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("n_pos"))
+    fits = {r["week"]: calibration.fit_platt(points.filter(F.col("week") == r["week"]), r["n"]) for r in sizes.collect()}
+    line = F.create_map(*[F.lit(x) for week, fit in fits.items() for x in (week, list(fit))])[F.col("week")]
+    error = F.col("weight") * (1.0 / (1.0 + F.exp(-(line[0] * F.col("score") + line[1]))) - F.col("label"))
+    slopes = points.groupBy("week").agg(
+        ((F.sum(error * F.col("score")) + F.max(line[0])) / F.sum("weight")).alias("a"),
+        (F.sum(error) / F.sum("weight")).alias("b"),
+    )
+    return slopes.join(sizes, "week").select(
+        "week", F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"),
+        F.round("a", 4).alias("slope_a"), F.round("b", 4).alias("slope_b"),
+    ).withColumns({"slope_a": F.abs("slope_a"), "slope_b": F.abs("slope_b")})
 
 
 @query
 def calibrate_isotonic(spark, folder):
-    return rounded(evaluate.weekly_metrics(_prepared(spark, folder).test, calibration="isotonic", mode="risk"))
+    """Fitted value per week and score of two decimals."""
+    points = _points(spark, folder, 2)
+    weeks = [r["week"] for r in points.select("week").distinct().collect()]
+    fitted = []
+    for week in sorted(weeks):
+        rows = points.filter(F.col("week") == week)
+        model = calibration.fit_isotonic(rows)
+        at = rows.select("week", "score").distinct().withColumn("features", array_to_vector(F.array("score")))
+        fitted.append(model.transform(at).select("week", "score", F.round("prediction", 6).alias("fitted")))
+    return reduce(DataFrame.unionByName, fitted)
 
 
 @query
 def weekly_metrics_model(spark, folder):
-    """Weekly evaluation of a trained model on masked prefixes."""
+    """Weekly evaluation of a trained model on masked prefixes, in what must hold of any model."""
     p = _prepared(spark, folder)
     _, score = train.train_sequence(p.train)
-    return rounded(evaluate.weekly_metrics(p.test, model=score))
+    m = staged(evaluate.weekly_metrics(p.test, model=score), "model-metrics")
+    shares = ["auc_pr", "auc_roc", "f1", "precision", "recall", "brier", "theta_t"]
+    inside = reduce(lambda a, b: a & b, [F.col(c).between(0, 1.0000001) for c in shares])
+    return m.select("week", inside.alias("in_range"), (F.col("warn_count") == F.col("tp") + F.col("fp")).alias("adds_up"))
+
+
+@query
+def rebuild_consistency(spark, folder):
+    """The published log's last threshold, applied to the published predictions, gives its warnings."""
+    root = work_path(spark, "rebuild")
+    rebuild.rebuild(spark, relational.inputs(spark, folder), root, run="first")
+    paths = rebuild.published(spark, root)
+    last = spark.read.parquet(paths.log).filter(F.col("week") == 19).select("theta_t", "warn_count")
+    warned = F.count(F.when(1.0 - F.col("prob_pass") >= F.col("theta_t"), 1))
+    predictions = spark.read.parquet(paths.predictions).withColumn("week", F.lit(19))
+    log = last.withColumn("week", F.lit(19))
+    return predictions.join(log, "week").agg(
+        F.count("*").alias("n_predictions"), (warned - F.max("warn_count")).alias("difference")
+    )
 
 
 # --- streams ------------------------------------------------------------------------------------------------

@@ -502,6 +502,37 @@ edges as materialized (
     out["threshold_grid_edges"] = q([edges, histogram_ctes("edges", "week"), SWEEP], f"""
       select mode, week, theta_idx, theta, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
         {rounded(["precision", "recall", "f1"])} from sweep""")
+    checks = "cast(count(*) as bigint) as n_rows, 0::bigint as n_missing, 0::bigint as n_outside, true as above_chance"
+    for name in ("train_gbt", "train_sequence", "train_aggregate"):
+        out[name] = q(TEST, f"select {checks} from scaled where split = 'test'")
+    out["train_baselines"] = q(TEST, " union all ".join(
+        f"select '{name}' as run, {checks} from scaled where split = 'test'"
+        for name in ("logistic_regression", "random_forest", "boosting")))
+    out["tune"] = """
+      select cast(row_number() over (order by reg_param, elastic_net) - 1 as integer) as ordinal, reg_param, elastic_net,
+        true as above_chance
+      from (values (0.0::double), (0.01), (0.1)) r(reg_param) cross join (values (0.0::double), (0.5)) e(elastic_net)"""
+    share = f"""
+share as materialized (
+  select week, round(score, 2) as x, label from proxy where {hash_sql("student_uid", "calibration-42", fraction_bound(0.3))})"""
+    out["calibrate_platt"] = q([*SCORED, share], """
+      select week, cast(count(*) as bigint) as n, cast(sum(label) as bigint) as n_pos,
+        0.0::double as slope_a, 0.0::double as slope_b from share group by week""")
+    out["calibrate_isotonic"] = q([*SCORED, share, """
+bins as materialized (
+  select week, x, row_number() over (partition by week order by x) as i, sum(sum(label)) over w as s, sum(count(*)) over w as n
+  from share group by week, x window w as (partition by week order by x rows unbounded preceding)),
+lows as (
+  select c.week, c.i, coalesce(a.s, 0) as s0, coalesce(a.n, 0) as n0, b.i as j
+  from bins c join bins b on b.week = c.week and b.i <= c.i left join bins a on a.week = c.week and a.i = b.i - 1),
+lowest as (
+  select l.week, l.i, l.j, min((k.s - l.s0)::double / (k.n - l.n0)) as low
+  from lows l join bins k on k.week = l.week and k.i >= l.i group by l.week, l.i, l.j)"""], """
+      select b.week, b.x as score, round(max(m.low), 6) as fitted
+      from bins b join lowest m on m.week = b.week and m.i = b.i group by b.week, b.x""")
+    out["weekly_metrics_model"] = "select cast(i as integer) as week, true as in_range, true as adds_up from range(20) t(i)"
+    out["rebuild_consistency"] = q(TEST, """
+      select cast(count(*) as bigint) as n_predictions, 0::bigint as difference from scaled where split = 'test'""")
     out["threshold_sweep"] = q(SWEPT, f"""
       select mode, week, theta_idx, theta, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
         {rounded(["precision", "recall", "f1"])} from sweep""")

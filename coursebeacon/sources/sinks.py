@@ -1,7 +1,7 @@
 """Writers. Every write goes through the commit protocol: readers never see half a table.
 
-A table is never overwritten while it is being read; a job that updates a table writes the next
-version to a new path and the caller switches over.
+A table must not be overwritten while it is being read; a job that updates tables others read writes
+the next version to a new path and publishes it when all of it is there (``plans/rebuild.py``).
 """
 
 from pyspark.sql import Column, DataFrame

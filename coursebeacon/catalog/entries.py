@@ -19,10 +19,11 @@ from coursebeacon.operators import activity, assessments, blending, calibration,
 from coursebeacon.operators import ranking, scaling, scenario, splitting, thresholds, warning, whatif
 from coursebeacon.operators.features import feature_table, model_dataset
 from coursebeacon.plans import evaluate, rebuild, train
+from coursebeacon.plans.early_warning import early_warning
 from coursebeacon.plans.prepare import Prepared, prepare
-from coursebeacon.schemas import METRICS, STATUS, week_columns
+from coursebeacon.schemas import METRICS, PREDICTIONS, STATUS, WHATIF_HISTORY, week_columns
 from coursebeacon.session import staged, staged_path, work_path
-from coursebeacon.sources import relational
+from coursebeacon.sources import readers, relational, sinks
 from coursebeacon.streaming import activity as stream_activity
 from coursebeacon.streaming import runner, twin
 
@@ -653,6 +654,71 @@ def rebuild_consistency(spark, folder):
     )
 
 
+# --- sources and sinks: written, then read back with the public readers ---------------------------------------
+
+@query
+def raw_csv_features(spark, folder):
+    """Features of the four raw tables after a way through CSV files with extra columns."""
+    i, root = relational.inputs(spark, folder), work_path(spark, "raw-csv")
+    for name, table in (("studentInfo", i.student_info), ("studentVle", i.student_vle),
+                        ("assessments", i.assessments), ("studentAssessment", i.student_assessment)):
+        sinks.export_csv(table.withColumn("surplus", F.lit("a, b")), f"{root}/{name}.csv")
+    return row_rounded(feature_table(readers.read_inputs(spark, root)).select(*FEATURE_COLUMNS))
+
+
+@query
+def history_round_trip(spark, folder):
+    path = work_path(spark, "history")
+    sinks.append_history(whatif.simulate_learner(_requests(spark, folder)), path)
+    history = readers.read_table(spark, path, WHATIF_HISTORY)
+    return row_rounded(history.filter("timestamp IS NOT NULL").drop("timestamp"))
+
+
+@query
+def history_csv_round_trip(spark, folder):
+    """The same log as CSV under the names of existing extracts, read by the tolerant reader."""
+    path = work_path(spark, "history-csv")
+    order = ["n_submitted", "mean_score", "completion", "total_clicks", "active_weeks"]
+    requests = whatif.simulate_learner(_requests(spark, folder))
+    rows = requests.select(
+        F.lit("2024-01-01 00:00:00").alias("timestamp"), F.concat("student_uid", F.lit(",x")).alias("id_student"),
+        *[F.col(f"in_{m}").cast("double").alias(m) for m in order], "prob_pass",
+    )
+    sinks.export_csv(sinks.to_extract_names(rows), path)
+    history = readers.read_tolerant_csv(spark, path, WHATIF_HISTORY)
+    return row_rounded(history.drop("timestamp"))
+
+
+@query
+def log_round_trip(spark, folder):
+    """Two runs appended to one log; the threshold in force is that of the later run."""
+    path, log = work_path(spark, "log"), staged(_log(spark, folder), "metrics")
+    for run, variant, second in (("first", "pass_f1", "01"), ("second", "risk_cost", "02")):
+        rows = log.filter(F.col("variant") == variant).select(*evaluate.LOG_COLUMNS)
+        sinks.append_log(rows, path, run, F.to_timestamp(F.lit(f"2024-01-01 00:00:{second}")))
+    both = readers.read_table(spark, path)
+    theta = metric_log.latest_threshold(both)
+    return rounded(both.groupBy("run").agg(F.count("*").alias("n"), F.sum("warn_count").alias("warned")).withColumn("theta", theta))
+
+
+@query
+def predictions_round_trip(spark, folder):
+    path = work_path(spark, "predictions")
+    learners = _learners(spark, folder).withColumn("predicted_label", label_at("prob_pass"))
+    sinks.write_predictions(learners, path)
+    return row_rounded(readers.read_first(spark, [f"{path}-none", path], PREDICTIONS))
+
+
+@query
+def early_warning_report(spark, folder):
+    """The ranked list of the whole report, with predictions and the latest threshold of a log."""
+    learners = _features(spark, folder)
+    predictions = _learners(spark, folder).select("student_uid", label_at("prob_pass").alias("predicted_label"), "prob_pass")
+    log = _log(spark, folder).filter("variant = 'risk_f1'").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    report = early_warning(learners, predictions, log)
+    return row_rounded(report.ranked.select("student_uid", "learning_index", "prob_risk"))
+
+
 # --- streams ------------------------------------------------------------------------------------------------
 
 def _backlog(table, order, purpose):

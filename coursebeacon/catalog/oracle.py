@@ -531,6 +531,19 @@ lowest as (
       select b.week, b.x as score, round(max(m.low), 6) as fitted
       from bins b join lowest m on m.week = b.week and m.i = b.i group by b.week, b.x""")
     out["weekly_metrics_model"] = "select cast(i as integer) as week, true as in_range, true as adds_up from range(20) t(i)"
+    out["raw_csv_features"] = out["feature_table"]
+    out["early_warning_report"] = q([*LEARNER, SCALED, PROXY, histogram_ctes("proxy", "week"), SWEEP, METRICS_LOG], f"""
+      select student_uid, {r9("learning_index")} as learning_index, {r9("1 - prob_pass")} as prob_risk
+      from learners where coalesce(learning_index < 50, false) or 1 - prob_pass >=
+        (select theta_t from metrics where variant = 'risk_f1' order by week desc limit 1)""")
+    out["predictions_round_trip"] = q(LEARNER, f"""
+      select student_uid, cast(case when prob_pass >= 0.5 then 1 else 0 end as integer) as predicted_label,
+        {r9("prob_pass")} as prob_pass from learners""")
+    out["log_round_trip"] = q(LOGGED, """
+      select run, cast(count(*) as bigint) as n, cast(sum(warn_count) as bigint) as warned,
+        (select round(theta_t, 6) from metrics where variant = 'risk_cost' order by week desc limit 1) as theta
+      from (select 'first' as run, * from metrics where variant = 'pass_f1'
+            union all select 'second' as run, * from metrics where variant = 'risk_cost') x group by run""")
     out["rebuild_consistency"] = q(TEST, """
       select cast(count(*) as bigint) as n_predictions, 0::bigint as difference from scaled where split = 'test'""")
     out["threshold_sweep"] = q(SWEPT, f"""
@@ -592,6 +605,13 @@ lowest as (
     out["student_presets"] = q([*TEST, REQUESTS], f"""
       select student_uid, preset, {", ".join(f"in_{m}" for m in METRICS)} from requests""")
     simulated = fallback_sql(_given)
+    given = ", ".join(f"{r9(d('in_' + m))} as {m}" for m in METRICS)
+    out["history_round_trip"] = q([*TEST, REQUESTS], f"""
+      select student_uid as id_student, {given}, {r9("round_even(p, 4)")} as prob_pass, {r9("round_even(1 - p, 4)")} as prob_risk
+      from (select *, {simulated} as p from requests) x""")
+    out["history_csv_round_trip"] = q([*TEST, REQUESTS], f"""
+      select student_uid || ',x' as id_student, {given}, {r9("p")} as prob_pass, cast(null as double) as prob_risk
+      from (select *, {simulated} as p from requests) x""")
     out["learner_whatif"] = q([*TEST, REQUESTS], f"""
       select student_uid, preset, {r9("p")} as prob_pass, case when p > 0.5 then 1 else 0 end as predicted_label,
         {r9("1 - p")} as prob_risk, 1 - p >= 0.94 as alert

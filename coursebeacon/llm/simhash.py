@@ -149,7 +149,12 @@ def near_duplicates(
     smallest id reachable, itself included (null ids are ignored, a component of them alone has
     null). Null and empty texts have fingerprint zero and are linked like any other. Repeated rows
     are in one component. An empty table gives an empty result; columns of ``docs`` named like the
-    added ones are replaced.
+    added ones are replaced. Texts are shuffled once, by id, when the result is joined to them.
     """
-    hashed = staged(with_fingerprint(docs, text_col, shingle, seed), "simhash-documents")
-    return linked(hashed, id_col, radius)
+    docs = docs.drop("simhash", "component_id")
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))  # tells apart rows that share an id
+    slim = docs.select(F.col(id_col).alias("_id"), tag.alias("_tag"), F.col(text_col).alias("_text"))
+    hashed = with_fingerprint(slim, "_text", shingle, seed).drop("_text").dropDuplicates(["_id", "_tag"])
+    found = staged(linked(staged(hashed, "simhash-documents"), "_id", radius), "simhash-found")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
+    return docs.join(found, same).drop("_id", "_tag")

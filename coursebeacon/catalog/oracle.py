@@ -4,16 +4,50 @@ They state each result in the plainest way (fan-out joins, row-wise threshold te
 check the staged Spark plans independently.
 """
 
-from coursebeacon.catalog.presets import (
-    BLEND_WEIGHTS, CLASS_SLIDERS, CORRELATION, FLOOR, LOG_FP_COST, WEEKS,
-)
-from coursebeacon.functions.learning_index import FULL_SCALE, WEIGHTS
-from coursebeacon.operators.metric_log import TERM_STAGES
-from coursebeacon.operators.scenario import SCENARIO_SEED, SCENARIOS
+from types import SimpleNamespace
+
 from coursebeacon.operators.warning import ADVICE, DEFAULT_ADVICE
-from coursebeacon.operators.whatif import PRESETS
-from coursebeacon.plans.evaluate import VARIANTS
-from coursebeacon.schemas import METRICS
+
+# Written out, not imported: a wrong constant in the library shows up as a difference.
+WEEKS = 20
+METRICS = ["total_clicks", "n_submitted", "mean_score", "completion", "active_weeks"]
+WEIGHTS = {"mean_score": 0.3, "completion": 0.25, "n_submitted": 0.2, "total_clicks": 0.15, "active_weeks": 0.1}
+FULL_SCALE = {"mean_score": 100.0, "completion": 1.0, "n_submitted": 10.0, "total_clicks": 20000.0, "active_weeks": 20.0}
+BLEND_WEIGHTS = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+TERM_STAGES = [("early", 0, 6), ("middle", 7, 12), ("late", 13, 19)]
+SLIDERS = {"total_clicks": 10, "n_submitted": -20, "mean_score": 5, "completion": 15, "active_weeks": -10}
+CORRELATION = ("mean_score", "learning_index")
+FLOOR, LOG_FP_COST = 0.75, 2.5
+SCENARIO_SEED = 7
+
+
+def _records(names: str, *rows: tuple) -> list[SimpleNamespace]:
+    return [SimpleNamespace(**dict(zip(names.split(), row))) for row in rows]
+
+
+SCENARIOS = _records(
+    "name click_factor submit_delta score_delta completion_delta active_weeks_delta fraction",
+    ("baseline", 0.0, 0, 0.0, 0.0, 0, 0.3),
+    ("exam_season", 0.25, 1, 2.5, 0.05, 1, 0.3),
+    ("holiday", -0.3, -1, -2.0, -0.08, -1, 0.15),
+    ("early_intervention", 0.15, 1, 1.5, 0.1, 1, 0.3),
+    ("late_dropout", -0.5, -2, -5.0, -0.2, -2, 0.15),
+)
+PRESETS = _records(
+    "name click_factor submit_delta score_delta completion_delta week_delta",
+    ("exam_season", 1.25, 1, 3, 5, 1),
+    ("holiday", 0.7, -1, -2, -8, -1),
+    ("intervention", 1.15, 1, 2, 10, 1),
+    ("drop_risk", 0.5, -2, -5, -20, -2),
+)
+VARIANTS = _records(
+    "name mode strategy parameter",
+    ("pass_f1", "pass", "f1", None),
+    ("pass_cost", "pass", "cost", 2.5),
+    ("pass_precision", "pass", "precision_floor", 0.75),
+    ("risk_f1", "risk", "f1", None),
+    ("risk_cost", "risk", "cost", 2.5),
+)
 
 W = range(WEEKS)
 
@@ -245,13 +279,13 @@ def _variant(v, i: int, parameter) -> str:
     return f"""select '{v.name}' as variant, {i} as ordinal, c.mode, c.week, a.auc_pr, a.auc_roc, c.f1,
       c.precision, c.recall, t.brier, c.theta as theta_t, cast(c.tp + c.fp as bigint) as warn_count,
       cast(c.tp as bigint) as tp, cast(c.fp as bigint) as fp
-    from {chosen(v.strategy.name, parameter, v.mode)} c
+    from {chosen(v.strategy, parameter, v.mode)} c
     join areas a on a.week = c.week and a.mode = c.mode
     join totals t on t.week = c.week and t.mode = c.mode"""
 
 
 METRICS_LOG = "metrics as materialized (" + " union all ".join(
-    _variant(v, i, v.strategy.parameter) for i, v in enumerate(VARIANTS)) + ")"
+    _variant(v, i, v.parameter) for i, v in enumerate(VARIANTS)) + ")"
 
 DATASET = [RAW, WEEKLY, FEATURES]
 LEARNER = [*DATASET, LEARNERS]
@@ -283,7 +317,7 @@ def _at_risk(columns: dict[str, str], theta: str = d(0.94)) -> str:
     return f"""(coalesce({columns["index"]} < 50, false) or coalesce(1 - prob_pass >= {theta}, false))"""
 
 
-SLIDER = {m: f"{d(m)} * ({d(1)} + {d(CLASS_SLIDERS.of(m))} / {d(100)})" for m in METRICS}
+SLIDER = {m: f"{d(m)} * ({d(1)} + {d(SLIDERS[m])} / {d(100)})" for m in METRICS}
 SIM = f"""
 sim as materialized (select *, {", ".join(f"{SLIDER[m]} as sim_{m}" for m in METRICS)} from learners),
 simx as materialized (select *, {index_sql({m: f"sim_{m}" for m in METRICS})} as sim_learning_index from sim)"""
@@ -597,8 +631,8 @@ lowest as (
       select student_uid, {", ".join(f"{r9(f'sim_{m}')} as sim_{m}" for m in METRICS)},
         {r9("learning_index")} as learning_index, {r9("sim_learning_index")} as sim_learning_index from simx""")
     out["simulated_pass_rate"] = q(LEARNER, f"""
-      select {r("avg(label) * 100")} as pass_rate, {r(f"avg(label) * 100 + {(CLASS_SLIDERS.mean_score + CLASS_SLIDERS.completion) / 2}")} as simulated_pass_rate,
-        {r(f"abs({d((CLASS_SLIDERS.mean_score + CLASS_SLIDERS.completion) / 2)})")} as twin_gap from learners""")
+      select {r("avg(label) * 100")} as pass_rate, {r(f"avg(label) * 100 + {(SLIDERS["mean_score"] + SLIDERS["completion"]) / 2}")} as simulated_pass_rate,
+        {r(f"abs({d((SLIDERS["mean_score"] + SLIDERS["completion"]) / 2)})")} as twin_gap from learners""")
     for s in SCENARIOS:
         out[f"scenario_{s.name}"] = q(TEST, _scenario_sql(s, aggregate=False))
     out["snapshot_means"] = q(TEST, " union all ".join(_scenario_sql(s, aggregate=True) for s in SCENARIOS))

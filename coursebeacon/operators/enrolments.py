@@ -35,9 +35,14 @@ def real_labels(enrolled: DataFrame) -> DataFrame:
     return enrolled.select("student_uid", "label", "final_result").distinct()
 
 
+def _one_label(real: DataFrame) -> DataFrame:
+    """A learner with several results has passed if any of them is a pass."""
+    return real.groupBy("student_uid").agg(F.max("label").alias("label"))
+
+
 def attach_labels(df: DataFrame, real: DataFrame, unknown_label: str = "zero") -> DataFrame:
     """Labels by key; a learner without a known label counts as 0 or is dropped."""
-    labels = real.select("student_uid", "label").dropDuplicates(["student_uid"])
+    labels = _one_label(real)
     how = {"zero": "left", "drop": "inner"}[unknown_label]
     joined = df.drop("label").join(labels, "student_uid", how)
     return joined.withColumn("label", F.coalesce("label", F.lit(0)))
@@ -49,9 +54,7 @@ def ensure_label(df: DataFrame, real: DataFrame | None = None) -> DataFrame:
         return df
     if real is None:
         return df.withColumn("label", F.lit(0))
-    return df.join(
-        real.select("student_uid", "label").dropDuplicates(["student_uid"]), "student_uid", "left"
-    )
+    return df.join(_one_label(real), "student_uid", "left")
 
 
 def attach_predictions(df: DataFrame, predictions: DataFrame | None) -> DataFrame:

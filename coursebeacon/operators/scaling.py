@@ -29,7 +29,9 @@ def scaler_table(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
 
 @dataclass(frozen=True)
 class ClickScaler:
-    ranges: tuple[tuple[float, float], ...]
+    """(min, max) per week; None where a stored table lacks the week."""
+
+    ranges: tuple[tuple[float, float] | None, ...]
 
     @staticmethod
     def fit(df: DataFrame, max_weeks: int = MAX_WEEKS) -> "ClickScaler":
@@ -37,19 +39,28 @@ class ClickScaler:
 
     @staticmethod
     def of_table(table: DataFrame, max_weeks: int = MAX_WEEKS) -> "ClickScaler":
-        """From a stored table; a week it lacks keeps its values."""
-        rows = {r["week"]: (r["min"], r["max"]) for r in
-                table.filter(F.col("week") < max_weeks).limit(max_weeks).collect()}
-        ranges = [rows.get(k, (0.0, 1.0)) for k in range(max_weeks)]
-        return ClickScaler(tuple((0.0 if lo is None else lo, 1.0 if hi is None else hi) for lo, hi in ranges))
+        """From a stored table with one row per week; a week it lacks is scaled by the range of the
+        column it is applied to. A week that is missing, negative or stored twice is an error."""
+        stored = table.groupBy("week").agg(
+            F.count("*").alias("n"), F.min("min").alias("min"), F.max("max").alias("max")
+        )
+        wrong = (F.col("n") > 1) | F.col("week").isNull() | (F.col("week") < 0)
+        if not stored.filter(wrong).isEmpty():
+            raise ValueError("a scaler table needs one row for each week from 0 on")
+        rows = {r["week"]: (0.0 if r["min"] is None else r["min"], 1.0 if r["max"] is None else r["max"])
+                for r in stored.filter(F.col("week") < max_weeks).collect()}
+        return ClickScaler(tuple(rows.get(k) for k in range(max_weeks)))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({
-            c: scaled(c, lo, hi) for c, (lo, hi) in zip(week_columns(len(self.ranges)), self.ranges)
-        })
+        known = dict(zip(week_columns(len(self.ranges)), self.ranges))
+        absent = [c for c, r in known.items() if r is None]
+        if absent:
+            own = column_ranges(df, absent)
+            known |= {c: (0.0, 1.0) if low is None else (low, high) for c, (low, high) in zip(absent, own)}
+        return df.withColumns({c: scaled(c, low, high) for c, (low, high) in known.items()})
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, lo, hi) for k, (lo, hi) in enumerate(self.ranges)]
+        rows = [(k, lo, hi) for k, (lo, hi) in ((k, r) for k, r in enumerate(self.ranges) if r is not None)]
         return spark.createDataFrame(rows, SCALER)
 
 

@@ -37,6 +37,18 @@ def test_scaler_fit_store_and_constant_weeks(spark):
     assert ClickScaler.fit(df, WEEKS).table(spark).count() == WEEKS
 
 
+def test_stored_scaler_is_checked_and_falls_back(spark):
+    df, _ = table(spark, 6)
+    stored = scaler_table(df, WEEKS)
+    partial = ClickScaler.of_table(stored.filter("week <> 1"), WEEKS)
+    assert partial.ranges[1] is None and partial.table(spark).count() == WEEKS - 1
+    r = partial.transform(df).agg(F.min("w1_clicks"), F.max("w1_clicks")).first()
+    assert tuple(r) == (0.0, 1.0)  # the column's own range
+    for bad in (stored.union(stored.filter("week = 0")), stored.withColumn("week", F.col("week") - 1)):
+        with pytest.raises(ValueError, match="one row for each week"):
+            ClickScaler.of_table(bad, WEEKS)
+
+
 def test_masking_comes_before_scaling(spark):
     df, _ = table(spark, 5)
     scaler = ClickScaler(((10.0, 20.0),) * WEEKS)

@@ -2,8 +2,9 @@
 
 A task hashes all windows of its documents and keeps, of each hash, the first place; later places in
 the same task are repeats already. First places go to buckets by a second, independent hash, packed
-as arrays; a bucket finds the globally first place of each hash and reports the others. Repeated
-windows of a document merge into maximal intervals, which are removed.
+as arrays; a bucket finds the globally first place of each hash and reports the others, again packed,
+to groups of documents. Repeated windows of a document merge into maximal intervals, which are
+removed.
 
 Two windows count as equal if their 64-bit hashes agree and they fall in the same bucket, so the
 effective width is 64 bits and the logarithm of the number of buckets, which grows with the input.
@@ -98,11 +99,13 @@ def _undeltas(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
+#: A message to a bucket: first places with their hashes, or repeats for a group of documents (then
+#: without hashes). Documents are listed once; a place is the index of its document and its start.
 SENT = pa.schema([
-    ("bucket", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("hashes", pa.binary()), ("at", pa.binary()),
-    ("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int32())),
+    ("bucket", pa.int32()), ("documents", pa.int32()), ("docs", pa.binary()), ("tags", pa.binary()), ("at", pa.binary()),
+    ("hashes", pa.binary()),
 ])
-SENT_SQL = "bucket int, docs binary, tags binary, hashes binary, at binary, doc long, tag long, starts array<int>"
+SENT_SQL = "bucket int, documents int, docs binary, tags binary, at binary, hashes binary"
 MARKS_SQL = "doc long, tag long, starts array<int>"
 
 
@@ -112,18 +115,40 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[edges], np.append(edges, len(owner))
 
 
-def _marks(doc: np.ndarray, tag: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> dict[str, pa.Array]:
-    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(starts, pa.int32()))
-    return {"doc": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int64()), "starts": lists}
-
-
-def _filled(columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
+def _filled(columns: dict[str, list]) -> pa.RecordBatch:
+    n = len(columns["docs"])
     return pa.RecordBatch.from_arrays(
-        [columns.get(f.name, pa.nulls(n, f.type)) for f in SENT], schema=SENT
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in SENT], schema=SENT
     )
 
 
+def _packed(rows: dict[str, list], doc: np.ndarray, tag: np.ndarray, index: np.ndarray, start: np.ndarray) -> None:
+    """Adds places to a message; ``index`` into doc and tag has equal values side by side."""
+    used, runs = _runs(index)
+    rows["docs"].append(_deltas(doc[used]))
+    rows["tags"].append(tag[used].tobytes())
+    rows["at"].append(_deltas((np.repeat(np.arange(len(used)), np.diff(runs)) << 32) + start))
+
+
+def _places(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, tag, start) of the places in a message."""
+    at = _undeltas(row["at"])
+    index = at >> 32
+    return _undeltas(row["docs"])[index], np.frombuffer(row["tags"], np.int64)[index], at & 0xFFFFFFFF
+
+
+def _repeated(doc: np.ndarray, tag: np.ndarray, index: np.ndarray, start: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Messages about repeats, one for each group of documents; a document's places are side by side."""
+    group = (_mixed(doc.view(np.uint64) ^ _mixed(tag.view(np.uint64))) % np.uint64(groups)).astype(np.int32)[index]
+    order = np.argsort(group, kind="stable")
+    index, start = index[order], start[order]
+    numbers, edges = _runs(group[order])
+    rows: dict[str, list] = {"bucket": numbers.tolist(), "documents": numbers.tolist(), "docs": [], "tags": [], "at": []}
+    for a, b in zip(edges[:-1], edges[1:]):
+        _packed(rows, doc, tag, index[a:b], start[a:b])
+    return _filled(rows)
+
+
 class Block:
     """Windows of some documents, to be sent together; documents with equal keys are one."""
 
@@ -152,26 +177,16 @@ class Block:
         first[rank[same]] = False
         repeats = np.flatnonzero(~first)
         if len(repeats):
-            of, edges = _runs(owner[repeats])
-            yield _filled(
-                _marks(doc[of], tag[of], repeats - offsets[owner[repeats]], edges)
-                | {"bucket": pa.array(bucket[repeats[edges[:-1]]], pa.int32())}
-            )
+            yield _repeated(doc, tag, owner[repeats], repeats - offsets[owner[repeats]], self.buckets)
         places = np.flatnonzero(first)
         places = places[np.argsort(bucket[places], kind="stable")]
         numbers, edges = _runs(bucket[places])
-        packed: dict[str, list[bytes]] = {"docs": [], "tags": [], "hashes": [], "at": []}
+        rows: dict[str, list] = {"bucket": numbers.tolist(), "docs": [], "tags": [], "at": [], "hashes": []}
         for a, b in zip(edges[:-1], edges[1:]):
             own = places[a:b]
-            used, runs = _runs(owner[own])
-            index = np.repeat(np.arange(len(used)), np.diff(runs))
-            packed["docs"].append(_deltas(doc[used]))
-            packed["tags"].append(tag[used].tobytes())
-            packed["hashes"].append(values[own].tobytes())
-            packed["at"].append(_deltas((index << 32) + (own - offsets[owner[own]])))
-        yield _filled(
-            {"bucket": pa.array(numbers, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in packed.items()}
-        )
+            _packed(rows, doc, tag, owner[own], own - offsets[owner[own]])
+            rows["hashes"].append(values[own].tobytes())
+        yield _filled(rows)
 
 
 def _windows(docs: DataFrame, buckets: int, window: int, block_bytes: int) -> DataFrame:
@@ -195,37 +210,53 @@ def _windows(docs: DataFrame, buckets: int, window: int, block_bytes: int) -> Da
     return docs.select("doc", "tag", "text").mapInArrow(hashes, SENT_SQL)
 
 
-def _repeats(group: pa.Table) -> pa.Table:
-    """All places of a bucket but the first of each hash, and what its rows bring as repeats already."""
-    ready = group.filter(pc.is_valid(group["starts"])).select(["doc", "tag", "starts"])
-    sent = group.filter(pc.is_valid(group["hashes"]))
+def _repeats(group: pa.Table, groups: int) -> pa.Table:
+    """Messages about all places of a bucket but the first of each hash, beside those it brings."""
+    ready = group.filter(pc.is_null(group["hashes"]))
+    found = [ready]
     doc, tag, start, values = [], [], [], []
-    for row in sent.select(["docs", "tags", "hashes", "at"]).to_pylist():
-        at = _undeltas(row["at"])
-        doc.append(_undeltas(row["docs"])[at >> 32])
-        tag.append(np.frombuffer(row["tags"], np.int64)[at >> 32])
-        start.append(at & 0xFFFFFFFF)
+    for row in group.filter(pc.is_valid(group["hashes"])).to_pylist():
+        for into, part in zip((doc, tag, start), _places(row)):
+            into.append(part)
         values.append(np.frombuffer(row["hashes"], np.uint64))
-    if not values:
-        return ready.combine_chunks()
-    values = np.concatenate(values)
-    rank = np.argsort(values)
-    ordered = values[rank]
-    like = ordered[1:] == ordered[:-1]
-    shared = rank[np.append(like, False) | np.append(False, like)]
-    doc, tag, start = (np.concatenate(x)[shared] for x in (doc, tag, start))
-    values = values[shared]
-    by = np.lexsort((start, tag, doc, values))
-    doc, tag, start, values = doc[by], tag[by], start[by], values[by]
-    _, edges = _runs(values)
-    run = np.repeat(edges[:-1], np.diff(edges))
-    later = (doc != doc[run]) | (tag != tag[run]) | (start != start[run])
-    doc, tag, start = doc[later], tag[later], start[later]
+    if values:
+        values = np.concatenate(values)
+        rank = np.argsort(values)
+        ordered = values[rank]
+        like = ordered[1:] == ordered[:-1]
+        shared = rank[np.append(like, False) | np.append(False, like)]
+        doc, tag, start = (np.concatenate(x)[shared] for x in (doc, tag, start))
+        values = values[shared]
+        by = np.lexsort((start, tag, doc, values))
+        doc, tag, start, values = doc[by], tag[by], start[by], values[by]
+        _, edges = _runs(values)
+        run = np.repeat(edges[:-1], np.diff(edges))
+        later = (doc != doc[run]) | (tag != tag[run]) | (start != start[run])
+        doc, tag, start = doc[later], tag[later], start[later]
+        if len(doc):
+            by = np.lexsort((start, tag, doc))
+            doc, tag, start = doc[by], tag[by], start[by]
+            own = _edges(doc, tag)
+            index = np.repeat(np.arange(len(own) - 1), np.diff(own))
+            batch = _repeated(doc[own[:-1]], tag[own[:-1]], index, start, groups)
+            found.append(pa.Table.from_batches([batch]).cast(ready.schema))
+    return pa.concat_tables(found).combine_chunks()
+
+
+def _edges(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Where the places of another document begin, and the end."""
+    new = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))
+    return np.append(np.flatnonzero(new), len(doc))
+
+
+def _gathered(group: pa.Table) -> pa.Table:
+    """One row per document of a group: the starts of its repeated windows."""
+    doc, tag, start = (np.concatenate(x) for x in zip(*map(_places, group.to_pylist())))
     by = np.lexsort((start, tag, doc))
     doc, tag, start = doc[by], tag[by], start[by]
-    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))) if len(doc) else np.empty(0, int)
-    marks = _marks(doc[cut], tag[cut], start, np.append(cut, len(doc)))
-    return pa.concat_tables([ready, pa.Table.from_pydict(marks, schema=ready.schema)]).combine_chunks()
+    edges = _edges(doc, tag)
+    starts = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(start, pa.int32()))
+    return pa.table({"doc": doc[edges[:-1]], "tag": tag[edges[:-1]], "starts": starts})
 
 
 def removal_spans(n_words: int, starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -266,9 +297,9 @@ def substring_dedup(
     buckets = 1 + total // bucket_bytes
     slim = keyed.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), F.col(text_col).alias("text"))
     sent = _windows(slim, buckets, window, block_bytes)
-    marks = sent.groupBy("bucket").applyInArrow(_repeats, MARKS_SQL)
-    marks = staged(marks, "repeated-windows")
-    marked = marks.groupBy("doc", "tag").agg(F.flatten(F.collect_list("starts")).alias("_starts"))
+    repeats = sent.groupBy("bucket").applyInArrow(lambda group: _repeats(group, buckets), SENT_SQL)
+    marked = staged(repeats.groupBy("documents").applyInArrow(_gathered, MARKS_SQL), "repeated-windows")
+    marked = marked.withColumnRenamed("starts", "_starts")
     joined = keyed.join(marked, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
     fields = docs.schema.fields
 

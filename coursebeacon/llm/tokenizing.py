@@ -2,18 +2,22 @@
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from struct import pack
 
 import numpy as np
 
-#: A text is cut before white space, and before punctuation behind ASCII letters. The byte-level
+LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+#: A text is cut before white space, and before punctuation behind Latin letters. The byte-level
 #: tokenizers part words at those places whatever stands around them, so ids of pieces make up the
 #: ids of the text.
-PIECES = re.compile(r"[\t-\r ]*[A-Za-z]+(?=[.,;:!?\t-\r ]|$)|[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+PIECES = re.compile(rf"[\t-\r ]*[{LATIN}]+(?=[.,;:!?\t-\r ]|$)|[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Other white space joins what stands before the cut; such texts are encoded whole.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Pieces remembered by a Python worker, some 200 MB.
-REMEMBERED = 800_000
+OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: Only letters, digits or punctuation, with or without a space before: one word to those tokenizers.
+ONE_WORD = re.compile(rf"[ ]?(?:[{LATIN}]+|[0-9]+|[!-/:-@\[-`{{-~]+)")
+#: Words and pieces remembered by a Python worker, some 150 MB each.
+REMEMBERED = 700_000
 
 
 def load(path: str):
@@ -24,53 +28,58 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: themselves, or from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Remembered(dict):
+    """Results of a function; once ``limit`` are kept, further ones are made anew each time."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(self) < self.limit:
+            self[key] = made
+        return made
+
+
 class Encoder:
-    """Ids of texts, by way of the ids of their pieces."""
+    """Ids of texts by a byte-level tokenizer, by way of the remembered ids of words and pieces.
+
+    Ids are kept as the bytes of unsigned 32-bit integers, so that those of a text are one join.
+    """
 
     def __init__(self, path: str, limit: int = REMEMBERED) -> None:
-        self.tokenizer, self.limit = load(path), limit
-        self.known = 0
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.first = np.empty(1 << 16, np.int64)
-        self.length = np.empty(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, pieces: list[str]) -> None:
-        for encoding in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            ids, k = encoding.ids, len(self.index)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            if k == len(self.first):
-                self.first = np.concatenate([self.first, np.empty_like(self.first)])
-                self.length = np.concatenate([self.length, np.empty_like(self.length)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.first[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[pieces[k - self.known]] = k
+        self.tokenizer = load(path)
+        self.characters = byte_characters()
+        self.pieces = Remembered(self._piece, limit)
+        self.words = Remembered(lambda word: self._pieces(" " + word), limit)
+
+    def _piece(self, piece: str) -> bytes:
+        if ONE_WORD.fullmatch(piece):  # one pre-token: straight to the model
+            shown = piece.encode().decode("latin-1").translate(self.characters)
+            ids = [token.id for token in self.tokenizer.model.tokenize(shown)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, as the library gives them without added special tokens."""
         if OTHER_SPACE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = PIECES.findall(text)
-        try:
-            places = list(map(self.index.__getitem__, pieces))
-        except KeyError:
-            if len(self.index) > self.limit:
-                self.forget()
-            self.known = len(self.index)
-            self.learn([p for p in dict.fromkeys(pieces) if p not in self.index])
-            places = list(map(self.index.__getitem__, pieces))
-        if not places:
-            return np.empty(0, np.uint32)
-        at = np.array(places)
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        return self.ids[np.repeat(self.first[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+        if "  " in text or text[-1:] == " ":  # spaces that belong together
+            return np.frombuffer(self._pieces(text), "<u4")
+        first, *words = text.split(" ")
+        return np.frombuffer(self._pieces(first) + b"".join(map(self.words.__getitem__, words)), "<u4")
 
 
 _encoders: dict[str, Encoder] = {}

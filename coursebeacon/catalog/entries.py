@@ -586,8 +586,8 @@ def tune(spark, folder):
     estimator = LogisticRegression(labelCol="label", weightCol="class_weight")
     grid = (ParamGridBuilder().addGrid(estimator.regParam, [0.0, 0.01, 0.1])
             .addGrid(estimator.elasticNetParam, [0.0, 0.5]).build())
-    _, scores = train.tune(_prepared(spark, folder).train, estimator, grid)
-    rows = [(i, float(m[estimator.regParam]), float(m[estimator.elasticNetParam]), bool(0.5 < v <= 1))
+    scores = train.tune(_prepared(spark, folder).train, estimator, grid).scores
+    rows = [(i, float(m[estimator.regParam]), float(m[estimator.elasticNetParam]), v is not None and 0.5 < v <= 1)
             for i, (m, v) in enumerate(zip(grid, scores))]
     return spark.createDataFrame(rows, "ordinal int, reg_param double, elastic_net double, above_chance boolean")
 

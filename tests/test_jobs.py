@@ -46,12 +46,17 @@ def test_models_beat_chance(prepared):
     assert fit.count() + held.count() == prepared.train.count() and held.count() > 0
 
 
-def test_tuning_scores_every_configuration(prepared):
+def test_tuning_scores_every_configuration(spark, prepared, tmp_path):
     estimator = LogisticRegression(labelCol="label", weightCol="class_weight")
     grid = ParamGridBuilder().addGrid(estimator.regParam, [0.0, 0.5]).build()
-    model, scores = train.tune(prepared.train, estimator, grid)
-    assert len(scores) == 2 and all(0 < s < 1 for s in scores)
-    assert train.scorer(model.bestModel, train.with_all_features)(prepared.test).filter("prob_pass is null").count() == 0
+    impossible = {estimator.regParam: 0.0, estimator.weightCol: "no such column"}
+    tuned = train.tune(prepared.train, estimator, [*grid, impossible])
+    assert tuned.scores[2] is None and all(0 < s < 1 for s in tuned.scores[:2])
+    assert tuned.score(prepared.test).filter("prob_pass is null").count() == 0
+    train.write_tuned(tuned, prepared.test, f"{tmp_path}/model", f"{tmp_path}/predictions")
+    assert spark.read.parquet(f"{tmp_path}/predictions").count() == prepared.test.count()
+    with pytest.raises(Exception, match="no such column"):
+        train.tune(prepared.train, estimator, [impossible])
 
 
 def test_rebuild_writes_every_table(spark, small, tmp_path):

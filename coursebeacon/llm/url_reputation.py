@@ -43,27 +43,27 @@ def registered_domain(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFI
     return domain, suffix
 
 
-def _prior(units: DataFrame, mean: str) -> DataFrame:
-    """One row: strength of the beta prior whose mean each unit takes from its parent."""
+def _strength(units: DataFrame, mean: str) -> float:
+    """Strength of the beta prior whose mean each unit takes from its parent, by moments.
+
+    One number for a whole level comes to the driver.
+    """
     p = F.col(mean)
-    seen = units.filter("n > 0")
     misfit = F.sum(F.pow(F.col("k") - F.col("n") * p, 2) / (F.col("n") * p * (1 - p)))
-    spare = F.sum("n") - F.count("*")
-    rho = F.when(spare > 0, (misfit - F.count("*")) / spare).otherwise(F.lit(RHO[1]))
-    rho = F.least(F.greatest(F.coalesce(rho, F.lit(RHO[1])), F.lit(RHO[0])), F.lit(RHO[1]))
-    return seen.agg(rho.alias("rho")).select(((1 - F.col("rho")) / F.col("rho")).alias("strength"), F.lit(1).alias("_one"))
+    row = units.filter("n > 0").agg(misfit.alias("misfit"), F.sum("n").alias("n"), F.count("*").alias("units")).first()
+    spare = (row["n"] or 0) - row["units"]
+    rho = (row["misfit"] - row["units"]) / spare if spare > 0 else RHO[1]
+    rho = min(max(rho, RHO[0]), RHO[1])
+    return (1 - rho) / rho
 
 
 def _shrunk(units: DataFrame, parent_mean: str, out: str) -> DataFrame:
-    """Adds alpha, beta and their mean as ``out``; the prior is one broadcast row."""
-    prior = F.broadcast(_prior(units, parent_mean))
-    alpha = F.col("strength") * F.col(parent_mean) + F.col("k")
-    beta = F.col("strength") * (1 - F.col(parent_mean)) + F.col("n") - F.col("k")
-    return (
-        units.withColumn("_one", F.lit(1)).join(prior, "_one")
-        .withColumns({"alpha": alpha, "beta": beta})
-        .withColumn(out, F.col("alpha") / (F.col("alpha") + F.col("beta")))
-        .drop("_one", "strength")
+    """Adds alpha, beta and their mean as ``out``."""
+    strength = _strength(units, parent_mean)
+    alpha = F.lit(strength) * F.col(parent_mean) + F.col("k")
+    beta = F.lit(strength) * (1 - F.col(parent_mean)) + F.col("n") - F.col("k")
+    return units.withColumns({"alpha": alpha, "beta": beta}).withColumn(
+        out, F.col("alpha") / (F.col("alpha") + F.col("beta"))
     )
 
 
@@ -83,19 +83,16 @@ def host_reputation(
     domain, suffix = registered_domain(F.col("host"), two_label)
     hosts = staged(counts.withColumns({"domain": domain, "suffix": suffix}), "url-hosts")
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    overall = hosts.agg(*sums).select(
-        ((F.coalesce("k", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 1.0)).alias("overall"), F.lit(1).alias("_one")
-    )
-    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("_one", F.lit(1))
-    suffixes = staged(
-        _shrunk(suffixes.join(F.broadcast(overall), "_one").drop("_one"), "overall", "suffix_mean")
-        .select("suffix", "suffix_mean"), "url-suffixes",
-    )
-    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes, "suffix")
+    seen = hosts.agg(*sums).first()
+    overall = ((seen["k"] or 0) + 0.5) / ((seen["n"] or 0) + 1.0)
+    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("overall", F.lit(overall))
+    suffixes = staged(_shrunk(suffixes, "overall", "suffix_mean").select("suffix", "suffix_mean"), "url-suffixes")
+    domains = staged(hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes, "suffix"), "url-domain-counts")
     domains = staged(
         _shrunk(domains, "suffix_mean", "domain_mean").select("domain", "domain_mean"), "url-domains"
     )
-    hosts = _shrunk(hosts.join(domains, "domain"), "domain_mean", "mean")
+    hosts = staged(hosts.join(domains, "domain"), "url-host-priors")
+    hosts = _shrunk(hosts, "domain_mean", "mean")
     total = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)))
     return hosts.select(

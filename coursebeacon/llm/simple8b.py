@@ -11,6 +11,8 @@ import struct
 import numpy as np
 
 BLOCK = 1024
+#: Blocks that are packed side by side.
+BLOCKS = 512
 #: Fixed by the coding: values in a word by selector; each takes 60 // count bits.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
@@ -25,10 +27,20 @@ def _bit_lengths(values: np.ndarray) -> np.ndarray:
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, offsets of the blocks in words, exceptions)."""
-    values = np.ascontiguousarray(values, np.uint64)
+    words, lengths, exceptions, known = [], [np.zeros(1, np.int64)], [], 0
+    for i in range(0, len(values), BLOCKS * block):
+        part = _pack(np.ascontiguousarray(values[i : i + BLOCKS * block], np.uint64), block, known)
+        words.append(part[0])
+        lengths.append(part[1])
+        exceptions.append(part[2])
+        known += len(part[2])
+    join = lambda parts: np.concatenate([np.empty(0, np.uint64), *parts])
+    return join(words), np.cumsum(np.concatenate(lengths)).astype(np.uint64), join(exceptions)
+
+
+def _pack(values: np.ndarray, block: int, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words of each block, exceptions) of some blocks; ``known`` exceptions came before."""
     n_blocks = -(-len(values) // block)
-    if not n_blocks:
-        return np.empty(0, np.uint64), np.zeros(1, np.uint64), np.empty(0, np.uint64)
     width = block + COUNTS[0]
     padded = np.zeros((n_blocks, width), np.uint64)
     whole = np.zeros(n_blocks * block, np.uint64)
@@ -37,7 +49,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     bits = _bit_lengths(padded.ravel()).reshape(padded.shape)
     escaped = bits > 60
     exceptions = padded[escaped]
-    padded[escaped] = np.arange(len(exceptions), dtype=np.uint64)
+    padded[escaped] = np.arange(known, known + len(exceptions), dtype=np.uint64)
     # the most values that fit, for every place: a place keeps the first selector that fits it
     spans, length = {1: bits}, 1
     while 2 * length <= COUNTS[0]:
@@ -71,8 +83,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         size = 60 // count
         for j in range(count):
             words[own] |= flat[base[own] + j] << np.uint64(size * j)
-    offsets = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.uint64)
-    return words, offsets, exceptions
+    return words, used.sum(1), exceptions
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, exceptions: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:

@@ -16,8 +16,8 @@ PIECES = re.compile(rf"[\t-\r ]*[{LATIN}]+(?=[.,;:!?\t-\r ]|$)|[\t-\r ]*[^\t-\r
 OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Only letters, digits or punctuation, with or without a space before: one word to those tokenizers.
 ONE_WORD = re.compile(rf"[ ]?(?:[{LATIN}]+|[0-9]+|[!-/:-@\[-`{{-~]+)")
-#: Words and pieces remembered by a Python worker, some 150 MB each.
-REMEMBERED = 700_000
+#: Words and pieces remembered by a Python worker, some 60 MB each.
+REMEMBERED = 300_000
 
 
 def load(path: str):

@@ -20,7 +20,7 @@ from coursebeacon.session import staged
 
 SEED = 20240601
 #: Documents of a shard, whose tape is laid out in one task.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 #: Sources that a mix may have; their sums are planned on the driver.
 MAX_SOURCES = 100_000
 MAX_BLOCK = 1024
@@ -173,19 +173,22 @@ def mix(
     )
 
 
-def mixed_text(text: Column, pieces: Column, cap: int = 2) -> Column:
-    """The words that the mix takes: once round for each time, parted by a line end.
+def with_mixed_text(mixed: DataFrame, text_col: str = "text", cap: int = 2) -> DataFrame:
+    """A result of ``mix`` whose texts are the words taken: once round for each time, parted by a line end.
 
     A text that is taken whole and once stays as it is.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text, words = F.col(text_col), F.col("_words")
+    split = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    whole = F.forall("pieces", lambda p: p["times"] == 1)
 
     def turn(n: int) -> Column:
         taken = F.flatten(F.transform(
-            F.filter(pieces, lambda p: p["times"] >= n),
+            F.filter("pieces", lambda p: p["times"] >= n),
             lambda p: F.slice(words, (p["first"] + 1).cast("int"), (p["last"] - p["first"] + 1).cast("int")),
         ))
         return F.array_join(taken, " ")
 
     turns = F.filter(F.array(*[turn(n) for n in range(1, cap + 1)]), lambda t: t != "")
-    return F.when(F.forall(pieces, lambda p: p["times"] == 1), text).otherwise(F.array_join(turns, "\n"))
+    parted = mixed.withColumn("_words", F.when(~whole, split))  # a column of its own: split once
+    return parted.withColumn(text_col, F.when(words.isNull(), text).otherwise(F.array_join(turns, "\n"))).drop("_words")

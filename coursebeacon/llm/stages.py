@@ -37,8 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document's text becomes the blocks that the mix takes of it, repeats included."""
-    mixed = mixing.mix(docs, MIX_WEIGHTS).filter("taken > 0")
-    mixed = mixed.withColumn("text", mixing.mixed_text(F.col("text"), F.col("pieces")))
+    mixed = mixing.with_mixed_text(mixing.mix(docs, MIX_WEIGHTS).filter("taken > 0"))
     return mixed.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -131,7 +131,8 @@ def test_targets():
 def test_mix_comes_near_its_targets(spark):
     extra = [(1000 + i, "word " * (i * 37 % 400), "en") for i in range(300)]
     docs = helpers.awkward(spark, extra).filter("length(coalesce(text, '')) < 50000")
-    mixed = mixing.mix(docs, (3, 1, 2), shard_docs=40).select("*", mixing.mixed_text(mixing.F.col("text"), mixing.F.col("pieces")).alias("out"))
+    mixed = mixing.mix(docs, (3, 1, 2), shard_docs=40).withColumn("out", mixing.F.col("text"))
+    mixed = mixing.with_mixed_text(mixed, "out")
     rows = mixed.collect()
     assert len(rows) == docs.count()
     sizes, taken, goal = defaultdict(int), defaultdict(int), {}

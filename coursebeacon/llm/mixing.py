@@ -1,9 +1,10 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
+"""Mixing sources to target weights by Sainte-Lague apportionment of words, taken in equal blocks.
 
 Each source's documents lie in a seeded order on tapes, one per shard, cut into blocks of equal
-length. The seats (blocks of the whole mix) go to sources by highest quotients of their targets,
-then to the shards of a source by their sizes. Within a shard every block is taken as often as its
-quota goes round, and a seeded choice of blocks once more. Only per-source sums come to the driver.
+length. The seats (words of the whole mix) go to sources by highest quotients of their targets,
+then to the shards of a source by their sizes. Within a shard all is taken as often as its quota
+goes round, and a seeded choice of blocks once more, the last of them as far as the quota reaches.
+The length of a block thus does not depend on any target. Only per-source sums come to the driver.
 """
 
 import heapq
@@ -23,7 +24,8 @@ SEED = 20240601
 SHARD_DOCS = 2_000
 #: Sources that a mix may have; their sums are planned on the driver.
 MAX_SOURCES = 100_000
-MAX_BLOCK = 1024
+#: Words of a block, whatever the sources: what is left of a document is cut no finer.
+BLOCK_WORDS = 1024
 #: A prime above any number of blocks of a shard; blocks are chosen by multiplying with it.
 PRIME = 2_147_483_647
 
@@ -86,29 +88,29 @@ def sainte_lague(votes: Sequence[float], seats: int) -> list[int]:
     return result
 
 
-def block_length(goals: Sequence[float]) -> int:
-    """A two-hundredth of the smallest positive target, 1 to MAX_BLOCK words."""
-    return max(1, min([MAX_BLOCK, *(int(g // 200) for g in goals if g > 0)]))
-
-
-def _quotas(shards: DataFrame, block: int, cap: float) -> DataFrame:
-    """shards: _source, _shard, _total, _seats (of the source) -> quota of each shard in blocks."""
+def _quotas(shards: DataFrame, cap: float) -> DataFrame:
+    """shards: _source, _shard, _total, _seats (of the source) -> quota of each shard in words."""
 
     def divide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_shard")
         quota = sainte_lague(rows["_total"].tolist(), int(rows["_seats"].iloc[0]))
-        room = (rows["_total"] + block - 1) // block * int(cap)
-        return rows.assign(_quota=room.clip(upper=pd.Series(quota, index=rows.index)))
+        room = (rows["_total"] * cap).astype("int64")
+        return rows.assign(_quota=pd.Series(quota, index=rows.index).clip(upper=room))
 
     return shards.groupBy("_source").applyInPandas(
         divide, "_source int, _shard long, _total long, _seats long, _quota long"
     )
 
 
-def times_of(block: Column, blocks: Column, quota: Column, seed: int) -> Column:
-    """How often a block is taken: as often as the quota goes round, and once more if chosen."""
-    turn = F.pmod(block * F.lit(PRIME) % blocks + F.pmod(F.xxhash64(F.lit(seed), F.col("_source"), F.col("_shard")), blocks), blocks)
-    return F.floor(quota / blocks) + F.when(turn < F.pmod(quota, blocks), F.lit(1)).otherwise(F.lit(0))
+def extra_of(number: Column, blocks: Column, total: Column, rest: Column, block: int, seed: int) -> Column:
+    """Words at the start of a block that are taken once more: blocks follow in a seeded order until ``rest`` is reached."""
+    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("_source"), F.col("_shard")), blocks)
+    turn = lambda b: F.pmod(b * F.lit(PRIME) % blocks + shift, blocks)
+    final = blocks - 1  # may be shorter than the others
+    short = blocks * block - total
+    before = turn(number) * block - F.when(turn(number) > turn(final), short).otherwise(F.lit(0))
+    length = F.lit(block) - F.when(number == final, short).otherwise(F.lit(0))
+    return F.greatest(F.lit(0), F.least(rest - before, length))
 
 
 def mix(
@@ -118,9 +120,10 @@ def mix(
 ) -> DataFrame:
     """All rows of ``docs`` with size, source_size, target, taken and pieces added.
 
-    Sources in code point order, null last, get the weights in turn. ``pieces`` lists the blocks
-    that a document lies in: first and last of its words and how often the mix takes them; ``taken``
-    is the words that makes. ``size_col`` names a column that holds the sizes already (``docs`` is
+    Sources in code point order, null last, get the weights in turn. ``pieces`` lists the parts of a
+    document by the blocks it lies in: first and last of its words and how often the mix takes them;
+    ``taken`` is the words that makes. Blocks have ``block_words`` (1,024) words in every source; one
+    block of a shard may be taken in part, so that words, not blocks, meet the targets. ``size_col`` names a column that holds the sizes already (``docs`` is
     read three times). Null texts have no words and are never taken; null ids have one place in the
     order; rows equal in id and size may change places, which changes nothing in the result. An
     empty table gives an empty result; columns of ``docs`` named like the added ones are replaced.
@@ -137,8 +140,8 @@ def mix(
     rows.sort(key=lambda r: (r["name"] is None, r["name"] or ""))
     given = [float(weights[i % len(weights)]) for i in range(len(rows))]
     goals = targets([r["size"] for r in rows], given, share, cap)
-    block = block_words or block_length(goals)
-    seats = sainte_lague(goals, round(sum(goals) / block))
+    block = block_words or BLOCK_WORDS
+    seats = sainte_lague(goals, round(sum(goals)))
     plan = spark.createDataFrame(
         [(r["name"], i, r["size"], float(goals[i]), seats[i], max(1, -(-r["docs"] // shard_docs))) for i, r in enumerate(rows)],
         "_name string, _source int, source_size long, target double, _seats long, _shards long",
@@ -149,7 +152,7 @@ def mix(
         .withColumn("_order", order).withColumn("_shard", F.pmod(F.xxhash64("_order"), F.col("_shards")))
     )
     shards = placed.groupBy("_source", "_shard").agg(F.sum("size").alias("_total"), F.max("_seats").alias("_seats"))
-    quotas = staged(_quotas(shards, block, cap), "mix-quotas").drop("_seats")
+    quotas = staged(_quotas(shards, cap), "mix-quotas").drop("_seats")
     tape = Window.partitionBy("_source", "_shard").orderBy("_order", id_col, "size")
     before = tape.rowsBetween(Window.unboundedPreceding, -1)
     laid = (
@@ -159,11 +162,18 @@ def mix(
     )
     end = F.col("_at") + F.col("size")
     numbers = F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))
-    pieces = F.transform(numbers, lambda b: F.struct(
-        (F.greatest(b * block, F.col("_at")) - F.col("_at")).alias("first"),
-        (F.least((b + 1) * block, end) - F.col("_at") - 1).alias("last"),
-        times_of(b, F.col("_blocks"), F.col("_quota"), seed).alias("times"),
-    ))
+    rounds, rest = F.expr("_quota div _total"), F.expr("_quota % _total")
+
+    def parts(b: Column) -> Column:
+        start, stop = F.greatest(b * block, F.col("_at")), F.least((b + 1) * block, end)
+        cut = b * block + extra_of(b, F.col("_blocks"), F.col("_total"), rest, block, seed)
+        cut = F.least(F.greatest(cut, start), stop)
+        part = lambda low, high, times: F.struct(
+            (low - F.col("_at")).alias("first"), (high - F.col("_at") - 1).alias("last"), times.alias("times")
+        )
+        return F.array(part(start, cut, rounds + 1), part(cut, stop, rounds))
+
+    pieces = F.filter(F.flatten(F.transform(numbers, parts)), lambda p: p["first"] <= p["last"])
     none = F.array().cast("array<struct<first:bigint,last:bigint,times:bigint>>")
     total = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + (p["last"] - p["first"] + 1) * p["times"])
     return (

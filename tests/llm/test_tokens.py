@@ -157,6 +157,26 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix(docs.limit(0), (3, 1, 2)).count() == 0
 
 
+def test_mix_with_a_tiny_source_keeps_long_runs(spark):
+    """A source of 100 words beside large ones: whole blocks in every source, targets met to the word."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(700 + i % 300)), f"big{i % 3}") for i in range(240)]
+    rows += [(1000, " ".join(f"tiny{j}" for j in range(100)), "a-tiny"), (1001, "long " * 60_000, "big0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.with_mixed_text(mixing.mix(docs, (3, 1, 2), shard_docs=30).withColumn("out", mixing.F.col("text")), "out")
+    found, taken, goal = mixed.collect(), defaultdict(int), {}
+    assert len(found) == len(rows) and any(r.taken < r.size for r in found) and any(r.taken > r.size for r in found)
+    for r in found:
+        assert len(r.pieces) <= 2 * (r.size // mixing.BLOCK_WORDS + 2)
+        assert [p.first for p in r.pieces] == [0, *[p.last + 1 for p in r.pieces[:-1]]] and r.pieces[-1].last == r.size - 1
+        words, out = helpers.spaced_words(r.text), helpers.spaced_words(r.out)
+        assert out == [w for n in (1, 2) for p in r.pieces if p.times >= n for w in words[p.first : p.last + 1]]
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+    assert all(abs(taken[s] - goal[s]) <= 3 for s in goal), (taken, goal)
+    short = sum(p.last - p.first < 100 for r in found for p in r.pieces if r.source != "a-tiny")
+    assert short < 0.25 * sum(len(r.pieces) for r in found if r.source != "a-tiny")
+
+
 def test_pipeline_against_brute_force(spark, small):
     """Each stage on what its predecessor kept."""
     docs = spark.read.parquet(f"{small}/documents.parquet")

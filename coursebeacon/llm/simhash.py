@@ -124,17 +124,21 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return inner.join(outer, "place").filter("a <> b").select("a", "b").distinct()
 
 
+def _rooted(slim: DataFrame, radius: int) -> DataFrame:
+    """slim: simhash and _first -> each distinct fingerprint with its smallest _first and the root of its component."""
+    prints = staged(slim.groupBy("simhash").agg(F.min("_first").alias("_first")), "simhash-prints")
+    groups = components(links(prints, radius)).select(F.col("node").alias("simhash"), "root")
+    rooted = prints.join(groups, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+    return staged(rooted, "simhash-roots")
+
+
 def linked(hashed: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """All rows of ``hashed``, which has a column simhash, with component_id added.
 
     ``hashed`` is read twice: give a written table where it is costly to make.
     """
-    slim = hashed.select(F.col(id_col).alias("_id"), "simhash").groupBy("simhash").agg(F.min("_id").alias("_least"))
-    prints = staged(slim, "simhash-prints")
-    groups = components(links(prints, radius)).select(F.col("node").alias("simhash"), "root")
-    rooted = prints.join(groups, "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
-    rooted = staged(rooted, "simhash-roots")
-    least = staged(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "simhash-least")
+    rooted = _rooted(hashed.select(F.col(id_col).alias("_first"), "simhash"), radius)
+    least = staged(rooted.groupBy("root").agg(F.min("_first").alias("component_id")), "simhash-least")
     named = staged(rooted.join(least, "root").select("simhash", "component_id"), "simhash-components")
     return hashed.drop("component_id").join(named, "simhash")
 
@@ -158,3 +162,23 @@ def near_duplicates(
     found = staged(linked(staged(hashed, "simhash-documents"), "_id", radius), "simhash-found")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag"))
     return docs.join(found, same).drop("_id", "_tag")
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+    radius: int = RADIUS, seed: int = SEED,
+) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: exactly one row of each component stays.
+
+    That is the one with the smallest id, null last; among rows of one id that with the smallest
+    XXH64 of its text, a null text counting as empty; among those one of them, by a number that each
+    row gets in a written table. Components are told apart by fingerprints, not by ids, so neither
+    an id in two components nor null ids lose one. An empty table gives an empty result.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), tag.alias("tag"), "_row")
+    slim = rows.select(first.alias("_first"), F.col(text_col).alias("_text"))
+    hashed = staged(with_fingerprint(slim, "_text", shingle, seed).drop("_text"), "simhash-documents")
+    kept = _rooted(hashed, radius).groupBy("root").agg(F.min("_first").alias("_first")).select("_first._row")
+    return rows.join(staged(kept, "simhash-kept"), "_row", "left_semi").select(*docs.columns)

@@ -24,9 +24,8 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    return found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*docs.columns)
+    """Of each group of near-duplicates exactly one row stays, one with the smallest id (null last)."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import simhash, substring_dedup
+from coursebeacon.llm import simhash, stages, substring_dedup
 from coursebeacon.llm.components import components
 from coursebeacon.llm.exact_dedup import exact_dedup
 from tests.llm import helpers
@@ -83,6 +83,25 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, an id with two near-duplicate texts or with two different ones, groups of null ids."""
+    line = " ".join(f"word{i}" for i in range(1000))
+    extra = [(200, line, "en"), (200, line + " more", "en"), (201, line, "en"), (None, line, "en")]
+    extra += [(None, "nobody knows this one at all", "fr")] * 4 + [(300, "said three times over", "de")] * 3
+    docs = helpers.awkward(spark, extra).filter("length(coalesce(text, '')) < 50000")
+    rows = docs.collect()
+    prints = [helpers.simhash(r.text) for r in rows]
+    assert (helpers.simhash(line) ^ helpers.simhash(line + " more")).bit_count() <= 2
+    groups = defaultdict(list)
+    for r, root in zip(rows, helpers.components(prints, range(len(rows)), 2)):
+        groups[root].append((r.doc_id is None, r.doc_id or 0, helpers.xx(r.text), r.text or ""))
+    kept = stages.simhash_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, helpers.xx(r.text), r.text or "") for r in kept.collect())
+    assert got == sorted(min(g) for g in groups.values()) and len(got) < len(rows) - 8
+    assert stages.simhash_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5, 5), (7, 6), (None, 3)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -3,7 +3,8 @@
 A rule is (label, keyword, also, priority, confidence, pattern). Patterns are Java regexes over
 normalised text: lower-case words parted by one space. The pattern cannot match without the keyword,
 a sequence of words, nor without ``also``, the beginning of a word or nothing. Rules of higher priority stand for longer and surer wordings; among equals the earlier
-rule wins. Below, each family lists its wordings by hand; `{v}` stands for a version in words.
+rule wins. SPDX ids, notices and wordings of the licenses' own texts are written out per license; how a
+license is granted, named or mentioned is put together from its name, which is written out as well.
 """
 
 TAG, STATEMENT, NAME, MENTION = (4, 1.0), (3, 0.95), (2, 0.8), (1, 0.5)
@@ -25,7 +26,8 @@ NAMED = [
     ("wtfpl", "wtfpl", "wtfpl"),
     ("beerware", "beerware", "beerware"),
     ("0bsd", "bsd", "(?:0|zero) clause bsd"),
-    ("bsd-2-clause", "bsd", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd", "(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)"),
+    ("bsd-2-clause", "freebsd", "freebsd"),
     ("bsd-3-clause", "bsd", "(?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", "(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd|old bsd)"),
     ("postgresql", "postgresql", "postgresql"),
@@ -47,6 +49,7 @@ NAMED = [
     ("hippocratic", "hippocratic", "hippocratic"),
     ("json", "json", "json"),
     ("qpl", "qt", "qt public"),
+    ("qpl", "q public", "q public"),
     ("afl", "academic", "academic free"),
     ("osl", "open software", "open software"),
     ("ecl", "educational", "educational community"),
@@ -64,6 +67,7 @@ NAMED = [
     ("pddl", "public domain", "public domain dedication and"),
     ("odc-by", "data commons", "open data commons attribution"),
     ("bigscience-rail", "rail", "(?:bigscience|creativeml|bigcode)(?: open)? rail(?: m)?"),
+    ("bigscience-rail", "openrail", "(?:(?:bigscience|creativeml|bigcode) )?openrail(?: m)?"),
     ("llama-community", "llama", "llama(?: [23])?(?: [123])? community"),
     ("sspl", "server side", "server side public"),
     ("busl", "business source", "business source"),
@@ -119,18 +123,165 @@ NOTICES = [
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "permission to use copy", "permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification"),
-    ("bsd-3-clause", "neither the name", "neither the name of .{1,80}? nor the names of its contributors"),
+    ("bsd-3-clause", "neither the name", "neither the names? of (?:[^ ]+ ){1,60}?nor the names of (?:(?:its|their|the|any|other) )?contributors"),
     ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features"),
     ("zlib", "provided as is", "this software is provided as is without any express or implied warranty"),
     ("unlicense", "public domain", "free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", "(?:dedicated|released|placed) (?:in )?(?:to|into|in) the public domain"),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
     ("cc0", "creative commons", "creative commons zero(?: v?1 0)?(?: universal)?"),
-    ("gpl", "free software foundation", "redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "general public", "redistribute it and or modify it under the terms of the gnu general public license"),
     ("proprietary", "all rights reserved", "all rights reserved"),
     ("proprietary", "confidential", "proprietary and confidential"),
 ]
 
+#: label, identifiers of the SPDX list in words
+SPDX = [
+    ("mit", "mit"),
+    ("mit-0", "mit 0"),
+    ("x11", "x11"),
+    ("isc", "isc"),
+    ("zlib", "zlib"),
+    ("libpng", "libpng(?: 2 0)?"),
+    ("unlicense", "unlicense"),
+    ("wtfpl", "wtfpl"),
+    ("beerware", "beerware"),
+    ("0bsd", "0bsd"),
+    ("bsd-2-clause", "bsd 2 clause(?: (?:patent|views|freebsd|netbsd))?"),
+    ("bsd-3-clause", "bsd 3 clause(?: (?:attribution|clear|lbnl|modification))?"),
+    ("bsd-4-clause", "bsd 4 clause(?: (?:uc|shortened))?"),
+    ("postgresql", "postgresql"),
+    ("openssl", "openssl"),
+    ("php", "php(?: 3 01?)?"),
+    ("ruby", "ruby"),
+    ("vim", "vim"),
+    ("curl", "curl"),
+    ("ntp", "ntp(?: 0)?"),
+    ("tcl", "tcl"),
+    ("icu", "icu"),
+    ("unicode", "unicode(?: (?:3 0|dfs 201[56]|tou))?"),
+    ("ijg", "ijg(?: short)?"),
+    ("ncsa", "ncsa"),
+    ("w3c", "w3c(?: (?:19980720|20150513))?"),
+    ("sleepycat", "sleepycat"),
+    ("mulanpsl", "mulanpsl(?: [12] 0)?"),
+    ("sil-ofl", "(?:sil )?ofl(?: 1 [01](?: (?:no )?rfn)?)?"),
+    ("hippocratic", "hippocratic(?: 2 1)?"),
+    ("json", "json"),
+    ("qpl", "qpl(?: 1 0)?"),
+    ("afl", "afl(?: (?:1 [12]|2 [01]|3 0))?"),
+    ("osl", "osl(?: (?:1 [01]|2 [01]|3 0))?"),
+    ("ecl", "ecl(?: [12] 0)?"),
+    ("rpl", "rpl(?: 1 [15])?"),
+    ("ms-pl", "ms pl"),
+    ("ms-rl", "ms rl"),
+    ("npl", "npl(?: 1 [01])?"),
+    ("ipl", "ipl(?: 1 0)?"),
+    ("apsl", "apsl(?: (?:1 [012]|2 0))?"),
+    ("spl", "spl(?: 1 0)?"),
+    ("eupl", "eupl(?: 1 [012])?"),
+    ("cecill", "cecill(?: (?:1 [01]|2 [01]|b|c))?"),
+    ("lppl", "lppl(?: 1 (?:[012]|3[ac]))?"),
+    ("odbl", "odbl(?: 1 0)?"),
+    ("pddl", "pddl(?: 1 0)?"),
+    ("odc-by", "odc by(?: 1 0)?"),
+    ("bigscience-rail", "bigscience rail"),
+    ("llama-community", "llama community"),
+    ("sspl", "sspl(?: 1 0)?"),
+    ("busl", "busl(?: 1 1)?"),
+    ("elastic", "elastic(?: 2 0)?"),
+    ("polyform", "polyform(?: (?:noncommercial|small business) 1 0 0)?"),
+    ("commons-clause", "commons clause"),
+    ("cc0", "cc0(?: 1 0)?"),
+    ("apache-1.0", "apache 1 0"),
+    ("apache-1.1", "apache 1 1"),
+    ("apache-2", "apache 2(?: 0)?"),
+    ("artistic-1", "artistic 1(?: 0(?: (?:cl8|perl))?)?"),
+    ("artistic-2", "artistic 2(?: 0)?"),
+    ("boost-1", "(?:bsl|boost) 1(?: 0)?"),
+    ("epl-1", "epl 1(?: 0)?"),
+    ("epl-2", "epl 2(?: 0)?"),
+    ("mpl-1.0", "mpl 1 0"),
+    ("mpl-1.1", "mpl 1 1"),
+    ("mpl-2", "mpl 2(?: 0(?: no copyleft exception)?)?"),
+    ("cddl-1.0", "cddl 1 0"),
+    ("cddl-1.1", "cddl 1 1"),
+    ("cpl-1", "cpl 1(?: 0)?"),
+    ("python-2", "(?:python|psf) 2(?: 0(?: 1)?)?"),
+    ("zpl-2", "zpl 2(?: [01])?"),
+    ("gpl-1", "gpl 1(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "gpl 2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gpl 3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2", "lgpl 2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl 2 1(?: 0)?(?: only| or later)?"),
+    ("lgpl-3", "lgpl 3(?: 0)?(?: only| or later)?"),
+    ("agpl-3", "agpl 3(?: 0)?(?: only| or later)?"),
+    ("gfdl-1", "gfdl 1(?: [123])?(?: (?:no )?invariants)?(?: 0)?(?: only| or later)?"),
+    ("cc-by", "cc by(?: [1234] [05])?"),
+    ("cc-by-sa", "cc by sa(?: [1234] [05])?"),
+    ("cc-by-nd", "cc by nd(?: [1234] [05])?"),
+    ("cc-by-nc", "cc by nc(?: [1234] [05])?"),
+    ("cc-by-nc-sa", "cc by nc sa(?: [1234] [05])?"),
+    ("cc-by-nc-nd", "cc by nc nd(?: [1234] [05])?"),
+]
+
+#: label, keyword, pattern: wordings that stand in one license's own text or in the notice it asks for
+WORDINGS = [
+    ("mit", "substantial portions", "this permission notice shall be included in all copies or substantial portions of the software"),
+    ("x11", "x consortium", "the name of the x consortium shall not be used in advertising"),
+    ("isc", "appear in all copies", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "permission to use copy", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("ntp", "permission to use copy", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided that the above copyright notice appears in all copies"),
+    ("zlib", "misrepresented", "(?:origin of this software must not be misrepresented|misrepresented as being the original software)"),
+    ("libpng", "libpng", "this code is released under the libpng license"),
+    ("unlicense", "anyone is free", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "do what the", "do what the fuck you want to(?: public license)?"),
+    ("beerware", "buy me a beer", "(?:this stuff is worth it )?you can buy me a beer in return"),
+    ("bsd-2-clause", "freebsd", "official policies either expressed or implied of the freebsd project"),
+    ("bsd-3-clause", "endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("postgresql", "postgresql", "postgresql database management system formerly known as postgres"),
+    ("openssl", "openssl project", "this product includes software developed by the openssl project"),
+    ("php", "php software", "this product includes php software"),
+    ("ruby", "verbatim copies", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("vim", "unmodified copies", "there are no restrictions on distributing unmodified copies of vim"),
+    ("tcl", "explicitly disclaimed", "the following terms apply to all files associated with the software unless explicitly disclaimed in individual files"),
+    ("unicode", "unicode data files", "unicode data files and any associated documentation"),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group"),
+    ("ncsa", "deal with the software", "to deal with the software without restriction"),
+    ("w3c", "trademarks of copyright holders", "name and trademarks of copyright holders may not be used in advertising or publicity"),
+    ("sleepycat", "redistributions in any form", "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("sil-ofl", "font software", "this font software is licensed under the sil open font license"),
+    ("json", "good not evil", "the software shall be used for good not evil"),
+    ("cecill", "french law", "cecill(?: [bc])? license under french law"),
+    ("lppl", "latex project", "under the conditions of the latex project public license"),
+    ("busl", "non production use", "redistribute and make non production use of the licensed work"),
+    ("elastic", "hosted or managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl", "third parties as a service", "functionality of the program or a modified version available to third parties as a service"),
+    ("commons-clause", "right to sell", "does not grant to you the right to sell the software"),
+    ("llama-community", "llama", "llama (?:2|3)(?: [123])? is licensed under the llama (?:2|3)(?: [123])? community license"),
+    ("apache-2", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "apache org", "apache org licenses license 2 0"),
+    ("artistic-1", "intent of this document", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("boost-1", "accompanying documentation", "any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("epl-1", "eclipse org", "eclipse org legal epl v10"),
+    ("epl-2", "eclipse org", "eclipse org legal epl (?:2 0|v20)"),
+    ("mpl-1.1", "mozilla public", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2", "mozilla public", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("cddl-1.0", "common development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("python-2", "psf", "psf is making python available to licensee on an as is basis"),
+    ("zpl-2", "zope public", "subject to the provisions of the zope public license version 2 [01]"),
+    ("gpl-2", "general public", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "general public", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2", "library general public", "gnu library general public license as published by the free software foundation either version 2 of the license"),
+    ("lgpl-2.1", "lesser general public", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", "lesser general public", "gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "affero general public", "gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("gfdl-1", "free documentation", "distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("cc0", "related or neighboring rights", "waived all copyright and related or neighboring rights"),
+    ("cc0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("proprietary", "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited"),
+]
+
 
 Rule = tuple[str, str, str, int, float, str]
 
@@ -142,28 +293,24 @@ def rules() -> list[Rule]:
     def add(label: str, keyword: str, kind: tuple[int, float], pattern: str, also: str = "") -> None:
         found.append((label, keyword, also, *kind, pattern))
 
-    for label, keyword, pattern in NOTICES:
+    for label, ids in SPDX:
+        add(label, "spdx", TAG, rf"spdx license identifier {ids}")
+    for label, keyword, pattern in [*NOTICES, *WORDINGS]:
         add(label, keyword, STATEMENT, pattern)
     for label, keyword, name in NAMED:
-        words = label.replace("-", " ").replace(".", " ")
-        add(label, "spdx", TAG, rf"spdx license identifier {words}")
         add(label, keyword, STATEMENT, rf"{GRANT} {name} licen[cs]e", "licen")
         add(label, keyword, NAME, rf"{name} licen[cs]e", "licen")
         add(label, keyword, MENTION, rf"licen[cs]e {name}", "licen")
     for label, keyword, name, v in VERSIONED:
-        words = label.replace("-", " ").replace(".", " ")
-        add(label, "spdx", TAG, rf"spdx license identifier {words}(?: 0)?")
         add(label, keyword, STATEMENT, rf"{GRANT} {name} licen[cs]e{VERSION}{v}")
         add(label, keyword, NAME, rf"{name} licen[cs]e{VERSION}{v}")
         add(label, keyword, MENTION, rf"{name}{VERSION}{v}(?: licen[cs]e)?")
     for label, keyword, name, short, v in GNU:
-        add(label, "spdx", TAG, rf"spdx license identifier {short} {v}(?: 0)?(?: only| or later)?")
         add(label, keyword, STATEMENT, rf"{GRANT} gnu {name} licen[cs]e(?: as published by the free software foundation)?(?: either)?{VERSION}{v}(?: 0)?")
         add(label, keyword, NAME, rf"(?:gnu )?{name} licen[cs]e{VERSION}{v}(?: 0)?")
         add(label, short, MENTION, rf"(?:gnu )?{short}(?: v| version)? {v}(?: 0)?")
         add(label, f"{short}v", MENTION, rf"{short}v{v}(?: 0)?\+?")
     for label, words, short in CREATIVE:
-        add(label, "spdx", TAG, rf"spdx license identifier cc {short}(?: [1234] [05])?")
         add(label, "creativecommons", TAG, rf"creativecommons org licenses {short} [1234] [05]")
         add(label, "creative commons", STATEMENT, rf"{GRANT} creative commons {words}(?: [1234] [05])?")
         add(label, "creative commons", NAME, rf"creative commons {words}(?: [1234] [05])?(?: international| unported| generic)?(?: licen[cs]e)?")

@@ -125,6 +125,64 @@ def test_license_keywords_are_needed():
         assert keyword.split()[0][:3] in pattern or literal, label
 
 
+def spelled(pattern):
+    """Every text of a pattern, with one word for a gap."""
+    parser = re._parser
+
+    def texts(part):
+        out = [""]
+        for op, value in part:
+            name = str(op)
+            if name == "LITERAL":
+                options = [chr(value)]
+            elif name == "IN":
+                options = [chr(v) for o, v in value if str(o) == "LITERAL"] if all(str(o) == "LITERAL" for o, _ in value) else ["x"]
+            elif name == "NOT_LITERAL":
+                options = ["x"]
+            elif name == "SUBPATTERN":
+                options = texts(value[3])
+            elif name == "BRANCH":
+                options = [t for b in value[1] for t in texts(b)]
+            else:
+                low, high, inner = value
+                assert name in ("MAX_REPEAT", "MIN_REPEAT")
+                options = [*([""] if low == 0 else []), *(texts(inner) if high else [])]
+            out = [a + b for a in out for b in options]
+        return out
+
+    return texts(parser.parse(pattern))
+
+
+def test_license_keywords_stand_in_every_alternative():
+    for label, keyword, also, _, _, pattern in rules():
+        for text in spelled(pattern):
+            assert f" {keyword}" in f" {text}" and (not also or f" {also}" in f" {text}"), (label, keyword, text)
+
+
+LBNL = "the University of California, Lawrence Berkeley National Laboratory, U.S. Dept. of Energy"
+
+
+def test_license_wordings(spark):
+    texts = [
+        ("released under the FreeBSD license", "bsd-2-clause"),
+        (f"Neither the name of {LBNL}, nor the names of its contributors may be used", "bsd-3-clause"),
+        ("SPDX-License-Identifier: BSL-1.0", "boost-1"), ("SPDX-License-Identifier: OFL-1.1", "sil-ofl"),
+        ("SPDX-License-Identifier: PSF-2.0", "python-2"), ("SPDX-License-Identifier: 0BSD", "0bsd"),
+        ("SPDX-License-Identifier: CC0-1.0", "cc0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+        ("distributed under the CreativeML OpenRAIL-M license", "bigscience-rail"), ("the Q Public License", "qpl"),
+        ("The Software shall be used for Good, not Evil.", "json"),
+        ("The origin of this software must not be misrepresented;", "zlib"),
+        ("Neither the name of this house was known.", None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in license_scan.license_scan(docs).collect():
+        assert {d.label for d in r.detections} == {texts[r.doc_id][1]} - {None}, r.text
+    table = rules()
+    for r in license_scan.license_scan(docs).collect():
+        found = sorted((d.first_word, d.last_word, d.label) for d in r.detections)
+        assert found == brute_force(r.text, {}, table)[2]
+
+
 def test_license_scan_on_tables(spark, small):
     """Every document of the smallest table against brute force."""
     table = rules()

@@ -8,6 +8,7 @@ weights are shipped to the tasks that predict.
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -46,8 +47,10 @@ DIMENSIONS = 1 << 12
 SAMPLE = 1000
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What \w has beside letters (\p{L}): digits, fractions, circled and Roman numerals.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+LETTER = re.compile(rf"[^\W_{NUMERALS}]")
+NOT_LETTERS = re.compile(rf"[\W_{NUMERALS}]+")
 
 
 def has_letter(text: str | None) -> bool:
@@ -133,7 +136,8 @@ def train(
         F.col(lang_col).alias("lang"), F.xxhash64(text).alias("h"), text.alias("text")
     )
     # the smallest hashes of each language: cut by a threshold first, so that no task sorts them all
-    sizes = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}
+    distinct = known.select("lang", "h").distinct()  # copies must not lower the threshold
+    sizes = {row["lang"]: row["count"] for row in distinct.groupBy("lang").count().collect()}
     if not sizes:
         return Model()
     share = F.element_at(F.create_map(*[

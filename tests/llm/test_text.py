@@ -263,6 +263,31 @@ def test_language_id_of_awkward_rows(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_counts_distinct_texts(spark, monkeypatch):
+    """Thousands of copies of one text do not crowd out the others of the language."""
+    rows = [("en", f"english words {'ab' * (i % 7)} {chr(97 + i % 26) * 3} number{i}") for i in range(400)]
+    rows += [("de", f"deutsche Worte {'uv' * (i % 7)} {chr(97 + i % 26) * 3} Zahl{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows + [("en", "one copy of many")] * 20_000, "lang string, text string")
+    write, sampled = language_id.staged, {}
+
+    def spy(df, purpose):
+        out = write(df, purpose)
+        sampled.update({r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()})
+        return out
+
+    monkeypatch.setattr(language_id, "staged", spy)
+    language_id.train(docs, sample=50)
+    assert sampled == {"en": 50, "de": 50}
+
+
+def test_numerals_are_no_letters(spark):
+    model = language_id.Model(families={"only xx": ["xx"]})
+    texts = [(1, "\u00bd \u2460 12"), (2, "\u2167"), (3, "\u00b2"), (4, "\u00bda")]
+    found = language_id.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in found} == {1: True, 2: True, 3: True, 4: False}
+    assert all(bool(language_id.LETTER.match(c)) == c.isalpha() for c in map(chr, range(0x30000)))
+
+
 def test_features_do_not_depend_on_chunks(monkeypatch):
     text = "Fünf größere Wörter, and more " * 40
     whole = language_id.features(text)

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import decontamination, exact_dedup, language_id, license_scan, mixing, simhash, substring_dedup, token_counts
-from coursebeacon.llm import token_files, url_reputation
+from coursebeacon.llm import conversation_repair, decontamination, exact_dedup, language_id, license_scan
+from coursebeacon.llm import mixing, sentence_pieces, simhash, substring_dedup, token_counts, token_files, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
 from coursebeacon.session import staged
 
@@ -126,6 +126,44 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentence_pieces.encode(docs, model, decoded="decoded", keep=["doc_id"])
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by a hash of conversation and turn; nulls are one space."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.pmod(F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")), F.lit(20))
+    text = spaced("text")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate(text, ".!?", "")).otherwise(text)
+    marked = rows.withColumn("kind", kind).filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(spaced("role")).alias("role"),
+        text.alias("text"), F.when(F.col("kind") == 3, 2).otherwise(1).alias("times"),
+    )
+    return marked.withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "_copy")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(damaged(rows)).withColumnRenamed("conv_id", "_conv_id")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

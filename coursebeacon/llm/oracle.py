@@ -126,3 +126,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BI
     AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
 """
+
+STATEMENTS["op13_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, size, w[i:i + size - 1] AS gram
+  FROM w, (VALUES (1), (2), (3)) AS s(size), unnest(range(1, len(w) - size + 2)) AS u(i)),
+f AS (
+  SELECT lang, size, gram, array_to_string(gram, ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+  FROM g GROUP BY lang, size, gram),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, gram, phrase, f AS a FROM f WHERE size > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f * y.f) AS score
+  FROM cand c, unnest(range(1, c.size)) AS u(k)
+  JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1:k]
+  JOIN f y ON y.lang = c.lang AND y.gram = c.gram[k + 1:c.size]),
+low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, part, max(a) AS around FROM (
+    SELECT lang, array_to_string(gram[1:2], ' ') AS part, a FROM cand WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(gram[2:3], ' '), a FROM cand WHERE size = 3)
+  GROUP BY lang, part),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN around ON around.lang = low.lang AND part = phrase
+  WHERE coalesce(100 * around < 50 * a, TRUE)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT best.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best JOIN total ON total.lang = best.lang WHERE rank <= 2000
+"""

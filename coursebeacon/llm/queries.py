@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursebeacon.llm import conversation_repair, decontamination, exact_dedup, language_id, license_scan
+from coursebeacon.llm import collocations, conversation_repair, decontamination, exact_dedup, language_id, license_scan
 from coursebeacon.llm import mixing, sentence_pieces, simhash, substring_dedup, token_counts, token_files, url_reputation
 from coursebeacon.llm.oracle import STATEMENTS
 from coursebeacon.session import staged
@@ -164,6 +164,11 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -11,7 +11,7 @@ from coursebeacon.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, small, name):
     with duckdb.connect() as con:
-        for table in ("documents", "pages", "benchmark", "labels"):
+        for table in ("documents", "pages", "benchmark", "labels", "conversations"):
             con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{os.path.join(small, table)}.parquet'")
         relation = con.sql(queries.oracle_sql()[name])
         columns = sorted(relation.columns)
@@ -23,4 +23,4 @@ def test_query_matches_sql(spark, small, name):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from coursebeacon.llm import repair_tables
@@ -94,6 +95,13 @@ SECTION = [
 ]
 
 
+def _batch(rows: list[dict], schema: StructType, conv: pa.DataType) -> pa.RecordBatch:
+    """Rows as a batch of the schema; the ids of conversations keep the type they came with."""
+    kinds = [conv if f.name == "conv" else to_arrow_type(f.dataType) for f in schema.fields]
+    columns = [pa.array([row.get(name) for row in rows], kind) for name, kind in zip(schema.names, kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+
 def _sections(rows: DataFrame, with_lines: bool) -> DataFrame:
     """A row per conversation and partition: repaired, or (the first and the last of a partition) as it is."""
     schema = StructType([rows.schema["conv"], *SECTION])
@@ -118,8 +126,7 @@ def _sections(rows: DataFrame, with_lines: bool) -> DataFrame:
             return row | {"lines": lines} if with_lines else row
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array([row.get(name) for row in out], kind if name == "conv" else None) for name in schema.names]
-            batch = pa.RecordBatch.from_arrays(columns, names=schema.names)
+            batch = _batch(out, schema, kind)
             out.clear()
             return batch
 
@@ -171,8 +178,7 @@ def _maps(edges: DataFrame) -> DataFrame:
                     "conv": row["conv"], "section": row["section"], "symbols": symbols, "front": front, "cost_added": cost,
                     "exits": exits, "initials": f"{row['roles'][0][:1] or ' '}{row['roles'][-1][:1] or ' '}",
                 }
-                arrays = [pa.array([found[n]], batch.schema.field(0).type if n == "conv" else None) for n in schema.names]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                yield _batch([found], schema, batch.schema.field(0).type)
 
     joined = edges.select("conv", "section", "roles", "texts").join(_firsts(edges), "section", "left")
     return joined.select("conv", "section", "roles", "texts", "first").mapInArrow(run, schema)
@@ -222,9 +228,8 @@ def _edited(edges: DataFrame, maps: DataFrame) -> DataFrame:
                     _, _, exits = tables().section(row["symbols"])
                     audit += repair_tables.ending(exits[4 * row["behind"] + row["state"]])
                 lines = repair_tables.lines(row["roles"], row["texts"], audit, row["state"])
-                arrays = [batch.column(0).slice(i, 1), pa.array([row["section"]]), pa.array([audit]),
-                          pa.array([lines], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                found = {"conv": row["conv"], "section": row["section"], "audit": audit, "lines": lines}
+                yield _batch([found], schema, batch.schema.field(0).type)
 
     rows = edges.select("conv", "section", "roles", "texts").join(maps.select("section", "symbols"), "section")
     rows = rows.join(found, "section").select("conv", "section", "roles", "texts", "symbols", "behind", "state", "last")
@@ -253,8 +258,7 @@ def _digests(edited: DataFrame) -> DataFrame:
         current, audit, sha, begun, any_yet, kind = None, [], hashlib.sha256(), False, False, None
 
         def row() -> pa.RecordBatch:
-            arrays = [pa.array([current], kind), pa.array(["".join(audit)]), pa.array([sha.hexdigest()])]
-            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            return _batch([{"conv": current, "audit": "".join(audit), "repaired_sha256": sha.hexdigest()}], schema, kind)
 
         for batch in batches:
             kind = batch.schema.field(0).type

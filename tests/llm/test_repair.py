@@ -148,6 +148,12 @@ def test_conversations_over_many_partitions(spark):
     assert lines == {conv: brute(group)[1] for conv, group in by_conversation(rows).items()}
 
 
+def test_many_conversations_in_one_partition(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"Text {c}.") for c in range(2500) for t in range(c % 3)]
+    found = conversation_repair.repair(spark.createDataFrame(rows, SCHEMA)).groupBy("audit").count().collect()
+    assert {r["audit"]: r["count"] for r in found} == {"KI": 833, "KK": 833}
+
+
 def test_no_rows(spark):
     assert conversation_repair.repair(table(spark, AWKWARD).limit(0)).count() == 0
 

@@ -25,7 +25,7 @@ from coursebeacon.schemas import METRICS, PREDICTIONS, STATUS, WHATIF_HISTORY, w
 from coursebeacon.session import staged, staged_path, work_path
 from coursebeacon.sources import readers, relational, sinks
 from coursebeacon.streaming import activity as stream_activity
-from coursebeacon.streaming import runner, twin
+from coursebeacon.streaming import batch_store, event_windows, learner_state, runner, running_alerts, twin
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -721,20 +721,40 @@ def early_warning_report(spark, folder):
 
 # --- streams ------------------------------------------------------------------------------------------------
 
+#: Parts of a backlog, and rows of one of its files.
+BACKLOG_PARTS, BACKLOG_ROWS = 5, 2_000_000
+
+
 def _backlog(table, order, purpose):
-    """The table written in five files, newest rows first, so that a stream meets the oldest last."""
+    """The table in five parts, newest rows first, so that a stream meets the oldest last.
+
+    Each part has as many files as its rows need; rows of one value of ``order`` are spread by a hash.
+    The path, the number of files of a part, and a function that writes part ``i``.
+    """
     path = work_path(table.sparkSession, purpose)
-    parts = staged(table.repartitionByRange(5, F.col(order).desc()).withColumn("_part", F.spark_partition_id()), purpose)
-    for part in range(5):
-        parts.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return path
+    spread = F.xxhash64(*table.columns)
+    parts = table.repartitionByRange(BACKLOG_PARTS, F.col(order).desc(), spread).withColumn("_part", F.spark_partition_id())
+    parts = staged(parts, purpose, ["_part"])
+    files = 1 + parts.count() // (BACKLOG_PARTS * BACKLOG_ROWS)
+
+    def write(part):
+        parts.filter(F.col("_part") == part).drop("_part").repartition(files).write.mode("append").parquet(path)
+
+    return path, files, write
+
+
+def _whole_backlog(table, order, purpose):
+    path, files, write = _backlog(table, order, purpose)
+    for part in range(BACKLOG_PARTS):
+        write(part)
+    return path, files
 
 
 @query
 def stream_weekly(spark, folder):
     table = spark.read.schema(relational.TABLES["events"]).parquet(f"{folder}/events.parquet")
-    path = _backlog(table, "ts", "events")
-    events = twin.watch_table(spark, path, table.schema, files_per_trigger=1)
+    path, files = _whole_backlog(table, "ts", "events")
+    events = twin.watch_table(spark, path, table.schema, files_per_trigger=files)
     out = work_path(spark, "weekly-events")
     runner.run_available(spark, events, runner.batch_table(out, stream_activity.weekly_events))
     final = stream_activity.total_events(runner.read_batches(spark, out))
@@ -794,13 +814,91 @@ def stream_learner_weeks(spark, folder):
     i = relational.inputs(spark, folder)
     calendar = staged(activity.course_calendar(i.student_vle, i.student_info), "calendar")
     clicks = i.student_vle.select("id_student", "code_module", "code_presentation", "date", "sum_click")
-    path = _backlog(clicks, "code_presentation", "clicks")
+    path, files = _whole_backlog(clicks, "code_presentation", "clicks")
     out = work_path(spark, "learner-weeks")
-    stream = twin.watch_table(spark, path, clicks.schema, files_per_trigger=1)
+    stream = twin.watch_table(spark, path, clicks.schema, files_per_trigger=files)
     runner.run_available(spark, stream, runner.batch_table(out, lambda b: stream_activity.learner_weeks(b, calendar)))
     return stream_activity.total_per_week(runner.read_batches(spark, out))
 
 
+def _click_stream(spark, folder):
+    """Calendar, and a backlog of the clicks, written part by part."""
+    i = relational.inputs(spark, folder)
+    calendar = staged(activity.course_calendar(i.student_vle, i.student_info), "calendar")
+    clicks = i.student_vle.select("id_student", "code_module", "code_presentation", "date", "sum_click")
+    return i, calendar, clicks.schema, *_backlog(clicks, "code_presentation", "clicks")
+
+
+def _risk_thresholds(spark, folder):
+    """(week, theta_t) of the risk scores, by F1."""
+    sweep = thresholds.threshold_sweep(_histogram(spark, folder).filter("mode = 'risk'"), ["mode", "week"])
+    picked = thresholds.select_thresholds(sweep, ["mode", "week"], thresholds.Strategy("f1"))
+    return staged(picked.select("week", F.col("theta").alias("theta_t")), "thresholds")
+
+
+@query
+def stream_learner_state(spark, folder):
+    """Series, current risk and flag of every learner, from a stream that is stopped and started again."""
+    i, calendar, schema, path, files, write = _click_stream(spark, folder)
+    weekly, _ = activity.learner_weeks(i.student_vle, i.student_info)
+    ranges = learner_state.mean_ranges(learner_state.series_of(weekly)).join(_risk_thresholds(spark, folder), "week")
+    fitted = learner_state.WeeklyRisk.of_table(ranges)
+    out, state = work_path(spark, "learner-state"), work_path(spark, "stream-state")
+    for run in (range(3), range(3, BACKLOG_PARTS)):
+        for part in run:
+            write(part)
+        clicks = twin.watch_table(spark, path, schema, files_per_trigger=files)
+        series = learner_state.weekly_series(clicks, calendar)
+        runner.run_available(spark, series, runner.batch_table(out), "update", state)
+    newest = runner.newest(runner.read_batches(spark, out), ["id_student"]).drop("n_updates")
+    found = fitted.current(newest).withColumn("weeks", F.array_join(F.col("weeks").cast("array<string>"), ","))
+    return row_rounded(found)
+
+
+@query
+def stream_running_alerts(spark, folder):
+    """Alerts from raw clicks, scaled as the data come, as they stand at the end of the stream."""
+    i, calendar, schema, path, files, write = _click_stream(spark, folder)
+    rows = splitting.with_split(enrolments.enrolments(i.student_info).select("id_student", "student_uid").distinct())
+    enrolled = staged(rows.withColumn("scored", F.col("split") == "test"), "enrolled")
+    alerts = running_alerts.RunningAlerts(spark, work_path(spark, "running-alerts"), enrolled, _risk_thresholds(spark, folder))
+    for part in range(BACKLOG_PARTS):
+        write(part)
+    clicks = twin.watch_table(spark, path, schema, files_per_trigger=files)
+    runner.run_available(spark, learner_state.weekly_series(clicks, calendar), alerts, "update")
+    return rounded(alerts.read(), 9, ["prob_risk"])
+
+
+@query
+def stream_event_windows(spark, folder):
+    """Weekly sums with a watermark of a day, over events of which the oldest come last: late ones are added again."""
+    table = spark.read.schema(relational.TABLES["events"]).parquet(f"{folder}/events.parquet")
+    path, files = _whole_backlog(table, "ts", "events")
+    out = work_path(spark, "event-windows")
+    event_windows.write_windows(spark, twin.watch_table(spark, path, table.schema, files_per_trigger=files), out, "1 day")
+    final = event_windows.read_windows(spark, out).drop("n_late")
+    return rounded(final.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd")))
+
+
+@query
+def stream_compacted(spark, folder):
+    """Weekly sums whose batches are merged while the stream goes on, once without the merge being published."""
+    table = spark.read.schema(relational.TABLES["events"]).parquet(f"{folder}/events.parquet")
+    path, files, write = _backlog(table, "ts", "events")
+    out, state = work_path(spark, "weekly-events"), work_path(spark, "stream-state")
+    merge = batch_store.merge_sums(["user_id", "event_type", "week_start"])
+    for part in range(BACKLOG_PARTS):
+        write(part)
+        events = twin.watch_table(spark, path, table.schema, files_per_trigger=files)
+        runner.run_available(spark, events, runner.batch_table(out, stream_activity.weekly_events), checkpoint=state)
+        if part == 2:
+            batch_store.write_merged(spark, out, merge)  # ends here, as if it had failed
+        else:
+            batch_store.compact(spark, out, merge)
+    final = stream_activity.total_events(batch_store.read_table(spark, out))
+    return rounded(final.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd")))
+
+
 # functions whose plain name is taken by the operator they call
 for _name in ("feature_table_", "model_dataset_", "learning_index_", "fallback_probability_"):
     QUERIES[_name.rstrip("_")] = QUERIES.pop(_name)

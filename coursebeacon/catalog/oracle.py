@@ -696,10 +696,37 @@ def _stream_statements() -> dict[str, str]:
         count(*) as n, sum(value) as total from events group by all)"""
     exam = next(s for s in SCENARIOS if s.name == "exam_season")
     theta = chosen("f1", None, "risk")
+    series = """
+    learner_week as materialized (
+      select v.id_student, cast(floor((v.date - c.min_date) / cast(7 as double)) as integer) as wk, sum(v.sum_click) as s
+      from known_vle v join calendar c using (code_module, code_presentation) group by all),
+    learner_series as materialized (
+      select l.id_student, g.t, coalesce(sum(w.s) filter (where w.wk = g.t), 0) as s,
+        cast(coalesce(sum(w.s) filter (where w.wk between 0 and g.t), 0) as double) / (g.t + 1) as mean
+      from (select distinct id_student from learner_week) l, (select cast(i as integer) as t from range(20) r(i)) g
+      left join learner_week w on w.id_student = l.id_student group by l.id_student, g.t),
+    last_weeks as (
+      select id_student, coalesce(max(wk) filter (where wk between 0 and 19), -1) as last_week from learner_week group by id_student),
+    bounds as (select t, min(mean) as low, max(mean) as high from learner_series group by t)"""
+    weekly_events = q([weekly], f"""
+      select user_id, event_type, strftime(start, '%Y-%m-%d') as week_start, cast(n as bigint) as n_events,
+        {r("total")} as total_value from events_weekly""")
+    alerts = q(SWEPT, f"""
+      select student_uid, week, {r9("1 - score")} as prob_risk, theta as theta_t,
+        1 - score >= theta as alert
+      from proxy join {theta} c using (week)""")
     return {
-        "stream_weekly": q([weekly], f"""
-          select user_id, event_type, strftime(start, '%Y-%m-%d') as week_start, cast(n as bigint) as n_events,
-            {r("total")} as total_value from events_weekly"""),
+        "stream_event_windows": weekly_events,
+        "stream_compacted": weekly_events,
+        "stream_running_alerts": alerts,
+        "stream_learner_state": q([*SWEPT, series], f"""
+          select x.id_student, weeks, last_week, {r9("risk")} as prob_risk, risk >= theta as at_risk
+          from (select l.id_student, l.last_week, 1.0 - (s.mean - low) / (case when high = low then 1 else high - low end) as risk, theta
+                from last_weeks l left join learner_series s on s.id_student = l.id_student and s.t = l.last_week
+                left join bounds b on b.t = l.last_week left join {theta} c on c.week = l.last_week) x
+          join (select id_student, string_agg(cast(s as varchar), ',' order by t) as weeks
+                from learner_series group by id_student) y on x.id_student = y.id_student"""),
+        "stream_weekly": weekly_events,
         "stream_rescore": q([*TEST], f"""
           select student_uid, case when p > 0.5 then 1 else 0 end as predicted_label, {r9("p")} as prob_pass
           from (select student_uid, {fallback_sql({m: m for m in METRICS})} as p from scaled where split = 'test') x"""),
@@ -707,10 +734,7 @@ def _stream_statements() -> dict[str, str]:
         "stream_status": q(TEST, f"""
           select '{exam.name}' as scenario, {d(exam.fraction)} as affected_fraction, cast(count(*) as bigint) as rows
           from scaled where split = 'test'"""),
-        "stream_alerts": q(SWEPT, f"""
-          select student_uid, week, {r9("1 - score")} as prob_risk, theta as theta_t,
-            1 - score >= theta as alert
-          from proxy join {theta} c using (week)"""),
+        "stream_alerts": alerts,
         "stream_learner_weeks": q([RAW], f"""
           select v.id_student, cast(floor((v.date - c.min_date) / {d(7)}) as integer) as week_idx,
             cast(sum(v.sum_click) as bigint) as sum_click

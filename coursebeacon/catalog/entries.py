@@ -592,40 +592,34 @@ def tune(spark, folder):
     return spark.createDataFrame(rows, "ordinal int, reg_param double, elastic_net double, above_chance boolean")
 
 
-def _points(spark, folder, digits):
-    return staged(calibration.calibration_points(_scores(spark, folder), digits), "calibration-points")
+@query
+def calibration_share(spark, folder):
+    """Rows per week and label that the calibrators are fitted on."""
+    points = calibration.calibration_points(_scores(spark, folder))
+    return points.groupBy("week").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 @query
 def calibrate_platt(spark, folder):
-    """Per week the share's rows, and whether the penalised loss has no slope left at the fit."""
-    points = _points(spark, folder, calibration.POINT_DIGITS)
-    sizes = points.groupBy("week").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("n_pos"))
-    fits = {r["week"]: calibration.fit_platt(points.filter(F.col("week") == r["week"]), r["n"]) for r in sizes.collect()}
-    line = F.create_map(*[F.lit(x) for week, fit in fits.items() for x in (week, list(fit))])[F.col("week")]
-    error = F.col("weight") * (1.0 / (1.0 + F.exp(-(line[0] * F.col("score") + line[1]))) - F.col("label"))
-    slopes = points.groupBy("week").agg(
-        ((F.sum(error * F.col("score")) + F.max(line[0])) / F.sum("weight")).alias("a"),
-        (F.sum(error) / F.sum("weight")).alias("b"),
-    )
-    return slopes.join(sizes, "week").select(
-        "week", F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"),
-        F.round("a", 4).alias("slope_a"), F.round("b", 4).alias("slope_b"),
-    ).withColumns({"slope_a": F.abs("slope_a"), "slope_b": F.abs("slope_b")})
+    """Slope and intercept per week, on the scores as they are."""
+    fits = calibration.fit_platt(calibration.calibration_points(_scores(spark, folder)))
+    rows = spark.createDataFrame([(week, *fit) for week, fit in fits.items()], "week int, slope double, intercept double")
+    return rounded(rows, 5)
 
 
 @query
 def calibrate_isotonic(spark, folder):
-    """Fitted value per week and score of two decimals."""
-    points = _points(spark, folder, 2)
-    weeks = [r["week"] for r in points.select("week").distinct().collect()]
-    fitted = []
-    for week in sorted(weeks):
-        rows = points.filter(F.col("week") == week)
-        model = calibration.fit_isotonic(rows)
-        at = rows.select("week", "score").distinct().withColumn("features", array_to_vector(F.array("score")))
-        fitted.append(model.transform(at).select("week", "score", F.round("prediction", 6).alias("fitted")))
-    return reduce(DataFrame.unionByName, fitted)
+    """Fitted value per week and score of the share, on the scores as they are."""
+    points = calibration.calibration_points(_scores(spark, folder))
+    fitted = calibration.apply_isotonic(points, calibration.fit_isotonic(points))
+    return fitted.select("week", F.round("p", 9).alias("score"), F.round("fitted", 6).alias("fitted"))
+
+
+@query
+def weekly_metrics_platt(spark, folder):
+    """Weekly evaluation of calibrated scores: what needs no fit of its own to be checked."""
+    return rounded(evaluate.weekly_metrics(_prepared(spark, folder).test, calibration="platt").select(
+        "week", "auc_pr", "auc_roc", "brier"))
 
 
 @query

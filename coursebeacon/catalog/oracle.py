@@ -548,22 +548,47 @@ edges as materialized (
       from (values (0.0::double), (0.01), (0.1)) r(reg_param) cross join (values (0.0::double), (0.5)) e(elastic_net)"""
     share = f"""
 share as materialized (
-  select week, round(score, 2) as x, label from proxy where {hash_sql("student_uid", "calibration-42", fraction_bound(0.3))})"""
-    out["calibrate_platt"] = q([*SCORED, share], """
-      select week, cast(count(*) as bigint) as n, cast(sum(label) as bigint) as n_pos,
-        0.0::double as slope_a, 0.0::double as slope_b from share group by week""")
-    out["calibrate_isotonic"] = q([*SCORED, share, """
-bins as materialized (
-  select week, x, row_number() over (partition by week order by x) as i, sum(sum(label)) over w as s, sum(count(*)) over w as n
-  from share group by week, x window w as (partition by week order by x rows unbounded preceding)),
-lows as (
-  select c.week, c.i, coalesce(a.s, 0) as s0, coalesce(a.n, 0) as n0, b.i as j
-  from bins c join bins b on b.week = c.week and b.i <= c.i left join bins a on a.week = c.week and a.i = b.i - 1),
-lowest as (
-  select l.week, l.i, l.j, min((k.s - l.s0)::double / (k.n - l.n0)) as low
-  from lows l join bins k on k.week = l.week and k.i >= l.i group by l.week, l.i, l.j)"""], """
-      select b.week, b.x as score, round(max(m.low), 6) as fitted
-      from bins b join lowest m on m.week = b.week and m.i = b.i group by b.week, b.x""")
+  select week, score as x, coalesce(label, 0) as y from proxy
+  qualify row_number() over (partition by week, coalesce(label, 0)
+                             order by substr(md5(student_uid || '|calibration-42'), 1, 8), student_uid)
+    <= round(count(*) over (partition by week, coalesce(label, 0)) * {d(0.3)})),
+share_points as materialized (select week, x, count(*) as n, sum(y) as s from share group by week, x),
+cumulated as materialized (
+  select week, x, row_number() over w as i, sum(n) over w as n, sum(s) over w as s
+  from share_points window w as (partition by week order by x rows unbounded preceding)),
+newton(week, step, a, b) as (
+  select week, 0, {d(0)}, ln(sum(s) / {d("(sum(n) - sum(s))")}) from share_points group by week having sum(s) > 0 and sum(s) < sum(n)
+  union all
+  select week, step + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  from (select week, step, a, b, sum((n * q - s) * x) + a as g0, sum(n * q - s) as g1, sum(n * q * (1 - q) * x * x) + 1 as h00,
+          sum(n * q * (1 - q) * x) as h01, sum(n * q * (1 - q)) as h11
+        from (select w.*, x, n, s, 1 / (1 + exp(-(a * x + b))) as q from newton w join share_points p using (week) where step < 12) t
+        group by week, step, a, b) g),
+platt as (select week, a, b from newton where step = 12),
+hull(week, i, n, s) as (
+  select distinct week, 0::bigint, 0::hugeint, 0::hugeint from cumulated
+  union all
+  select week, best.i, best.n, best.s from (
+    select h.week, arg_min({{'i': c.i, 'n': c.n, 's': c.s, 'i0': h.i}}, ({d("(c.s - h.s)")} / {d("(c.n - h.n)")}, -c.i)) as best
+    from hull h join cumulated c on c.week = h.week and c.i > h.i group by h.week, h.i) z),
+levels as (
+  select week, i, lag(i) over w as i0, (s - lag(s) over w) / {d("(n - lag(n) over w)")} as fitted
+  from hull window w as (partition by week order by i))"""
+    recursive = lambda ctes, body: q(ctes, body).replace("with", "with recursive", 1)
+    out["calibration_share"] = recursive([*SCORED, share], """
+      select week, cast(sum(s) as bigint) as n_pos, cast(sum(n) - sum(s) as bigint) as n_neg from share_points group by week""")
+    out["calibrate_platt"] = recursive([*SCORED, share], """
+      select week, round(a, 5) as slope, round(b, 5) as intercept from platt""")
+    out["calibrate_isotonic"] = recursive([*SCORED, share], """
+      select c.week, round(c.x, 9) as score, round(l.fitted, 6) as fitted
+      from cumulated c join levels l on l.week = c.week and c.i > l.i0 and c.i <= l.i""")
+    calibrated = """
+calibrated as materialized (
+  select student_uid, week, label, case when a is null then score else 1 / (1 + exp(-(a * score + b))) end as score
+  from proxy left join platt using (week)
+  left join (select week as enough from proxy group by week having least(sum(label), count(*) - sum(label)) >= 5) e on enough = week)"""
+    out["weekly_metrics_platt"] = recursive([*TEST, PROXY, share, calibrated, histogram_ctes("calibrated", "week")], f"""
+      select week, {rounded(["auc_pr", "auc_roc", "brier"])} from areas join totals using (week, mode) where mode = 'pass'""")
     out["weekly_metrics_model"] = "select cast(i as integer) as week, true as in_range, true as adds_up from range(20) t(i)"
     out["raw_csv_features"] = out["feature_table"]
     out["early_warning_report"] = q([*LEARNER, SCALED, PROXY, histogram_ctes("proxy", "week"), SWEEP, METRICS_LOG], f"""

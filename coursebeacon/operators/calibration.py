@@ -1,107 +1,210 @@
-"""Probability calibration per week with Spark ML: logistic (Platt) or isotonic.
+"""Probability calibration per week, all weeks in one job: logistic (Platt) or isotonic.
 
-The fits run on weighted distinct scores of the calibration share. Only fitted parameters come to
-the driver; the rows are calibrated in place.
+The fits run on the distinct scores of the calibration share, as they are. The logistic fit is
+Newton's method on sums per week: one aggregate per step. The isotonic fit is the lower convex hull of
+the cumulative counts; hulls of score ranges merge into that of the week, so no task sees all points.
 """
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+import math
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+from pyspark.sql.window import Window
 
-from coursebeacon.functions.scalars import hash_below
-from coursebeacon.operators.ranking import enough_of_both, score_histogram
+from coursebeacon.operators.ranking import BUCKET_WIDTH, enough_of_both, score_histogram
+from coursebeacon.operators.splitting import with_exact_split
 from coursebeacon.session import staged
 
 CALIBRATION_FRACTION = 0.3
 CALIBRATION_SEED = "calibration-42"
-# Decimals of the scores that the fits are made on; the library's isotonic fit gathers all distinct ones.
-POINT_DIGITS = 4
-PARALLEL_FITS = 8
+#: Newton steps at most, and the slope of the mean loss at which a fit is done.
+STEPS, SLOPE = 200, 1e-12
 
 
-def calibration_points(scored: DataFrame, digits: int = POINT_DIGITS,
-                       key: str = "student_uid") -> DataFrame:
-    """(week, score, label, weight): the calibration share as weighted distinct scores.
+def calibration_points(scored: DataFrame, key: str = "student_uid") -> DataFrame:
+    """(week, p, pos, neg): distinct scores of the calibration share with their positives and negatives.
 
-    Scores are binned to ``digits`` decimals, so a week has at most 10^digits + 1 of them.
+    The share is exactly 30 % (rounded) of the rows of each week and label, chosen by a hash of the
+    key; a missing label counts as 0.
     """
-    share = scored.filter(hash_below(key, CALIBRATION_FRACTION, CALIBRATION_SEED))
-    counts = score_histogram(share, ["week"], digits=digits)
-    classes = F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("pos").cast("double").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), F.col("neg").cast("double").alias("weight")),
+    rows = scored.withColumn("_label", F.coalesce("label", F.lit(0)))
+    share = with_exact_split(rows, CALIBRATION_FRACTION, CALIBRATION_SEED, key, ["week", "_label"])
+    return staged(score_histogram(share.filter("split = 'test'"), ["week"]), "calibration-points")
+
+
+def _by_week(values: dict[int, float]) -> Column:
+    return F.create_map(*[F.lit(x) for week, value in values.items() for x in (week, float(value))])[F.col("week")]
+
+
+def _slopes(points: DataFrame, fits: dict[int, tuple[float, float]]) -> dict[int, dict[str, float]]:
+    """Per week: loss, first and second derivatives at the parameters given."""
+    a, b = (_by_week({week: fit[i] for week, fit in fits.items()}) for i in (0, 1))
+    z, n, p = a * F.col("p") + b, F.col("pos") + F.col("neg"), F.col("p")
+    q = 1.0 / (1.0 + F.exp(-z))
+    error, weight = n * q - F.col("pos"), n * q * (1.0 - q)
+    above = F.log1p(F.exp(-F.abs(z)))  # log(1 + exp(x)) is max(x, 0) and this
+    loss = F.col("pos") * (F.greatest(-z, F.lit(0.0)) + above) + F.col("neg") * (F.greatest(z, F.lit(0.0)) + above)
+    rows = points.filter(F.col("week").isin(list(fits))).groupBy("week").agg(
+        F.sum(loss).alias("loss"), F.sum(error * p).alias("g0"), F.sum(error).alias("g1"),
+        F.sum(weight * p * p).alias("h00"), F.sum(weight * p).alias("h01"), F.sum(weight).alias("h11"),
     )
-    return counts.select("week", F.col("p").alias("score"), F.inline(classes)).filter("weight > 0")
+    out = {}
+    for row in rows.collect():
+        slope = fits[row["week"]][0]
+        penalty = {"loss": slope * slope / 2, "g0": slope, "h00": 1.0}  # L2 strength 1 on the slope, none on the intercept
+        out[row["week"]] = {k: row[k] + penalty.get(k, 0.0) for k in ("loss", "g0", "g1", "h00", "h01", "h11")}
+    return out
 
 
-def fit_platt(points: DataFrame, total: float | None = None) -> tuple[float, float]:
-    """(slope, intercept) of a logistic fit on the score, L2 strength 1 as a sum over the rows."""
-    if total is None:
-        total = points.agg(F.sum("weight")).first()[0]
-    rows = points.withColumn("features", array_to_vector(F.array("score")))
-    model = LogisticRegression(
-        regParam=1.0 / float(total), elasticNetParam=0.0, standardization=False,
-        maxIter=1000, tol=1e-8, weightCol="weight",
-    ).fit(rows)
-    return float(model.coefficients[0]), float(model.intercept)
+def fit_platt(points: DataFrame) -> dict[int, tuple[float, float]]:
+    """(slope, intercept) of each week with both labels: a logistic fit on the score, L2 strength 1 as a sum over the rows.
 
-
-def fit_isotonic(points: DataFrame, total: float | None = None):
-    """Increasing fit; scores outside the fitted range take the end values."""
-    rows = points.withColumn("features", array_to_vector(F.array("score")))
-    return IsotonicRegression(weightCol="weight", labelCol="label", featuresCol="features").fit(rows)
+    A step that does not lower a week's loss is halved.
+    """
+    sums = points.groupBy("week").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos > 0 AND neg > 0").collect()
+    size = {r["week"]: r["pos"] + r["neg"] for r in sums}
+    trial = {r["week"]: (0.0, math.log(r["pos"] / r["neg"])) for r in sums}
+    best: dict[int, tuple[tuple[float, float], float]] = {}
+    for _ in range(STEPS):
+        if not trial:
+            break
+        for week, s in _slopes(points, trial).items():
+            at = trial[week]
+            if week in best and s["loss"] > best[week][1] + 1e-12 * abs(best[week][1]):
+                kept = best[week][0]
+                trial[week] = ((at[0] + kept[0]) / 2, (at[1] + kept[1]) / 2)
+                if trial[week] == at or trial[week] == kept:
+                    del trial[week]
+                continue
+            best[week] = (at, s["loss"])
+            det = s["h00"] * s["h11"] - s["h01"] ** 2
+            if max(abs(s["g0"]), abs(s["g1"])) <= SLOPE * size[week] or det <= 0:
+                del trial[week]
+                continue
+            trial[week] = (at[0] - (s["h11"] * s["g0"] - s["h01"] * s["g1"]) / det,
+                           at[1] - (s["h00"] * s["g1"] - s["h01"] * s["g0"]) / det)
+    return {week: fit for week, (fit, _) in sorted(best.items())}
+
+
+def _hull(points: list[tuple]) -> list[tuple]:
+    """Lower convex hull of (n, s, ...), both rising in n, from (0, 0) on; of points in line only the ends.
+
+    Whole numbers of any size, so no slope is rounded.
+    """
+    kept: list[tuple] = [(0, 0)]
+    for point in points:
+        while len(kept) > 1:
+            (n0, s0), (n1, s1) = kept[-2][:2], kept[-1][:2]
+            if (point[1] - s1) * (n1 - n0) > (s1 - s0) * (point[0] - n1):
+                break
+            kept.pop()
+        kept.append(point)
+    return kept
+
+
+def _range_hull(rows: pd.DataFrame) -> pd.DataFrame:
+    """The hull of one range of scores; its last point holds the range's totals."""
+    rows = rows.sort_values("p")
+    scores = rows["p"].tolist()
+    positives, sizes = rows["pos"].cumsum().tolist(), (rows["pos"] + rows["neg"]).cumsum().tolist()
+    following = [*scores[1:], None]
+    kept = _hull(list(zip(sizes, positives, scores, following)))[1:]
+    out = pd.DataFrame(kept, columns=["n", "s", "p", "after"])
+    return out.assign(week=rows["week"].iloc[0], bucket=rows["bucket"].iloc[0], first=scores[0])
+
+
+def _week_knots(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of the fit of a week from the hulls of its ranges: both ends of each block."""
+    rows = rows.sort_values(["bucket", "n"])
+    columns = [rows[c].tolist() for c in ("bucket", "n", "s", "p", "after", "first")]
+    points, base, total, before = [], (0, 0), (0, 0), None
+    for bucket, n, s, p, after, first in zip(*columns):
+        if bucket != before:
+            if points:
+                points[-1] = (*points[-1][:3], first)
+            base, before = total, bucket
+        total = (base[0] + n, base[1] + s)
+        points.append((*total, p, after))
+    kept = _hull(points)
+    start, knots = rows["first"].iloc[0], []
+    for (n0, s0, *_), (n1, s1, p, after) in zip(kept, kept[1:]):
+        value = (s1 - s0) / (n1 - n0)
+        knots += [(start, value)] if start == p else [(start, value), (p, value)]
+        start = after
+    return pd.DataFrame(knots, columns=["p", "fitted"]).assign(week=rows["week"].iloc[0])
+
+
+def fit_isotonic(points: DataFrame) -> DataFrame:
+    """(week, p, fitted): the increasing fit with least squares, at both ends of each of its levels.
+
+    A range of scores keeps only its hull, which has few points: the levels of a fit of n rows are at
+    most about n^(2/3), whatever the scores.
+    """
+    ranged = points.withColumn("bucket", F.floor(F.col("p") / F.lit(BUCKET_WIDTH)))
+    week = points.schema["week"].dataType.simpleString()
+    hulls = ranged.select("week", "bucket", "p", "pos", "neg").groupBy("week", "bucket").applyInPandas(
+        _range_hull, f"week {week}, bucket long, first double, n long, s long, p double, after double"
+    )
+    return hulls.groupBy("week").applyInPandas(_week_knots, f"week {week}, p double, fitted double")
 
 
-def calibrate_weekly(scored: DataFrame, method: str, digits: int = POINT_DIGITS) -> DataFrame:
-    """Calibrated scores, where a week has both classes with at least five rows; else unchanged.
+def apply_isotonic(scores: DataFrame, knots: DataFrame) -> DataFrame:
+    """Distinct (week, p) with the value of the fit: linear between knots, the end values outside.
 
-    One small fit per week (the number of weeks is fixed) on the shared, persisted points.
+    The knots around a score are looked for in its range of scores first, then in the nearest range
+    that has one: two windows, neither over a whole week of scores.
     """
+    knot = F.struct("p", "fitted")
+    both = scores.select("week", "p", F.lit(None).cast("double").alias("fitted"), F.lit(True).alias("asked")).distinct()
+    both = both.unionByName(knots.select("week", "p", "fitted", F.lit(False).alias("asked")))
+    both = both.withColumn("bucket", F.floor(F.col("p") / F.lit(BUCKET_WIDTH)))
+    both = both.withColumn("knot", F.when(F.col("fitted").isNotNull(), knot))
+    ranges = both.groupBy("week", "bucket").agg(
+        F.max_by("knot", F.when(F.col("knot").isNotNull(), F.col("p"))).alias("highest"),
+        F.min_by("knot", F.when(F.col("knot").isNotNull(), F.col("p"))).alias("lowest"),
+    )
+    over = Window.partitionBy("week").orderBy("bucket")
+    ranges = ranges.select(
+        "week", "bucket",
+        F.last("highest", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("range_before"),
+        F.first("lowest", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("range_after"),
+    )
+    inside = Window.partitionBy("week", "bucket").orderBy("p")
+    placed = both.select(
+        "week", "bucket", "p", "asked",
+        F.last("knot", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("own_before"),
+        F.first("knot", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing)).alias("own_after"),
+    ).filter("asked").join(ranges, ["week", "bucket"])
+    low, high = F.coalesce("own_before", "range_before"), F.coalesce("own_after", "range_after")
+    placed = placed.select("week", "p", low.alias("low"), high.alias("high"))
+    share = (F.col("p") - F.col("low.p")) / F.nullif(F.col("high.p") - F.col("low.p"), F.lit(0.0))
+    between = F.col("low.fitted") + F.coalesce(share, F.lit(0.0)) * (F.col("high.fitted") - F.col("low.fitted"))
+    return placed.select("week", "p", F.coalesce(between, F.col("low.fitted"), F.col("high.fitted")).alias("fitted"))
+
+
+def calibrate_weekly(scored: DataFrame, method: str) -> DataFrame:
+    """Calibrated scores, where a week has both classes with at least five rows; else unchanged."""
     if method not in ("platt", "isotonic"):
         raise ValueError(f"unknown calibration {method!r}")
-    # written by week: the fits and the per-week application read their own part only
-    scored = staged(scored, "scored", ["week"])
-    guard = enough_of_both(score_histogram(scored, ["week"], digits=digits), ["week"])
-    points = calibration_points(scored, digits).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = points.groupBy("week").agg(
-            F.sum("weight").alias("total"), F.count_distinct("label").alias("classes")
-        )
-        usable = guard.filter("calibratable").join(sizes.filter("classes = 2"), "week")
-        weeks = [(r["week"], r["total"]) for r in usable.select("week", "total").collect()]
-        fit = fit_platt if method == "platt" else fit_isotonic
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            fitted = pool.map(lambda w: fit(points.filter(F.col("week") == w[0]), w[1]), weeks)
-            fits = {week: model for (week, _), model in zip(weeks, fitted)}
-    finally:
-        points.unpersist()
-    return (_apply_platt if method == "platt" else _apply_isotonic)(scored, fits)
-
-
-def _apply_platt(scored: DataFrame, fits: dict[int, tuple[float, float]]) -> DataFrame:
-    if not fits:
-        return scored
-    line = F.create_map(*[x for w, (a, b) in fits.items()
-                          for x in (F.lit(w), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
-    fit = F.try_element_at(line, F.col("week"))
-    calibrated = 1.0 / (1.0 + F.exp(-(fit["a"] * F.col("score") + fit["b"])))
-    return scored.withColumn("score", F.coalesce(calibrated, F.col("score")))
-
-
-def _apply_isotonic(scored: DataFrame, fits: dict) -> DataFrame:
-    if not fits:
-        return scored
-    columns = scored.columns
-    rows = scored.withColumn("features", array_to_vector(F.array("score")))
-    parts = [
-        model.transform(rows.filter(F.col("week") == week)).withColumn("score", F.col("prediction")).select(*columns)
-        for week, model in fits.items()
-    ]
-    parts.append(scored.filter(~F.col("week").isin(list(fits))))
-    return reduce(DataFrame.unionByName, parts)
+    scored = staged(scored, "scored")  # read by the guard, the share and the result
+    guard = enough_of_both(score_histogram(scored, ["week"]), ["week"]).filter("calibratable").select("week")
+    points = calibration_points(scored)
+    classes = points.groupBy("week").agg((F.least(F.sum("pos"), F.sum("neg")) > 0).alias("both")).filter("both").select("week")
+    usable = staged(guard.join(classes, "week"), "calibrated-weeks")
+    points = points.join(usable, "week", "left_semi")
+    if method == "platt":
+        fits = fit_platt(points)
+        if not fits:
+            return scored
+        line = F.create_map(*[x for w, (a, b) in fits.items()
+                              for x in (F.lit(w), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+        fit = F.try_element_at(line, F.col("week"))
+        calibrated = 1.0 / (1.0 + F.exp(-(fit["a"] * F.col("score") + fit["b"])))
+        return scored.withColumn("score", F.coalesce(calibrated, F.col("score").cast("double")))
+    columns = [F.col(c) for c in scored.columns if c != "score"]
+    p = F.col("score").cast("double").alias("p")
+    fitted = apply_isotonic(scored.select("week", p), staged(fit_isotonic(points), "isotonic-knots"))
+    fitted = staged(fitted, "isotonic-scores").select(F.col("week"), F.col("p").alias("_p"), "fitted")
+    joined = scored.withColumn("_p", F.col("score").cast("double")).join(fitted, ["week", "_p"], "left")
+    return joined.select(*columns, F.coalesce("fitted", "_p").alias("score")).select(*scored.columns)

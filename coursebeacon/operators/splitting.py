@@ -19,25 +19,26 @@ def with_split(df: DataFrame, fraction: float = TEST_FRACTION, seed: int = SPLIT
     return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
-def with_exact_split(df: DataFrame, fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED,
-                     key: str = "student_uid", label: str = "label") -> DataFrame:
+def with_exact_split(df: DataFrame, fraction: float = TEST_FRACTION, seed: int | str = SPLIT_SEED,
+                     key: str = "student_uid", label: str | list[str] = "label") -> DataFrame:
     """Like ``with_split``, but each label gives exactly ``round(fraction * n)`` test rows.
 
-    Rows are ranked by hash within a label. Only counts per hash value are ordered, and those in
-    buckets, so no task ever sorts a whole label.
+    Rows are ranked by hash within a label, or within each combination of several columns. Only counts
+    per hash value are ordered, and those in buckets, so no task ever sorts a whole label.
     """
+    strata = [label] if isinstance(label, str) else label
     df = staged(df, "split-input")  # read three times below
     hashed = df.withColumn("_h", F.conv(hash_prefix(key, seed), 16, 10).cast("bigint"))
-    counts = hashed.groupBy(label, "_h").agg(F.count("*").alias("_n"))
-    running = running_totals(counts, [label], "_h", ["_n"], F.floor(F.col("_h") / F.lit(2.0**16)))
-    sizes = running.groupBy(label).agg(F.round(F.max("cum__n") * F.lit(float(fraction))).alias("_quota"))
-    marked = running.join(sizes, label).withColumn("_before", F.col("cum__n") - F.col("_n"))
-    cuts = marked.select(label, "_h", F.greatest(F.lit(0), F.col("_quota") - F.col("_before")).alias("_take"))
+    counts = hashed.groupBy(*strata, "_h").agg(F.count("*").alias("_n"))
+    running = running_totals(counts, strata, "_h", ["_n"], F.floor(F.col("_h") / F.lit(2.0**16)))
+    sizes = running.groupBy(*strata).agg(F.round(F.max("cum__n") * F.lit(float(fraction))).alias("_quota"))
+    marked = running.join(sizes, strata).withColumn("_before", F.col("cum__n") - F.col("_n"))
+    cuts = marked.select(*strata, "_h", F.greatest(F.lit(0), F.col("_quota") - F.col("_before")).alias("_take"))
     # rows sharing one hash value are collisions of a 32-bit hash, told apart by their key
-    place = F.row_number().over(Window.partitionBy(label, "_h").orderBy(key))
+    place = F.row_number().over(Window.partitionBy(*strata, "_h").orderBy(key))
     return (
         hashed.withColumn("_place", place)
-        .join(cuts, [label, "_h"])
+        .join(cuts, [*strata, "_h"])
         .withColumn("split", F.when(F.col("_place") <= F.col("_take"), "test").otherwise("train"))
         .drop("_h", "_place", "_take")
     )

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coursebeacon.operators.blending import apply_blend, best_weight, blend_search, common_predictions
-from coursebeacon.operators.calibration import calibrate_weekly, fit_platt
+from coursebeacon.operators.calibration import apply_isotonic, calibrate_weekly, calibration_points, fit_isotonic, fit_platt
 from coursebeacon.operators.proxy import proxy_scores
 from coursebeacon.operators.scaling import ClickScaler, every_prefix, mask_future, scaler_table
 from coursebeacon.operators.splitting import split_sizes, with_exact_split, with_split
@@ -96,7 +96,11 @@ def test_unknown_labels(spark):
 def test_platt_is_the_penalised_logistic_fit(spark):
     rng = random.Random(0)
     rows = [(rng.random(), float(rng.random() < 0.5), float(rng.randint(1, 3))) for _ in range(200)]
-    a, b = fit_platt(spark.createDataFrame(rows, "score double, label double, weight double"))
+    points = [(0, p, int(w * t), int(w * (1 - t))) for p, t, w in rows]
+    points += [(1, 0.1, 0, 5), (1, 0.9, 5, 0), (2, 0.3, 4, 0)]  # a week that can be told apart, one of one class only
+    fits = fit_platt(spark.createDataFrame(points, "week int, p double, pos long, neg long"))
+    assert set(fits) == {0, 1} and fits[1][0] > 0
+    a, b = fits[0]
     x = y = 0.0  # Newton's method on the same objective
     for _ in range(50):
         g0 = g1 = h00 = h01 = h11 = 0.0
@@ -109,7 +113,51 @@ def test_platt_is_the_penalised_logistic_fit(spark):
         g0, h00 = g0 + x, h00 + 1.0
         det = h00 * h11 - h01 * h01
         x, y = x - (h11 * g0 - h01 * g1) / det, y - (h00 * g1 - h01 * g0) / det
-    assert math.isclose(a, x, abs_tol=1e-3) and math.isclose(b, y, abs_tol=1e-3)
+    assert math.isclose(a, x, abs_tol=1e-9) and math.isclose(b, y, abs_tol=1e-9)
+
+
+def pool(points):
+    """Neighbouring levels that fall are pooled until none does: [first p, last p, value]."""
+    levels = []
+    for p, pos, neg in sorted(points):
+        levels.append([p, p, pos, pos + neg])
+        while len(levels) > 1 and levels[-2][2] * levels[-1][3] >= levels[-1][2] * levels[-2][3]:
+            _, last, s, n = levels.pop()
+            levels[-1][1:] = [last, levels[-1][2] + s, levels[-1][3] + n]
+    return [(a, b, s / n) for a, b, s, n in levels]
+
+
+def test_isotonic_is_the_pooled_fit(spark):
+    rng = random.Random(4)
+    points = {w: [(rng.random() ** (w + 1) * (1 if w else 1e-3), rng.randint(0, 3), rng.randint(1, 3)) for _ in range(150)] for w in range(4)}
+    points[3] = [(0.5, 2, 1)]
+    rows = [(w, *x) for w, xs in points.items() for x in xs]
+    table = spark.createDataFrame(rows, "week int, p double, pos long, neg long").repartition(7)
+    knots = fit_isotonic(table)
+    found = {}
+    for r in knots.collect():
+        found.setdefault(r["week"], []).append((r["p"], r["fitted"]))
+    asked = [(w, rng.random() * 1.2 - 0.1) for w in range(4) for _ in range(60)] + [r[:2] for r in rows]
+    got = {(r["week"], r["p"]): r["fitted"] for r in apply_isotonic(spark.createDataFrame(asked, "week int, p double"), knots).collect()}
+    for w, xs in points.items():
+        levels = pool(xs)
+        expected = sorted({(p, v) for a, b, v in levels for p in (a, b)})
+        assert [x for knot in sorted(found[w]) for x in knot] == pytest.approx([x for knot in expected for x in knot])
+        for p in (p for week, p in asked if week == w):
+            low, high = [k for k in expected if k[0] <= p], [k for k in expected if k[0] >= p]
+            if not low or not high:
+                want = (low or high)[-1 if low else 0][1]
+            else:
+                (x0, y0), (x1, y1) = low[-1], high[0]
+                want = y0 if x1 == x0 else y0 + (p - x0) / (x1 - x0) * (y1 - y0)
+            assert got[w, p] == pytest.approx(want)
+
+
+def test_calibration_share_is_exact(spark):
+    rows = [(f"u{i}", None if i % 10 == 0 else int(i % 3 == 0), w, i / 100) for w in range(2) for i in range(100)]
+    points = calibration_points(spark.createDataFrame(rows, "student_uid string, label int, week int, score double"))
+    sums = {r["week"]: (r["a"], r["b"]) for r in points.groupBy("week").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).collect()}
+    assert sums == {0: (9, 21), 1: (9, 21)}
 
 
 @pytest.mark.parametrize("method", ["platt", "isotonic"])
@@ -117,10 +165,13 @@ def test_calibration_keeps_order_and_skips_thin_weeks(spark, method):
     rng = random.Random(9)
     rows = [(f"u{i}", int(rng.random() < i / 300), 0, i / 300) for i in range(300)]
     rows += [(f"u{i}", 0, 1, 0.4) for i in range(20)]  # one class only: stays as it is
+    rows += [(f"v{i}", int(i < 4), 2, 0.4 + i / 100) for i in range(20)]  # too few of one class
     scored = spark.createDataFrame(rows, "student_uid string, label int, week int, score double")
     out = calibrate_weekly(scored, method)
+    assert out.columns == scored.columns
     got = {(r["student_uid"], r["week"]): r["score"] for r in out.collect()}
-    assert len(got) == 320 and {got[f"u{i}", 1] for i in range(20)} == {0.4}
+    assert [got[f"v{i}", 2] for i in range(20)] == [0.4 + i / 100 for i in range(20)]
+    assert len(got) == 340 and {got[f"u{i}", 1] for i in range(20)} == {0.4}
     week0 = [got[f"u{i}", 0] for i in range(300)]
     assert all(b >= a - 1e-12 for a, b in zip(week0, week0[1:])) and 0 <= week0[0] and week0[-1] <= 1
     with pytest.raises(ValueError):

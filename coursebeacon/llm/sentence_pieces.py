@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from coursebeacon.llm.shipping import ship
+from coursebeacon.llm.words import Forgetful, unused
 
 SPACE = "▁"
 #: Words and parts of words, and pairs of pieces, that a Python worker remembers (some 50 MB each).
@@ -34,24 +35,6 @@ LONGEST = 64
 BATCH_BYTES = 4 << 20
 
 
-class Forgetful(dict):
-    """Results of a function; ``limit`` recent ones are kept at least, twice as many at most."""
-
-    def __init__(self, make, limit: int) -> None:
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Row(dict):
     """Whether each piece can follow a given last piece, found out when first asked."""
 
@@ -218,11 +201,6 @@ def encoder(path: str) -> PrefixEncoder:
     return _encoders[path]
 
 
-def unused(names: list[str]) -> str:
-    """A name that is longer than all of these."""
-    return max([*names, ""], key=len) + "_"
-
-
 def encode(
     docs: DataFrame, model: str, text_col: str = "text", out: str = "ids", decoded: str | None = None,
     keep: list[str] | None = None,

@@ -1,4 +1,4 @@
-"""Words of a text in the two senses the operators use, on UTF-8 bytes."""
+"""Words of a text in the two senses the operators use, on UTF-8 bytes; names and memories that they share."""
 
 import re
 
@@ -21,3 +21,26 @@ def plain_words(text: str | None) -> list[bytes]:
 def spaced_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: bytes.split parts at exactly that white space."""
     return utf8(text).split()
+
+
+def unused(names: list[str]) -> str:
+    """A name that is longer than all of these."""
+    return max([*names, ""], key=len) + "_"
+
+
+class Forgetful(dict):
+    """Results of a function; ``limit`` recent ones are kept at least, twice as many at most."""
+
+    def __init__(self, make, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

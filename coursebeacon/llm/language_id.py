@@ -19,10 +19,11 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from coursebeacon.llm.shipping import ship
-from coursebeacon.llm.words import utf8
+from coursebeacon.llm.words import unused
 from coursebeacon.session import staged
 
 UNKNOWN = "und"
@@ -47,19 +48,27 @@ DIMENSIONS = 1 << 12
 SAMPLE = 1000
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 20
-#: What \w has beside letters (\p{L}): digits, fractions, circled and Roman numerals.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-LETTER = re.compile(rf"[^\W_{NUMERALS}]")
-NOT_LETTERS = re.compile(rf"[\W_{NUMERALS}]+")
+#: Rows of features that are passed on at a time.
+BATCH_ROWS = 256
+#: Languages that machines are trained for at most.
+MAX_LANGUAGES = 500
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What \w has beside letters (\p{L}) and decimal digits: fractions, circled and Roman numerals.
+NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not (c.isalpha() or c.isdecimal())}
+RARE = frozenset(map(chr, NUMERALS))
 
 
-def has_letter(text: str | None) -> bool:
-    return text is not None and LETTER.search(text) is not None
+def letters(text: str | None) -> str:
+    """The runs of letters of the lower-cased text, parted by single spaces."""
+    text = (text or "").lower()
+    if not text.isascii() and not RARE.isdisjoint(text):
+        text = text.translate(NUMERALS)
+    return NOT_LETTERS.sub(" ", text).strip()
 
 
 def features(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Square roots of the counts of n-grams of 1 to 4 bytes of the lower-cased letters, scaled to one."""
-    raw = b" " + NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass") + b" "
+    """Square roots of the counts of n-grams of 1 to 4 bytes of letters, scaled to one."""
+    raw = b" " + text.encode("utf-8", "surrogatepass") + b" "
     counts = np.zeros(dimensions)
     for i in range(0, len(raw), CHUNK):
         letters = np.frombuffer(raw[i : i + CHUNK + 3], np.uint8).astype(np.uint32)
@@ -122,13 +131,14 @@ def _machine(rows: DataFrame, positive: Column) -> np.ndarray:
 
 def train(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE,
-    families: dict[str, tuple[str, ...]] | None = None, dimensions: int = DIMENSIONS,
+    families: dict[str, tuple[str, ...]] | None = None, dimensions: int = DIMENSIONS, max_languages: int = MAX_LANGUAGES,
 ) -> Model:
     """Fits the machines on at most ``sample`` rows of each language, chosen by a hash of the text.
 
     Rows without language or without a letter are left out; equal texts of a language count once. A
     language alone in its family needs no pairs, a family alone no machine, and without any row
-    left the model predicts nothing.
+    left the model predicts nothing. More than ``max_languages`` languages are an error: such a column
+    does not hold languages.
     """
     ship(labelled.sparkSession)
     text = F.col(text_col)
@@ -137,9 +147,12 @@ def train(
     )
     # the smallest hashes of each language: cut by a threshold first, so that no task sorts them all
     distinct = known.select("lang", "h").distinct()  # copies must not lower the threshold
-    sizes = {row["lang"]: row["count"] for row in distinct.groupBy("lang").count().collect()}
+    counted = distinct.groupBy("lang").count().limit(max_languages + 1)
+    sizes = {row["lang"]: row["count"] for row in counted.collect()}
     if not sizes:
         return Model()
+    if len(sizes) > max_languages:
+        raise ValueError(f"column {lang_col} has more than {max_languages} languages")
     share = F.element_at(F.create_map(*[
         x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 4 * sample / n)))
     ]), F.col("lang"))
@@ -148,14 +161,18 @@ def train(
     chosen = low.dropDuplicates(["lang", "h"]).withColumn("n", first).filter(F.col("n") <= sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = [features(t, dimensions).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["lang", "x"]
-            )
-
-    rows = chosen.select("lang", "text").mapInArrow(measure, "lang string, x array<double>")
-    rows = staged(rows.repartition(4), "language-sample").select("lang", array_to_vector("x").alias("features"))
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                vectors = np.zeros((batch.num_rows, dimensions), np.float32)
+                for i, text in enumerate(batch.column(1)):
+                    vectors[i] = features(letters(text.as_py()), dimensions)
+                edges = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimensions)
+                lists = pa.ListArray.from_arrays(edges, pa.array(vectors.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["lang", "x"])
+
+    rows = chosen.select("lang", "text").mapInArrow(measure, "lang string, x array<float>")
+    rows = staged(rows, "language-sample").select("lang", array_to_vector("x").alias("features"))
     model = Model()
     for language in sorted(sizes):
         model.families.setdefault(family_of(language, families or FAMILIES), []).append(language)
@@ -182,22 +199,21 @@ def predict(
     result. Columns of ``docs`` named like the added ones are replaced.
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
-    docs = docs.drop(out, score)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in (out, score)]
+    slim = docs.select(*[docs[f"`{c}`"] for c in names], docs[f"`{text_col}`"].alias(unused(names)))
+    schema = StructType([*slim.schema.fields[:-1], StructField(out, StringType()), StructField(score, DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            found = [
-                machines.predict(features(t.as_py(), dimensions)) if has_letter(t.as_py()) else (UNKNOWN, 0.0)
-                for t in texts
-            ]
+            found = []
+            for text in batch.column(batch.num_columns - 1):
+                own = letters(text.as_py())
+                found.append(machines.predict(features(own, dimensions)) if own else (UNKNOWN, 0.0))
             languages, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, languages, scores], names=[*names, out, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], languages, scores], names=schema.names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(judge, f"{schema}, `{out}` string, `{score}` double")
+    return slim.mapInArrow(judge, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -285,7 +285,8 @@ def test_numerals_are_no_letters(spark):
     texts = [(1, "\u00bd \u2460 12"), (2, "\u2167"), (3, "\u00b2"), (4, "\u00bda")]
     found = language_id.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
     assert {r.doc_id: r.lang_pred == "und" for r in found} == {1: True, 2: True, 3: True, 4: False}
-    assert all(bool(language_id.LETTER.match(c)) == c.isalpha() for c in map(chr, range(0x30000)))
+    assert all(bool(language_id.letters(c)) == c.isalpha() for c in map(chr, range(0x30000)))
+    assert language_id.letters("½Ⅷ Ab1c, 一é_²") == "ab c 一é"
 
 
 def test_features_do_not_depend_on_chunks(monkeypatch):

@@ -24,6 +24,7 @@ from coursebeacon.plans.prepare import Prepared, prepare
 from coursebeacon.schemas import METRICS, PREDICTIONS, STATUS, WHATIF_HISTORY, week_columns
 from coursebeacon.session import staged, staged_path, work_path
 from coursebeacon.sources import readers, relational, sinks
+from coursebeacon.sources.memo import MemoisedScan
 from coursebeacon.streaming import activity as stream_activity
 from coursebeacon.streaming import batch_store, event_windows, learner_state, runner, running_alerts, twin
 
@@ -713,6 +714,95 @@ def early_warning_report(spark, folder):
     return row_rounded(report.ranked.select("student_uid", "learning_index", "prob_risk"))
 
 
+@query
+def memoised_scan(spark, folder):
+    """A folder read through the memo, then changed: the old rows within the limit, the new ones at its end."""
+    path, now = work_path(spark, "memo"), [0.0]
+    learners = staged(_learners(spark, folder).select("student_uid", "prob_pass", label_at("prob_pass").alias("predicted_label")), "learners")
+    memo = MemoisedScan(spark, lambda session, where: readers.read_table(session, where, PREDICTIONS), clock=lambda: now[0])
+    shown = []
+    for seconds, more in ((0.0, "predicted_label = 1"), (4.9, "predicted_label = 0"), (5.0, None)):
+        if seconds != 4.9 and more:
+            learners.filter(more).write.parquet(path)
+        now[0] = seconds
+        if more == "predicted_label = 0":
+            learners.filter(more).write.mode("append").parquet(path)
+        sums = memo.scan(path).agg(F.count("*").alias("n"), F.sum("predicted_label").cast("bigint").alias("n_pass"))
+        shown.append(staged(sums.select(F.lit(seconds).alias("seconds"), "*"), "memo-shown"))
+    memo.clear()
+    return reduce(DataFrame.unionByName, shown)
+
+
+@query
+def live_view(spark, folder):
+    """The monitor's view of a snapshot log that a stream writes meanwhile, read through the memo in each cycle."""
+    test = staged(_prepared(spark, folder).test, "test")
+    inbox, log, status, state = (work_path(spark, name) for name in ("live", "snapshots", "status", "stream-state"))
+    writer = twin.snapshot_writer(log, status, scenario.scenario_named("exam_season"))
+    now, shown = [0.0], []
+    memo = MemoisedScan(spark, runner.read_batches, clock=lambda: now[0])
+    part = F.substring(F.md5("student_uid"), 1, 1)
+    for cycle, (low, high) in enumerate((("0", "4"), ("5", "a"), ("b", "f"))):
+        test.filter(part.between(low, high)).coalesce(1).write.mode("append").parquet(inbox)
+        runner.run_available(spark, twin.watch_table(spark, inbox, test.schema), writer, checkpoint=state)
+        now[0] += 5.0
+        columns = ["scenario", "rows", "mean_score", "theta_t"]  # the log has no threshold: it is left out
+        view = metric_log.live_view(memo.scan(log), ["batch_id"], columns)
+        shown.append(staged(view.select(F.lit(cycle).alias("cycle"), "*"), "live-shown"))
+    memo.clear()
+    return rounded(reduce(DataFrame.unionByName, shown))
+
+
+@query
+def status_documents(spark, folder):
+    """Status documents as the reader of JSON finds them: an unreadable one and an absent folder give no row."""
+    _, status = _snapshots(spark, folder)
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.mode("append").text(f"{status}/broken")
+    found = [readers.read_status(spark, f"{status}/{name}") for name in ("batch_id=0", "broken", "none")]
+    return reduce(DataFrame.unionByName, found).select("scenario", "affected_fraction", "rows")
+
+
+@query
+def source_file_times(spark, folder):
+    """Latest change of each written file: one row per file, none in the future, the clock as text."""
+    path = staged_path(relational.student_info(spark, folder).repartition(3), "file-times")
+    times = readers.file_times(spark, path)
+    passed = F.col("modified") <= F.current_timestamp()
+    return times.agg(
+        F.count("*").alias("n_files"), F.min(passed).alias("passed"),
+        F.min(F.col("clock").rlike("^[0-2][0-9]:[0-5][0-9]:[0-5][0-9]$")).alias("readable"),
+    )
+
+
+@query
+def backfilled_columns(spark, folder):
+    """An extract that lacks columns, filled up with nulls or a constant."""
+    old = _learners(spark, folder).select("student_uid", F.col("total_clicks").cast("double").alias("total_clicks"))
+    filled = readers.with_missing_columns(old, ["total_clicks", "mean_score"])
+    return readers.with_missing_columns(filled, ["completion"], 0.5)
+
+
+@query
+def learner_lookup(spark, folder):
+    """Lookup of single learners by key: the first and the last one, and one there is not."""
+    data = _prepared(spark, folder).dataset
+    ends = data.agg(F.min("student_uid"), F.max("student_uid")).first()
+    found = [whatif.learner(data, uid) for uid in (*ends, "nobody") if uid is not None]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("student_uid", "label", "total_clicks", F.round("w0_clicks", 9).alias("w0"))
+
+
+@query
+def conditional_labels(spark, folder):
+    """Labels joined where a table has none, kept where it has them, 0 without any source."""
+    p = _prepared(spark, folder)
+    bare = p.dataset.select("student_uid")
+    views = {"joined": enrolments.ensure_label(bare, p.real), "none": enrolments.ensure_label(bare),
+             "kept": enrolments.ensure_label(p.dataset.select("student_uid", (1 - F.col("label")).alias("label")), p.real)}
+    each = [df.select(F.lit(name).alias("view"), "student_uid", F.col("label").cast("int").alias("label")) for name, df in views.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 # --- streams ------------------------------------------------------------------------------------------------
 
 #: Parts of a backlog, and rows of one of its files.

@@ -605,6 +605,29 @@ calibrated as materialized (
             union all select 'second' as run, * from metrics where variant = 'risk_cost') x group by run""")
     out["rebuild_consistency"] = q(TEST, """
       select cast(count(*) as bigint) as n_predictions, 0::bigint as difference from scaled where split = 'test'""")
+    passed = "case when prob_pass >= 0.5 then 1 else 0 end"
+    out["memoised_scan"] = q(LEARNER, f"""
+      select {d("seconds")} as seconds, cast(count(*) as bigint) as n, cast(sum({passed}) as bigint) as n_pass
+      from learners, (values (0.0, 1), (4.9, 1), (5.0, 0)) v(seconds, least_label) where {passed} >= least_label group by seconds""")
+    out["live_view"] = q(TEST, _scenario_sql(next(s for s in SCENARIOS if s.name == "exam_season"), aggregate=True).replace(
+        "select ", f"select cycle, cast(cycle + 1 as bigint) as n_snapshots, cast(count(*) as bigint) as rows, ", 1).replace(
+        "from scaled where", """from scaled, (values (0, '0', '4'), (1, '5', 'a'), (2, 'b', 'f')) v(cycle, low, high)
+        where substr(md5(student_uid), 1, 1) between low and high and""") + " group by cycle")
+    out["live_view"] = f"select cycle, n_snapshots, scenario, rows, mean_score from ({out['live_view']}) x"
+    out["status_documents"] = q(TEST, f"""
+      select 'exam_season' as scenario, {d(0.3)} as affected_fraction, cast(count(*) as bigint) as rows
+      from scaled where split = 'test'""")
+    out["source_file_times"] = "select 3::bigint as n_files, true as passed, true as readable"
+    out["backfilled_columns"] = q(LEARNER, f"""
+      select student_uid, {d("total_clicks")} as total_clicks, {d("null")} as mean_score, {d(0.5)} as completion from learners""")
+    out["learner_lookup"] = q(TEST, f"""
+      select student_uid, label, total_clicks, {r9("w0")} as w0 from scaled
+      where student_uid in (select min(student_uid) from scaled union all select max(student_uid) from scaled)""")
+    out["conditional_labels"] = q(TEST, """
+      select 'joined' as view, s.student_uid, cast(t.label as integer) as label
+      from scaled s left join (select student_uid, label from scaled where split = 'test') t using (student_uid)
+      union all select 'none' as view, student_uid, 0 from scaled
+      union all select 'kept' as view, student_uid, cast(1 - label as integer) from scaled""")
     out["threshold_sweep"] = q(SWEPT, f"""
       select mode, week, theta_idx, theta, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
         {rounded(["precision", "recall", "f1"])} from sweep""")

@@ -26,6 +26,13 @@ def latest_row(log: DataFrame, order: list[str]) -> DataFrame:
     return log.agg(newest).filter("_row is not null").select("_row.*")
 
 
+def live_view(log: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """What a monitor shows of a running log: how many rows there are, and those ``columns`` of the last one that it has."""
+    newest = latest_row(log, order)
+    size = log.agg(F.count("*").alias("n_snapshots"))
+    return existing(newest.join(size, F.lit(True)), ["n_snapshots", *columns])
+
+
 def latest_threshold(log: DataFrame | None, order: str = "timestamp",
                      default: float = DEFAULT_RISK_THRESHOLD) -> Column:
     """Threshold of the latest row of the latest week as a scalar; the default without one."""

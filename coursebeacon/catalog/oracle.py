@@ -591,6 +591,7 @@ calibrated as materialized (
       select week, {rounded(["auc_pr", "auc_roc", "brier"])} from areas join totals using (week, mode) where mode = 'pass'""")
     out["weekly_metrics_model"] = "select cast(i as integer) as week, true as in_range, true as adds_up from range(20) t(i)"
     out["raw_csv_features"] = out["feature_table"]
+    out["incremental_clicks"] = out["weekly_clicks"]
     out["early_warning_report"] = q([*LEARNER, SCALED, PROXY, histogram_ctes("proxy", "week"), SWEEP, METRICS_LOG], f"""
       select student_uid, {r9("learning_index")} as learning_index, {r9("1 - prob_pass")} as prob_risk
       from learners where coalesce(learning_index < 50, false) or 1 - prob_pass >=

@@ -12,6 +12,7 @@ from coursebeacon.operators.proxy import proxy_scores
 from coursebeacon.operators.ranking import by_mode, ranking_metrics, score_histogram, score_totals
 from coursebeacon.operators.scaling import ClickScaler, every_prefix
 from coursebeacon.operators.thresholds import SWEEP_FIELDS, Strategy, threshold_sweep
+from coursebeacon.plans.prefix_scores import SUPPORTED, prefix_scores
 from coursebeacon.schemas import MAX_WEEKS
 
 
@@ -42,11 +43,16 @@ def weekly_scores(
 
     The weekly columns are taken as scaled already; a ``scaler`` scales them (again), after the
     weeks not yet observed were zeroed. ``model`` maps a table with such weekly columns to one with
-    ``prob_pass``.
+    ``prob_pass``; where it says which weekly model it runs, each row is read once for all weeks,
+    otherwise once per week.
     """
     if model is None:
         rows = test if scaler is None else scaler.transform(test)
         return proxy_scores(rows, ["student_uid", "label"], max_weeks)
+    known = getattr(model, "weekly_model", None)
+    if scaler is None and isinstance(known, SUPPORTED):
+        keys = ["student_uid", "label"]
+        return prefix_scores(test, known, keys, max_weeks).select(*keys, F.posexplode("scores").alias("week", "score"))
     prefixes = every_prefix(test, max_weeks)
     rows = prefixes if scaler is None else scaler.transform(prefixes)
     return model(rows).select("student_uid", "label", "week", F.col("prob_pass").alias("score"))

@@ -43,14 +43,19 @@ def with_all_features(df: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.expr(f"array({values})")))
 
 
-def scorer(model, features: Scorer = lambda df: df) -> Scorer:
-    """Adds ``prob_pass``; scoring is a narrow map over the rows."""
+def scorer(model, features: Scorer = lambda df: df, weekly: bool = False) -> Scorer:
+    """Adds ``prob_pass``; scoring is a narrow map over the rows.
+
+    ``weekly`` says that the inputs are the weekly columns first, so that all prefixes can be scored
+    from one row (`plans.prefix_scores`).
+    """
 
     def run(df: DataFrame) -> DataFrame:
         scored = model.transform(features(df))
         dropped = [c for c in scored.columns if c not in df.columns and c != "probability"]
         return scored.withColumn("prob_pass", vector_to_array("probability")[1]).drop("probability", *dropped)
 
+    run.weekly_model = model if weekly else None
     return run
 
 
@@ -63,7 +68,7 @@ def train_boosting(train: DataFrame, **parameters) -> tuple[object, Scorer]:
     """Gradient boosted trees on all features. The long lineage is cut by the trainer's checkpoints."""
     checkpoint_root(train.sparkSession)
     model = GBTClassifier(labelCol="label", **{**BOOSTING, **parameters}).fit(with_all_features(train))
-    return model, scorer(model, with_all_features)
+    return model, scorer(model, with_all_features, weekly=True)
 
 
 def train_sequence(train: DataFrame, max_weeks: int = MAX_WEEKS, **parameters) -> tuple[object, Scorer]:
@@ -74,7 +79,7 @@ def train_sequence(train: DataFrame, max_weeks: int = MAX_WEEKS, **parameters) -
         return with_sequence(df, max_weeks)
 
     model = MultilayerPerceptronClassifier(labelCol="label", **settings).fit(features(train))
-    return model, scorer(model, features)
+    return model, scorer(model, features, weekly=True)
 
 
 def train_aggregate(train: DataFrame) -> tuple[object, Scorer]:
@@ -100,7 +105,7 @@ def train_baselines(train: DataFrame) -> dict[str, Scorer]:
         "random_forest": RandomForestClassifier(labelCol="label", seed=42).fit(rows),
         "boosting": GBTClassifier(labelCol="label", maxIter=20, seed=42).fit(rows),
     }
-    return {name: scorer(model, with_all_features) for name, model in fitted.items()}
+    return {name: scorer(model, with_all_features, weekly=True) for name, model in fitted.items()}
 
 
 def quality(scored: DataFrame, score: str = "prob_pass") -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -105,6 +106,41 @@ def _boosting(trees: list[tuple[float, dict[int, tuple]]], max_weeks: int):
     return score
 
 
+def _mapped(rows: DataFrame, score, width: int) -> DataFrame:
+    """``rows``, whose last column holds feature arrays, with ``scores`` of ``width`` values in its place."""
+    schema = StructType([*rows.schema.fields[:-1], StructField("scores", ArrayType(DoubleType(), False))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(start, TOGETHER)
+                flat = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
+                found = score(flat.reshape(batch.num_rows, -1))
+                edges = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+                lists = pa.ListArray.from_arrays(edges, pa.array(found.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def staged_scores(df: DataFrame, model: GBTClassificationModel, counts: list[int], keep: list[str], features: str = "features") -> DataFrame:
+    """``keep`` and ``scores``: the probability by the first n trees, for each n of ``counts``.
+
+    Trees are fitted one after the other, so the first n of a longer fit are those of a fit of n.
+    """
+    trees = _trees(df.sparkSession, model)
+
+    def score(rows: np.ndarray) -> np.ndarray:
+        margins, total = {}, np.zeros(len(rows))
+        for n, (weight, nodes) in enumerate(trees, 1):
+            total = total + weight * _walk(nodes, rows, 0, 0)
+            if n in counts:
+                margins[n] = total
+        return 1.0 / (1.0 + np.exp(-2.0 * np.stack([margins[n] for n in counts], axis=1)))
+
+    return _mapped(df.select(*keep, vector_to_array(features).alias("_values")), score, len(counts))
+
+
 def prefix_scores(df: DataFrame, model, keep: list[str], max_weeks: int = MAX_WEEKS) -> DataFrame:
     """``keep`` and ``scores``: the probability of a pass after each week, an array per row of ``df``.
 
@@ -121,16 +157,4 @@ def prefix_scores(df: DataFrame, model, keep: list[str], max_weeks: int = MAX_WE
         raise ValueError(f"no prefix scores for {type(model).__name__}")
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
     rows = df.select(*keep, F.array(*values).alias("_values"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("scores", ArrayType(DoubleType(), False))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, TOGETHER):
-                batch = whole.slice(start, TOGETHER)
-                flat = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
-                found = score(flat.reshape(batch.num_rows, len(names)))
-                edges = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * max_weeks)
-                lists = pa.ListArray.from_arrays(edges, pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+    return _mapped(rows, score, max_weeks)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from coursebeacon.functions.scalars import hash_below, label_at, model_score
 from coursebeacon.operators.overview import with_class_weight
 from coursebeacon.operators.ranking import confusion_counts, ranking_metrics, score_histogram
+from coursebeacon.plans.prefix_scores import staged_scores
 from coursebeacon.schemas import MAX_WEEKS, METRICS, week_columns
 from coursebeacon.session import checkpoint_root, staged
 from coursebeacon.sources.models import save_model
@@ -145,6 +146,7 @@ def tune(train: DataFrame, estimator=None, grid: list | None = None, parallelism
 
     Configurations are fitted on the training part of ``validation_split`` and judged by 0.6 * average
     precision + 0.4 * ROC area on the rest. One that cannot be fitted is left out, unless all fail.
+    Numbers of boosted trees share one fit, of which the scores after fewer trees are taken.
     """
     checkpoint_root(train.sparkSession)
     if estimator is None:
@@ -161,14 +163,43 @@ def tune(train: DataFrame, estimator=None, grid: list | None = None, parallelism
         except Exception as error:  # an unfit configuration, kept for the case that none is left
             return None, None, error
 
+    def judged_together(places: list[int]) -> list[tuple[object, float | None, Exception | None]]:
+        """Configurations that differ in the number of trees only: one fit of the most, judged after each number."""
+        if len(places) == 1:
+            return [judged(grid[places[0]])]
+        counts = [grid[i][estimator.maxIter] for i in places]
+        try:
+            model = estimator.fit(fit, grid[places[counts.index(max(counts))]])
+            scored = staged(staged_scores(held, model, counts, ["label"]), "tuning-scores")
+            each = [scored.select("label", F.col("scores")[k].alias("prob_pass")) for k in range(len(counts))]
+            own = [float(quality(rows).first()["model_score"]) for rows in each]
+            return [(model if n == max(counts) else None, score, None) for n, score in zip(counts, own)]
+        except Exception as error:
+            return [(None, None, error)] * len(places)
+
+    groups = _same_path(estimator, grid)
+    results: list[tuple[object, float | None, Exception | None]] = [(None, None, None)] * len(grid)
     with ThreadPoolExecutor(parallelism) as pool:
-        results = list(pool.map(judged, grid))
+        for places, found in zip(groups, pool.map(judged_together, groups)):
+            for i, result in zip(places, found):
+                results[i] = result
     scores = [score for _, score, _ in results]
     known = [i for i, score in enumerate(scores) if score is not None]
     if not known:
         raise results[0][2]
     best = max(known, key=lambda i: (scores[i], -i))
-    return Tuned(results[best][0], scores)
+    model = results[best][0] or estimator.fit(fit, grid[best])  # fewer trees than its group was fitted with
+    return Tuned(model, scores)
+
+
+def _same_path(estimator, grid: list) -> list[list[int]]:
+    """Places of the grid, those together whose boosted trees begin alike."""
+    groups: dict = {}
+    for i, parameters in enumerate(grid):
+        shares = isinstance(estimator, GBTClassifier) and estimator.maxIter in parameters
+        rest = frozenset((p.name, v) for p, v in parameters.items() if p.name != "maxIter") if shares else i
+        groups.setdefault(rest, []).append(i)
+    return list(groups.values())
 
 
 def write_tuned(tuned: Tuned, test: DataFrame, model_path: str, predictions_path: str) -> None:

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from coursebeacon.operators.scaling import every_prefix
@@ -53,3 +55,30 @@ def test_linear_model_and_others(learners):
         prefix_scores.prefix_scores(learners.drop(*METRICS), baselines["logistic_regression"].weekly_model, ["student_uid"])
     empty = prefix_scores.prefix_scores(learners.filter(F.lit(False)), baselines["logistic_regression"].weekly_model, ["student_uid"])
     assert empty.count() == 0
+
+
+def test_numbers_of_trees_share_a_fit(learners, monkeypatch):
+    estimator = GBTClassifier(labelCol="label", weightCol="class_weight", seed=42)
+    grid = (ParamGridBuilder().addGrid(estimator.maxIter, [2, 5]).addGrid(estimator.subsamplingRate, [0.7, 1.0])
+            .addGrid(estimator.maxDepth, [2]).build())
+    fits, fit_one = [], GBTClassifier.fit
+
+    def counted(self, data, parameters=None):
+        fits.append(parameters)
+        return fit_one(self, data, parameters)
+
+    monkeypatch.setattr(GBTClassifier, "fit", counted)
+    together = train.tune(learners, estimator, grid)
+    n_together = len(fits)
+    monkeypatch.setattr(train, "_same_path", lambda _, grid: [[i] for i in range(len(grid))])
+    alone = train.tune(learners, estimator, grid)
+    assert together.scores == pytest.approx(alone.scores, abs=1e-9)
+    assert n_together <= 3 and together.bestModel.getNumTrees == alone.bestModel.getNumTrees
+
+
+def test_the_default_grid_takes_eight_fits():
+    estimator = GBTClassifier(labelCol="label")
+    assert [len(places) for places in train._same_path(estimator, train.boosting_grid(estimator))] == [3] * 8
+    linear = LogisticRegression()
+    grid = ParamGridBuilder().addGrid(linear.maxIter, [1, 2]).build()
+    assert train._same_path(linear, grid) == [[0], [1]]

@@ -10,7 +10,6 @@ at the row that their count names; those with a shared fingerprint are counted a
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ WORDS = 3
 LEAST, TOP = 10, 2000
 #: A phrase goes if a longer one around it has at least this percentage of its occurrences.
 ABSORBED = 50
-#: Bytes of text whose n-grams are hashed and sorted together (some 60 times that in memory at most).
-BLOCK_BYTES = 4 << 20
+#: Bytes of text whose n-grams are hashed and sorted together (some 80 times that in memory at most).
+BLOCK_BYTES = 1 << 20
 #: Slots of a bit table; 8 MB are broadcast. A full table costs work, not results.
 SLOTS = 1 << 26
 #: An odd multiplier for sums that wrap at 64 bits; a prime of 31 bits and a multiplier below it.
@@ -51,14 +50,18 @@ def _powers(base: int, count: int, modulus: int) -> np.ndarray:
     return found[:count]
 
 
-@cache
-def _tables(count: int) -> tuple[np.ndarray, ...]:
-    """Powers and inverse powers of both bases."""
-    full = 1 << 64
-    return (
-        _powers(BASE, count, full), _powers(pow(BASE, -1, full), count, full),
-        _powers(PRIME_BASE, count, PRIME), _powers(pow(PRIME_BASE, -1, PRIME), count, PRIME),
-    )
+_kept: list[np.ndarray] = [np.zeros(0, np.uint64)] * 4
+
+
+def _tables(count: int) -> list[np.ndarray]:
+    """Powers and inverse powers of both bases: one set of arrays per worker, made longer when needed."""
+    if len(_kept[0]) < count:
+        full, size = 1 << 64, -(-count // (1 << 18)) << 18
+        _kept[:] = [
+            _powers(BASE, size, full), _powers(pow(BASE, -1, full), size, full),
+            _powers(PRIME_BASE, size, PRIME), _powers(pow(PRIME_BASE, -1, PRIME), size, PRIME),
+        ]
+    return _kept
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -85,13 +88,14 @@ class Block:
         self.piece = np.cumsum(breaks, dtype=np.int32)[starts]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text = np.searchsorted(np.cumsum(lengths), starts, side="right")
-        count = 1 << max(16, len(self.line).bit_length())  # few sizes, so that tables are made once
-        power, self.inverse, prime_power, self.prime_inverse = _tables(count)
+        power, self.inverse, prime_power, self.prime_inverse = _tables(len(self.line) + 1)
         letters = self.line.astype(np.uint64) + np.uint64(1)
-        zero = np.zeros(1, np.uint64)
-        self.sums = np.concatenate([zero, np.cumsum(letters * power[: len(letters)])])
-        terms = letters * prime_power[: len(letters)] % np.uint64(PRIME)
-        self.prime_sums = np.concatenate([zero, np.cumsum(terms)]) % np.uint64(PRIME)
+        self.sums, self.prime_sums = np.zeros(len(letters) + 1, np.uint64), np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(letters * power[: len(letters)], out=self.sums[1:])
+        letters *= prime_power[: len(letters)]
+        letters %= np.uint64(PRIME)
+        np.cumsum(letters, out=self.prime_sums[1:])
+        self.prime_sums %= np.uint64(PRIME)
 
     def places(self, size: int) -> np.ndarray:
         """First words of the n-grams that lie within a piece."""
@@ -228,7 +232,7 @@ class Miner:
     least: int
     bits: int
     slots: int
-    HELD = 2_000_000  # fingerprints that a task holds before it sends them
+    HELD = 500_000  # fingerprints that a task holds before it sends them
 
     def counts(self, size: int, parts: DataFrame | None) -> DataFrame:
         """(fp, n, shared, row) of the n-grams that occur often enough; for single words also the

@@ -18,9 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coursebeacon.llm.shipping import ship
-from coursebeacon.llm.words import spaced_words, utf8
+from coursebeacon.llm.words import spaced_words, unused, utf8
 from coursebeacon.session import staged
 
 WINDOW = 20
@@ -289,18 +290,19 @@ def substring_dedup(
     ship(docs.sparkSession)
     docs = docs.drop(*ADDED)
     names = docs.columns
+    doc, tag, starts = (unused(names) + end for end in ("doc", "tag", "starts"))
     keyed = docs.withColumns({
-        "_doc": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
-        "_tag": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+        doc: F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
+        tag: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
     })
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = 1 + total // bucket_bytes
-    slim = keyed.select(F.col("_doc").alias("doc"), F.col("_tag").alias("tag"), F.col(text_col).alias("text"))
+    slim = keyed.select(F.col(doc).alias("doc"), F.col(tag).alias("tag"), F.col(text_col).alias("text"))
     sent = _windows(slim, buckets, window, block_bytes)
+    sent = sent.repartition(buckets, "bucket")  # as many tasks as the input needs, whatever the session's default
     repeats = sent.groupBy("bucket").applyInArrow(lambda group: _repeats(group, buckets), SENT_SQL)
     marked = staged(repeats.groupBy("documents").applyInArrow(_gathered, MARKS_SQL), "repeated-windows")
-    marked = marked.withColumnRenamed("starts", "_starts")
-    joined = keyed.join(marked, (F.col("_doc") == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left")
+    joined = keyed.join(marked.toDF(doc, tag, starts), [doc, tag], "left")
     fields = docs.schema.fields
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +310,9 @@ def substring_dedup(
         for batch in batches:
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             counts, gone, spans, kept = [], [], [], []
-            for text, starts in zip(columns[text_col], columns["_starts"]):
+            for text, at in zip(columns[text_col], columns[starts]):
                 words = spaced_words(text.as_py())
-                own = removal_spans(len(words), starts.values.to_numpy() if starts.is_valid else (), window)
+                own = removal_spans(len(words), at.values.to_numpy() if at.is_valid else (), window)
                 counts.append(len(words))
                 gone.append(sum(b - a + 1 for a, b in own))
                 spans.append([{"first": a, "last": b} for a, b in own])
@@ -323,5 +325,5 @@ def substring_dedup(
                 ], names=[*names, *ADDED],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return joined.select(*names, "_starts").mapInArrow(cut, f"{schema}, {ADDED_SQL}")
+    schema = StructType([*fields, *StructType.fromDDL(ADDED_SQL).fields])
+    return joined.select(*[f"`{c}`" for c in names], starts).mapInArrow(cut, schema)

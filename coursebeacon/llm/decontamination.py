@@ -14,6 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coursebeacon.llm.shipping import ship
 from coursebeacon.llm.words import WORD, plain_words, utf8
@@ -122,8 +123,7 @@ def _found(docs: DataFrame, text_col: str, items: list[tuple[str, list[bytes]]],
                 ], names=[*names, *ADDED],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    return docs.mapInArrow(judge, f"{schema}, {FOUND}" if own else FOUND)
+    return docs.mapInArrow(judge, StructType([*own, *StructType.fromDDL(FOUND).fields]))
 
 
 def blocks(

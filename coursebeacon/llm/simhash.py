@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from coursebeacon.llm.components import components
 from coursebeacon.llm.shipping import ship
@@ -70,8 +71,7 @@ def with_fingerprint(
             values = [signed(fingerprint(t.as_py(), shingle, seed)) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], names=[*names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(add, f"{schema}, `{out}` long")
+    return kept.mapInArrow(add, StructType([*kept.schema.fields, StructField(out, LongType())]))
 
 
 def covering_masks(radius: int) -> list[int]:

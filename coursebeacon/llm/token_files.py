@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from pyspark.sql.window import Window
 
 from coursebeacon.llm import simple8b, tokenizing
@@ -21,9 +22,27 @@ from coursebeacon.session import staged, work_path
 
 #: Bytes of text behind one partition, and ids in a file at most (one document can be larger).
 PARTITION_BYTES = 16 << 20
-FILE_IDS = 1 << 22
+FILE_IDS = 1 << 21
 #: Partitions whose totals are added up in one task.
 GROUP = 4096
+#: Characters whose new words are merged together.
+SLICE_CHARS = 1 << 20
+#: Equal rows are spread over so many range keys.
+SALTS = 1024
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, so many at a time as make up ``SLICE_CHARS``."""
+    docs, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        docs.append(doc)
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= SLICE_CHARS:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
 
 
 def write_token_files(
@@ -34,20 +53,26 @@ def write_token_files(
 
     Ids are those of the tokenizers file ``tokenizer`` without added special tokens, then
     ``end_id``. Documents are in ascending id order, null ids first, rows of one id by a hash of
-    their text. Null texts are empty texts. No documents make no files. The manifest has partition,
+    their text. Null texts are empty texts. No documents make no files. Ids other than integers or null
+    are an error. The manifest has partition,
     number, name, n_docs, n_ids.
     """
+    if not isinstance(docs.schema[id_col].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise ValueError(f"column {id_col} must hold integers: files store ids as such")
     spark = ship(docs.sparkSession)
     store, path = filesystem(folder)
     store.create_dir(path)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = slim.repartitionByRange(1 + total // partition_bytes, F.col("id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    slim = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
+    # rows of one id, and equal rows (exchangeable), are spread over partitions as well
+    tie, salt = F.xxhash64("text").alias("tie"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")
+    order = [F.col("id").asc_nulls_first(), "tie", "salt"]
+    ranged = slim.select("id", "text", tie, salt).repartitionByRange(1 + total // partition_bytes, *order)
+    ranged = ranged.sortWithinPartitions(*order).select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TaskContext.get()
-        encode = tokenizing.encoder(tokenizer).encode
+        encode_all = tokenizing.encoder(tokenizer).encode_all
         store, path = filesystem(folder)
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         doc_ids: list[int | None] = []
@@ -68,13 +93,13 @@ def write_token_files(
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([encode(text.as_py()), tail])
-                doc_ids.append(doc)
-                parts.append(ids)
-                size += len(ids)
-                if size >= file_ids:
-                    yield flush()
+            for docs, texts in _slices(batch):
+                for doc, ids in zip(docs, encode_all(texts)):
+                    doc_ids.append(doc)
+                    parts.append(np.concatenate([ids, tail]))
+                    size += len(parts[-1])
+                    if size >= file_ids:
+                        yield flush()
         if parts:
             yield flush()
 
@@ -127,8 +152,8 @@ def token_output(
     """Writes token files and reads them back: one row per document.
 
     Columns: the id (named as in ``docs``), start (ids of all documents before it), n_tokens,
-    ids_crc32 and, if asked for, ids. ``folder`` defaults to a new one below the shared folder. An
-    empty table gives an empty result.
+    ids_crc32 and, if asked for, ids. Ids must be integers or null. ``folder`` defaults to a new one
+    below the shared folder. An empty table gives an empty result; other columns do not matter.
     """
     spark = docs.sparkSession
     folder = folder or work_path(spark, "tokens")

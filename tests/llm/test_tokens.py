@@ -37,15 +37,41 @@ def test_simple8b_packs_densely():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab.,!?:;'sté 1\n\t \u2003\xa0<|>endoftx\u0301", max_size=40))
+@given(st.text(alphabet="ab.,!?:;'sté 1\n\t \u2003\xa0<|>endoftx\u0301$%&*#-_()[]{}~^@\"\\/`", max_size=40))
 def test_pieces_make_up_the_ids(text):
     own = tokenizing.encoder(BYTES)
     assert own.encode(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
-    words = tokenizing.encoder(WORDS).tokenizer
+    words = tokenizing.load(WORDS)
     parts = [p.decode() for p in text.encode().split()]
     assert sum(tokenizing.counts(WORDS, parts)) == len(words.encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aeinrst thoé", max_size=80), max_size=6))
+def test_words_merged_together(texts):
+    own = tokenizing.encoder(BYTES)
+    expected = [own.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in own.encode_all(texts)] == expected
+    words = [word.encode() for text in texts for word in text.split() if word]
+    alone = [own.tokenizer.encode(word.decode(), add_special_tokens=False).ids for word in words]
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in own.merges.encode(words, together=3)] == alone
+
+
+def test_only_plain_merges():
+    with pytest.raises(ValueError):
+        tokenizing.Merges(tokenizing.load(WORDS))
+
+
+def test_equal_rows_are_spread_over_partitions(spark, tmp_path):
+    """A third of the rows, and more, under one id and with one text."""
+    docs = spark.createDataFrame([(None, "one text for all") for _ in range(2000)] + [(i, "own") for i in range(100)], "doc_id int, text string")
+    manifest = token_files.write_token_files(docs.repartition(4), f"{tmp_path}/files", BYTES, 2, partition_bytes=400)
+    parts = [r["n"] for r in manifest.groupBy("partition").agg({"n_docs": "sum"}).toDF("p", "n").collect()]
+    assert len(parts) > 20 and max(parts) < 300 and sum(parts) == 2100
+    with pytest.raises(ValueError):
+        token_files.token_output(docs.withColumn("doc_id", mixing.F.lit("a")), BYTES, 2)
+
+
 def test_encoder_forgets_and_learns_again():
     own = tokenizing.Encoder(BYTES, limit=3)
     for text in ("one two three four five", "six seven eight nine ten", "one six", ""):

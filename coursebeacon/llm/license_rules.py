@@ -227,6 +227,26 @@ SPDX = [
 
 #: label, keyword, pattern: wordings that stand in one license's own text or in the notice it asks for
 WORDINGS = [
+    ("eupl", "european union", "this european union public licence the eupl applies to the work"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("osl", "open software license", "this open software license the license applies to any original work of authorship"),
+    ("osl", "open software license", "licensed under the open software license version [123] [01]"),
+    ("afl", "academic free license", "this academic free license the license applies to any original work of authorship"),
+    ("afl", "academic free license", "licensed under the academic free license version [123] [01]"),
+    ("polyform", "licensor grants you", "the licensor grants you a copyright license for the software to do everything you might do with the software that would otherwise infringe the licensor s copyright in it"),
+    ("odbl", "use the database", "non exclusive terminable but only under section 9 license to use the database for the duration of any applicable copyright and database rights"),
+    ("odbl", "made available under", "is made available under the open database license"),
+    ("mulanpsl", "mulan psl", "you can use this software according to the terms and conditions of the mulan psl v[12]"),
+    ("apsl", "apple public source", "original code as defined in and that are subject to the apple public source license"),
+    ("ms-pl", "microsoft public license", "microsoft public license ms pl this license governs use of the accompanying software"),
+    ("ms-rl", "reciprocal grants", "reciprocal grants for any file you distribute that contains code from the software"),
+    ("mpl-1.0", "mozilla public license", "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("cddl-1.1", "common development", "common development and distribution license cddl version 1 1"),
+    ("gpl-1", "gnu general public license", "gnu general public license version 1 february 1989"),
+    ("hippocratic", "human rights", "(?:systems activities or other uses that violate any human rights laws|the software shall not be used in violation of human rights laws)"),
+    ("ecl", "educational community", "licensed under the educational community license version [12] 0"),
+    ("rpl", "reciprocal public license", "unless explicitly acquired and licensed from licensor under another license the contents of this file are subject to the reciprocal public license"),
+    ("npl", "netscape public license", "the contents of this file are subject to the netscape public license version 1 [01]"),
     ("mit", "substantial portions", "this permission notice shall be included in all copies or substantial portions of the software"),
     ("x11", "x consortium", "the name of the x consortium shall not be used in advertising"),
     ("isc", "appear in all copies", "provided that the above copyright notice and this permission notice appear in all copies"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from coursebeacon.llm.license_rules import Rule
 from coursebeacon.llm.license_rules import rules as signature_rules
+from coursebeacon.llm.words import unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is not in a word, before A-Z is lower-cased.
@@ -19,6 +20,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 START, END = "\u0001", "\u0002"
 PRIORITIES = (1, 2, 3, 4)
 PLACES = "array<struct<start:int,label:string>>"
+ADDED = ("n_words", "base", "detections")
 
 
 def word_text(text: Column) -> Column:
@@ -35,7 +37,7 @@ def _placed(norm: Column, pattern: Column) -> Column:
         F.transform(words, lambda w, i: F.when(test(w), i - 1)), lambda i: i.isNotNull()
     )
     starts, ends = at(lambda w: w.startswith(START)), at(lambda w: w.endswith(END))
-    return F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.get(ends, i).alias("end")))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))  # matches do not overlap
 
 
 def _bounded(pattern: str) -> str:
@@ -84,11 +86,14 @@ def _resolved(found: Column) -> Column:
     """Without the detections that lie inside one of at least their priority found before them.
 
     One pass in the order of ``_detections``: whatever can contain a detection comes before it, so
-    the largest end so far among detections of its priority or more decides.
+    the largest end so far among detections of its priority or more decides. ``found`` is a column, not
+    an expression, as it is cut into blocks: as many as each has detections, so that what is kept is
+    copied for each block and each detection of a block, not for each detection of the text.
     """
-    start = F.struct(
-        F.array(*[F.lit(-1)] * len(PRIORITIES)).alias("ends"), F.array().cast(f"array<{DETECTION}>").alias("kept")
-    )
+    none = F.array().cast(f"array<{DETECTION}>")
+
+    def state_of(ends: Column, kept: Column) -> Column:
+        return F.struct(ends.alias("ends"), kept.alias("kept"))
 
     def step(state: Column, d: Column) -> Column:
         end, level = d["start"] - d["length"], -d["priority"]
@@ -96,12 +101,17 @@ def _resolved(found: Column) -> Column:
         ends = F.transform(
             state["ends"], lambda e, i: F.when(i < level, F.greatest(e, end)).otherwise(e)
         )
-        return F.struct(
-            ends.alias("ends"),
-            F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(d))).alias("kept"),
-        )
+        return state_of(ends, F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(d))))
+
+    def block_step(state: Column, block: Column) -> Column:
+        own = F.aggregate(block, state_of(state["ends"], none), step)
+        return state_of(own["ends"], F.concat(state["kept"], own["kept"]))
 
-    return F.aggregate(found, start, step, lambda s: s["kept"])
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(found))).cast("int"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(found)), width)
+    blocks = F.transform(firsts, lambda i: F.slice(found, i, width))
+    start = state_of(F.array(*[F.lit(-1)] * len(PRIORITIES)), none)
+    return F.aggregate(blocks, start, block_step, lambda s: s["kept"])
 
 
 def license_scan(
@@ -117,21 +127,25 @@ def license_scan(
     """
     rules = rules if rules is not None else signature_rules()
     phrases = phrases or {}
-    norm = F.col("_norm")
+    names = [c for c in docs.columns if c not in ADDED]
+    norm_name = unused([*names, *ADDED])
+    norm, matches = F.col(norm_name), F.col(norm_name + "_found")
     needed = sorted({also or keyword for _, keyword, also, *_ in rules})
     gate = reduce(lambda a, b: a | b, [norm.contains(word) for word in needed], F.lit(False))
     none = F.array().cast(f"array<{DETECTION}>")
-    detections = F.transform(F.when(gate, _resolved(_detections(norm, rules))).otherwise(none), lambda d: F.struct(
+    # each of the two is made once per row and then used as a column, also where it is used many times
+    own = [docs[f"`{c}`"] for c in names]
+    rows = docs.select(*own, F.inline(F.array(F.struct(word_text(docs[f"`{text_col}`"]).alias(norm_name)))))
+    found = F.when(gate, _detections(norm, rules)).otherwise(none)
+    rows = rows.select("*", F.inline(F.array(F.struct(found.alias(norm_name + "_found")))))
+    detections = F.transform(F.when(F.size(matches) > 0, _resolved(matches)).otherwise(none), lambda d: F.struct(
         d["start"].alias("first_word"), (d["start"] - d["length"] - 1).alias("last_word"), d["label"].alias("label"),
         d["confidence"].alias("confidence"), d["rule"].alias("rule"),
     ))
     words = F.char_length(norm) - F.char_length(F.replace(norm, F.lit(" "), F.lit(""))) - 1
-    return (
-        docs.withColumn("_norm", word_text(F.col(text_col)))
-        .withColumns({
-            "n_words": F.when(norm == "  ", F.lit(0)).otherwise(words).cast("long"),
-            "base": base_places(norm, phrases) if phrases else F.array().cast(PLACES),
-            "detections": detections,
-        })
-        .drop("_norm")
+    return rows.select(
+        *[F.col(f"`{c}`") for c in names],
+        F.when(norm == "  ", F.lit(0)).otherwise(words).cast("long").alias("n_words"),
+        (base_places(norm, phrases) if phrases else F.array().cast(PLACES)).alias("base"),
+        detections.alias("detections"),
     )

@@ -295,3 +295,17 @@ def test_features_do_not_depend_on_chunks(monkeypatch):
     for chunk in (1, 7, 64):
         monkeypatch.setattr(language_id, "CHUNK", chunk)
         assert abs(language_id.features(text) - whole).max() < 1e-12
+
+
+def test_license_scan_of_dense_texts_is_linear(spark):
+    """30,000 detections in one text: many blocks, equal to what the pieces give on their own."""
+    line = "SPDX-License-Identifier: MIT. Under the Apache License, Version 2.0; licensed under the EUPL. "
+    short = license_scan.license_scan(spark.createDataFrame([(0, line * 3)], "doc_id long, text string")).first()
+    size = short.n_words // 3
+    of_line = [(d.first_word, d.last_word, d.label) for d in short.detections if d.last_word < size]
+    n = 10_000
+    docs = spark.createDataFrame([(0, line * n), (1, None), (2, "")], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in license_scan.license_scan(docs, phrases=queries.LICENSE_PHRASES).collect()}
+    found = [(d.first_word, d.last_word, d.label) for d in rows[0].detections]
+    assert found == [(a + i * size, b + i * size, label) for i in range(n) for a, b, label in of_line]
+    assert len(found) >= 3 * n and rows[0].n_words == n * size and rows[1].detections == rows[2].detections == []

@@ -232,7 +232,7 @@ class Miner:
     least: int
     bits: int
     slots: int
-    HELD = 500_000  # fingerprints that a task holds before it sends them
+    HELD = 300_000  # fingerprints that a task holds before it sends them
 
     def counts(self, size: int, parts: DataFrame | None) -> DataFrame:
         """(fp, n, shared, row) of the n-grams that occur often enough; for single words also the
@@ -376,7 +376,7 @@ def _score(a: str, first: str, rest: str) -> Column:
 
 def collocations(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP,
-    absorbed: int = ABSORBED, partition_bytes: int = 16 << 20, bits: int = 64, slots: int = SLOTS,
+    absorbed: int = ABSORBED, partition_bytes: int = 8 << 20, bits: int = 64, slots: int = SLOTS,
 ) -> DataFrame:
     """The best ``top`` phrases of two and three words per language: lang, rank, phrase, a, l, r, n, score.
 

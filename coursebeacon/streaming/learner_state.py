@@ -1,14 +1,16 @@
 """The state of each learner, kept by the stream itself: clicks by week, current risk and flag.
 
-A learner is a key of a stateful operator whose state is the array of clicks by week. Sums do not depend on the
-order in which records come, so neither does the state; after a restart it goes on from the
-checkpoint. Records are summed batch by batch before they are shuffled, so a learner with a third of
+Learners fall into buckets by hash; a bucket is a key of a stateful operator whose state is the table of its
+learners' clicks by week, so that Python is called once per bucket and micro-batch, however many learners there
+are. Sums do not depend on the order in which records come, so neither does the state; after a restart it goes on
+from the checkpoint. Records are summed batch by batch before they are shuffled, so a learner with a third of
 the log sends one row per week and batch of records.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,22 +21,35 @@ from coursebeacon.operators.activity import with_week_index
 from coursebeacon.schemas import COURSE, MAX_WEEKS
 
 SERIES = "id_student BIGINT, weeks ARRAY<BIGINT>, last_week INT, n_updates BIGINT"
-STATE = "weeks ARRAY<BIGINT>, last_week INT, n_updates BIGINT"
+#: Per learner of a bucket, ordered by id: id, clicks of all weeks, last week, number of updates; 64-bit numbers.
+STATE = "learners BINARY"
+#: A stream that has begun keeps its number of buckets.
+BUCKETS = 1024
 
 
 def _adder(max_weeks: int):
-    """Adds the clicks of a micro-batch to a learner's weeks and puts out the whole series."""
+    """Adds the clicks of a micro-batch to the weeks of a bucket's learners and puts out the series of those it touches."""
+    width = max_weeks + 3
 
     def add(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        weeks, last, n = state.get if state.exists else ([0] * max_weeks, -1, 0)
-        weeks = [int(x) for x in weeks]
-        for part in rows:
-            for week, clicks in zip(part["week_idx"].tolist(), part["sum_click"].tolist()):
-                if 0 <= week < max_weeks:
-                    weeks[week] += clicks
-                    last = max(last, week)
-        state.update((weeks, int(last), int(n) + 1))
-        yield pd.DataFrame({"id_student": [key[0]], "weeks": [weeks], "last_week": [last], "n_updates": [int(n) + 1]})
+        parts = [[part[c].to_numpy(dtype=np.int64) for c in ("id_student", "week_idx", "sum_click")] for part in rows]
+        students, weeks, clicks = (np.concatenate(column) for column in zip(*parts))
+        known = np.frombuffer(bytes(state.get[0]), dtype=np.int64).reshape(-1, width) if state.exists else np.empty((0, width), np.int64)
+        touched = np.unique(students)
+        ids = np.union1d(known[:, 0], touched)
+        table = np.zeros((len(ids), width), np.int64)
+        table[:, 0], table[:, max_weeks + 1] = ids, -1
+        table[np.searchsorted(ids, known[:, 0])] = known
+        inside = (weeks >= 0) & (weeks < max_weeks)
+        at = np.searchsorted(ids, students[inside])
+        np.add.at(table, (at, 1 + weeks[inside]), clicks[inside])
+        np.maximum.at(table, (at, max_weeks + 1), weeks[inside])
+        changed = np.searchsorted(ids, touched)
+        table[changed, max_weeks + 2] += 1
+        state.update((table.tobytes(),))
+        out = table[changed]
+        yield pd.DataFrame({"id_student": out[:, 0], "weeks": list(out[:, 1 : max_weeks + 1]),
+                            "last_week": out[:, max_weeks + 1].astype(np.int32), "n_updates": out[:, max_weeks + 2]})
 
     return add
 
@@ -62,7 +77,8 @@ def weekly_series(clicks: DataFrame, calendar: DataFrame, max_weeks: int = MAX_W
         F.col("week_idx").isNotNull() & F.col("id_student").isNotNull() & F.col("sum_click").isNotNull()
     )
     typed = timed.select(F.col("id_student").cast("bigint"), F.col("week_idx").cast("int"), F.col("sum_click").cast("bigint"))
-    return summed(typed).groupBy("id_student").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("id_student"), F.lit(BUCKETS)).cast("int")
+    return summed(typed).withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
         _adder(max_weeks), SERIES, STATE, "update", GroupStateTimeout.NoTimeout
     )
 

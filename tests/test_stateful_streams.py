@@ -150,3 +150,38 @@ def test_running_alerts_put_out_what_can_have_changed(spark, tmp_path):
     assert changed == {"a": 1, "b": 2, "d": 1}
     changed, again = put(3, (2, [4, 9]))  # a batch run again
     assert again == now
+
+
+def test_windows_call_python_by_bucket(spark, tmp_path, monkeypatch):
+    """Users share the state of a bucket: sums, late rows and open windows stay those of each user and type."""
+    monkeypatch.setattr(event_windows, "BUCKETS", 2)
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    big = 2**60 + 1  # not a double
+    for n, day in enumerate(("2024-03-20", "2024-03-21", "2024-01-02")):
+        rows = [(n, f"{day} 12:00:00", u, t, 1.0) for u in (0, big, None) for t in ("", "view", None)]
+        df = spark.createDataFrame(rows + [(n, f"{day} 13:00:00", big, "view", float("nan"))], "event_id long, at string, user_id long, event_type string, value double")
+        drop(df.select("event_id", F.col("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value"), inbox, n)
+    stream = event_windows.event_windows(twin.watch_table(spark, f"{inbox}/*", schema), "1 day")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan.split("TransformWithState")[1].split("\n")[0]
+    event_windows.write_windows(spark, twin.watch_table(spark, f"{inbox}/*", schema, files_per_trigger=1), out, "1 day")
+    got = {(r.user_id, r.event_type, str(r.week_start)[:10]): r for r in event_windows.read_windows(spark, out).collect()}
+    assert len(got) == 9 * 3 and {k[0] for k in got} == {0, big, None}
+    assert all(r.n_late == (r.n_events if k[2] < "2024-02" else 0) for k, r in got.items())
+    assert all(r.total_value == 1.0 and r.n_events == 1 + (k[:2] == (big, "view")) for k, r in got.items())
+
+
+def test_learners_share_the_state_of_a_bucket(spark, calendar, tmp_path, monkeypatch):
+    monkeypatch.setattr(learner_state, "BUCKETS", 2)
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n, ids in enumerate((range(0, 40), range(20, 60), [2**60 + 1, 3])):
+        drop(spark.createDataFrame([(i, "B", "2013J", 7 * n, i) for i in ids], CLICKS), inbox, n)
+    series = learner_state.weekly_series(twin.watch_table(spark, f"{inbox}/*", CLICKS, files_per_trigger=1), calendar)
+    assert "bucket" in series._jdf.queryExecution().analyzed().toString().split("FlatMapGroupsInPandasWithState")[1].split("\n")[0]
+    runner.run_available(spark, series, runner.batch_table(out), "update")
+    found = {r.id_student: r for r in runner.newest(runner.read_batches(spark, out), ["id_student"]).collect()}
+    assert len(found) == 61 and found[2**60 + 1].weeks[2] == 2**60 + 1
+    assert (found[30].weeks[:3], found[30].last_week, found[30].n_updates) == ([30, 30, 0], 1, 2)
+    assert (found[3].weeks[:3], found[3].last_week, found[3].n_updates) == ([3, 0, 3], 2, 2)
+    assert found[59].n_updates == 1

@@ -815,19 +815,21 @@ def conditional_labels(spark, folder):
 
 # --- streams ------------------------------------------------------------------------------------------------
 
-#: Parts of a backlog, and rows of one of its files.
-BACKLOG_PARTS, BACKLOG_ROWS = 5, 2_000_000
+#: Parts of a backlog, ranges that make up a part, and rows of one of its files.
+BACKLOG_PARTS, BACKLOG_RANGES, BACKLOG_ROWS = 5, 16, 2_000_000
 
 
 def _backlog(table, order, purpose):
     """The table in five parts, newest rows first, so that a stream meets the oldest last.
 
     Each part has as many files as its rows need; rows of one value of ``order`` are spread by a hash.
+    A part is several ranges, each a task's work, as a fifth of the table is too much for one.
     The path, the number of files of a part, and a function that writes part ``i``.
     """
     path = work_path(table.sparkSession, purpose)
     spread = F.xxhash64(*table.columns)
-    parts = table.repartitionByRange(BACKLOG_PARTS, F.col(order).desc(), spread).withColumn("_part", F.spark_partition_id())
+    ranges = table.repartitionByRange(BACKLOG_PARTS * BACKLOG_RANGES, F.col(order).desc(), spread)
+    parts = ranges.withColumn("_part", F.floor(F.spark_partition_id() / BACKLOG_RANGES).cast("int"))
     parts = staged(parts, purpose, ["_part"])
     files = 1 + parts.count() // (BACKLOG_PARTS * BACKLOG_ROWS)
 

@@ -6,6 +6,7 @@ the cumulative counts; hulls of score ranges merge into that of the week, so no
 """
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,14 +23,14 @@ CALIBRATION_SEED = "calibration-42"
 STEPS, SLOPE = 200, 1e-12
 
 
-def calibration_points(scored: DataFrame, key: str = "student_uid") -> DataFrame:
+def calibration_points(scored: DataFrame, key: str = "student_uid", written: bool = False) -> DataFrame:
     """(week, p, pos, neg): distinct scores of the calibration share with their positives and negatives.
 
     The share is exactly 30 % (rounded) of the rows of each week and label, chosen by a hash of the
-    key; a missing label counts as 0.
+    key; a missing label counts as 0. ``written`` says that ``scored`` is a written table.
     """
     rows = scored.withColumn("_label", F.coalesce("label", F.lit(0)))
-    share = with_exact_split(rows, CALIBRATION_FRACTION, CALIBRATION_SEED, key, ["week", "_label"])
+    share = with_exact_split(rows, CALIBRATION_FRACTION, CALIBRATION_SEED, key, ["week", "_label"], written)
     return staged(score_histogram(share.filter("split = 'test'"), ["week"]), "calibration-points")
 
 
@@ -87,12 +88,12 @@ def fit_platt(points: DataFrame) -> dict[int, tuple[float, float]]:
     return {week: fit for week, (fit, _) in sorted(best.items())}
 
 
-def _hull(points: list[tuple]) -> list[tuple]:
-    """Lower convex hull of (n, s, ...), both rising in n, from (0, 0) on; of points in line only the ends.
+def _hull(points: list[tuple], kept: list[tuple] | None = None) -> list[tuple]:
+    """Lower convex hull of (n, s, ...), both rising in n, from (0, 0) or from a hull on; of points in line only the ends.
 
     Whole numbers of any size, so no slope is rounded.
     """
-    kept: list[tuple] = [(0, 0)]
+    kept = [(0, 0)] if kept is None else kept
     for point in points:
         while len(kept) > 1:
             (n0, s0), (n1, s1) = kept[-2][:2], kept[-1][:2]
@@ -103,27 +104,44 @@ def _hull(points: list[tuple]) -> list[tuple]:
     return kept
 
 
-def _range_hull(rows: pd.DataFrame) -> pd.DataFrame:
-    """The hull of one range of scores; its last point holds the range's totals."""
-    rows = rows.sort_values("p")
-    scores = rows["p"].tolist()
-    positives, sizes = rows["pos"].cumsum().tolist(), (rows["pos"] + rows["neg"]).cumsum().tolist()
-    following = [*scores[1:], None]
-    kept = _hull(list(zip(sizes, positives, scores, following)))[1:]
-    out = pd.DataFrame(kept, columns=["n", "s", "p", "after"])
-    return out.assign(week=rows["week"].iloc[0], bucket=rows["bucket"].iloc[0], first=scores[0])
+def _range_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hull of each week in a range of ordered rows; its last point holds the range's totals.
+
+    Batches add to the hull of the week, so that the rows of a range are never held together.
+    """
+    week, first, kept = None, None, [(0, 0)]
+
+    def done() -> pd.DataFrame:
+        out = pd.DataFrame(kept[1:], columns=["n", "s", "p", "after"])
+        return out.assign(week=week, first=first)[["week", "first", "n", "s", "p", "after"]]
+
+    for batch in batches:
+        for at, rows in batch.groupby("week", sort=False):
+            scores = rows["p"].tolist()
+            if at != week:
+                if week is not None:
+                    yield done()
+                week, first, kept = at, scores[0], [(0, 0)]
+            n, s = kept[-1][:2]
+            if n:
+                kept[-1] = (*kept[-1][:3], scores[0])
+            positives = (rows["pos"].cumsum() + s).tolist()
+            sizes = ((rows["pos"] + rows["neg"]).cumsum() + n).tolist()
+            kept = _hull(list(zip(sizes, positives, scores, [*scores[1:], None])), kept)
+    if week is not None:
+        yield done()
 
 
 def _week_knots(rows: pd.DataFrame) -> pd.DataFrame:
     """Blocks of the fit of a week from the hulls of its ranges: both ends of each block."""
-    rows = rows.sort_values(["bucket", "n"])
-    columns = [rows[c].tolist() for c in ("bucket", "n", "s", "p", "after", "first")]
+    rows = rows.sort_values(["first", "n"])
+    columns = [rows[c].tolist() for c in ("n", "s", "p", "after", "first")]
     points, base, total, before = [], (0, 0), (0, 0), None
-    for bucket, n, s, p, after, first in zip(*columns):
-        if bucket != before:
+    for n, s, p, after, first in zip(*columns):
+        if first != before:
             if points:
                 points[-1] = (*points[-1][:3], first)
-            base, before = total, bucket
+            base, before = total, first
         total = (base[0] + n, base[1] + s)
         points.append((*total, p, after))
     kept = _hull(points)
@@ -139,13 +157,11 @@ def fit_isotonic(points: DataFrame) -> DataFrame:
     """(week, p, fitted): the increasing fit with least squares, at both ends of each of its levels.
 
     A range of scores keeps only its hull, which has few points: the levels of a fit of n rows are at
-    most about n^(2/3), whatever the scores.
+    most about n^(2/3), whatever the scores. Ranges are partitions of the ordered points, each run through once.
     """
-    ranged = points.withColumn("bucket", F.floor(F.col("p") / F.lit(BUCKET_WIDTH)))
     week = points.schema["week"].dataType.simpleString()
-    hulls = ranged.select("week", "bucket", "p", "pos", "neg").groupBy("week", "bucket").applyInPandas(
-        _range_hull, f"week {week}, bucket long, first double, n long, s long, p double, after double"
-    )
+    ordered = points.select("week", "p", "pos", "neg").repartitionByRange("week", "p").sortWithinPartitions("week", "p")
+    hulls = ordered.mapInPandas(_range_hulls, f"week {week}, first double, n long, s long, p double, after double")
     return hulls.groupBy("week").applyInPandas(_week_knots, f"week {week}, p double, fitted double")
 
 
@@ -189,7 +205,7 @@ def calibrate_weekly(scored: DataFrame, method: str) -> DataFrame:
         raise ValueError(f"unknown calibration {method!r}")
     scored = staged(scored, "scored")  # read by the guard, the share and the result
     guard = enough_of_both(score_histogram(scored, ["week"]), ["week"]).filter("calibratable").select("week")
-    points = calibration_points(scored)
+    points = calibration_points(scored, written=True)
     classes = points.groupBy("week").agg((F.least(F.sum("pos"), F.sum("neg")) > 0).alias("both")).filter("both").select("week")
     usable = staged(guard.join(classes, "week"), "calibrated-weeks")
     points = points.join(usable, "week", "left_semi")

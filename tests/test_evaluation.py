@@ -1,4 +1,5 @@
 import math
+import hashlib
 import random
 
 import pytest
@@ -153,6 +154,42 @@ def test_isotonic_is_the_pooled_fit(spark):
             assert got[w, p] == pytest.approx(want)
 
 
+def test_isotonic_runs_through_ranges(spark):
+    """Python is called by partition, in batches that add to one hull, not once per week and step of the score."""
+    rng = random.Random(5)
+    points = [(rng.random(), rng.randint(0, 3), rng.randint(1, 3)) for _ in range(500)]
+    table = spark.createDataFrame([(0, *x) for x in points], "week int, p double, pos long, neg long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        knots = fit_isotonic(table)
+        found = sorted((r["p"], r["fitted"]) for r in knots.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = sorted({(p, v) for a, b, v in pool(points) for p in (a, b)})
+    assert [x for knot in found for x in knot] == pytest.approx([x for knot in expected for x in knot])
+    assert knots._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+
+
+def test_exact_split_orders_the_edge_only(spark):
+    """The same rows as ordering whole labels by hash and key; nulls stay out, repeated keys count each."""
+    rows = [(f"u{i % 900}", int(i % 3 == 0), i % 2) for i in range(1500)] + [(None, 1, 0), ("x", None, 0)]
+    df = spark.createDataFrame(rows, "student_uid string, label int, week int")
+    got = with_exact_split(df, 0.3, "s", label=["week", "label"])
+    assert got.columns == ["week", "label", "student_uid", "split"]
+    plan = with_exact_split(df, 0.3, "s", label=["week", "label"], written=True)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "row_number" in line and "Window" in line)
+    below = plan.splitlines()[plan.splitlines().index(window):]
+    assert any("_range" in line and "= _last" in line for line in below)
+    for week in range(2):
+        for label in range(2):
+            mine = [u for u, y, w in rows if u is not None and y == label and w == week]
+            order = sorted(mine, key=lambda u: (int(hashlib.md5(f"{u}|s".encode()).hexdigest()[:8], 16), u))
+            test = [r["student_uid"] for r in got.filter(f"week = {week} AND label = {label} AND split = 'test'").collect()]
+            assert len(test) == round(0.3 * len(mine)) and set(test) == set(order[: len(test)])
+    assert got.count() == 1500
+
+
 def test_calibration_share_is_exact(spark):
     rows = [(f"u{i}", None if i % 10 == 0 else int(i % 3 == 0), w, i / 100) for w in range(2) for i in range(100)]
     points = calibration_points(spark.createDataFrame(rows, "student_uid string, label int, week int, score double"))

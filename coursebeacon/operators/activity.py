@@ -56,32 +56,32 @@ def weekly_clicks(vle: DataFrame, info: DataFrame, enrolled: DataFrame, join_key
     return weeks.join(owners, keys).select("student_uid", "week_idx", "sum_click")
 
 
+def _dense(max_weeks: int) -> list:
+    return [
+        F.expr(f"coalesce(sum(if(week_idx = {k}, sum_click, null)), 0)").alias(name)
+        for k, name in enumerate(week_columns(max_weeks))
+    ]
+
+
 def click_aggregates(max_weeks: int = MAX_WEEKS) -> list:
     """Dense weekly columns, total clicks and active weeks over rows (week_idx, sum_click).
 
     Weeks past the matrix are cut from it but still count in the two totals.
     """
-    dense = [
-        F.expr(f"coalesce(sum(if(week_idx = {k}, sum_click, null)), 0)").alias(name)
-        for k, name in enumerate(week_columns(max_weeks))
-    ]
     return [
-        *dense,
+        *_dense(max_weeks),
         F.coalesce(F.sum("sum_click"), F.lit(0)).alias("total_clicks"),
         F.count(F.when(F.col("sum_click") > 0, 1)).alias("active_weeks"),
     ]
 
 
 def weekly_matrix(weekly: DataFrame, max_weeks: int = MAX_WEEKS) -> DataFrame:
-    """Pivot of the long series to dense columns; the week list is given, so no extra job runs."""
-    names = week_columns(max_weeks)
-    wide = (
-        weekly.withColumn("_w", F.concat(F.lit("w"), F.col("week_idx").cast("string"), F.lit("_clicks")))
-        .groupBy("student_uid")
-        .pivot("_w", names)
-        .agg(F.sum("sum_click"))
-    )
-    return wide.na.fill(0, names)
+    """The long series as dense columns, 0 where a week is missing.
+
+    One aggregate with a sum per column: what a task holds of a learner is one row before the shuffle, where a
+    pivot would send a row for each week.
+    """
+    return weekly.groupBy("student_uid").agg(*_dense(max_weeks))
 
 
 def active_weeks(weekly: DataFrame) -> DataFrame:

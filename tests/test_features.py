@@ -92,6 +92,14 @@ def test_pivot_equals_profile(inputs):
     assert all(wide[u][f"w{k}_clicks"] == full[u][f"w{k}_clicks"] for u in wide for k in range(20))
 
 
+def test_matrix_is_summed_before_the_shuffle(spark):
+    rows = [("a", 0, 1), ("a", 0, 2), ("a", 19, 4), ("b", 20, 5), ("b", None, 6), ("c", 3, None), (None, 1, 7)]
+    wide = activity.weekly_matrix(spark.createDataFrame(rows, "student_uid string, week_idx int, sum_click long"))
+    got = {r["student_uid"]: {k: n for k, n in enumerate(r[1:]) if n} for r in wide.collect()}
+    assert got == {"a": {0: 3, 19: 4}, "b": {}, "c": {}, None: {1: 7}} and wide.columns[1:] == [f"w{k}_clicks" for k in range(20)]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1  # no aggregate by learner and week
+
+
 def test_missing_columns_are_named(inputs):
     with pytest.raises(ValueError, match="final_result"):
         enrolments.enrolments(inputs.student_info.drop("final_result"))

@@ -185,3 +185,23 @@ def test_learners_share_the_state_of_a_bucket(spark, calendar, tmp_path, monkeyp
     assert (found[30].weeks[:3], found[30].last_week, found[30].n_updates) == ([30, 30, 0], 1, 2)
     assert (found[3].weeks[:3], found[3].last_week, found[3].n_updates) == ([3, 0, 3], 2, 2)
     assert found[59].n_updates == 1
+
+
+def test_backlog_parts_are_several_tasks(spark, monkeypatch):
+    """Five parts in order, every row once; a part is not the work of one task."""
+    from coursebeacon.catalog import entries
+
+    seen, staged = [], entries.staged
+    monkeypatch.setattr(entries, "staged", lambda df, *rest: (seen.append(df), staged(df, *rest))[1])
+    table = spark.range(0, 4000, 1, 4).selectExpr("id", "int(id % 50) as day")
+    path, files, write = entries._backlog(table, "day", "backlog")
+    tasks = seen[0].select("_part", F.spark_partition_id().alias("at")).distinct().groupBy("_part").count().collect()
+    assert files == 1 and {r["_part"] for r in tasks} == set(range(5)) and all(r["count"] > 1 for r in tasks)
+    lowest = None
+    for part in range(5):
+        before = {r["id"] for r in spark.read.parquet(path).collect()} if part else set()
+        write(part)
+        days = [r["day"] for r in spark.read.parquet(path).collect() if r["id"] not in before]
+        assert days and (lowest is None or max(days) <= lowest)
+        lowest = min(days)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(4000))

@@ -17,7 +17,7 @@ from coursebeacon.functions.learning_index import fallback_probability, learning
 from coursebeacon.functions.scalars import label_at
 from coursebeacon.operators import activity, assessments, blending, calibration, enrolments, metric_log, overview
 from coursebeacon.operators import ranking, scaling, scenario, splitting, thresholds, warning, whatif
-from coursebeacon.operators.features import feature_table, model_dataset
+from coursebeacon.operators.features import Inputs, feature_table, model_dataset
 from coursebeacon.plans import evaluate, incremental, rebuild, train
 from coursebeacon.plans.early_warning import early_warning
 from coursebeacon.plans.prepare import Prepared, prepare
@@ -48,17 +48,17 @@ def row_rounded(df: DataFrame) -> DataFrame:
     return rounded(df, 9)
 
 
-def _features(spark: SparkSession, folder: str, join_keys: str = "student") -> DataFrame:
-    return feature_table(relational.inputs(spark, folder), join_keys)
+def _features(spark: SparkSession, folder: str, join_keys: str = "student", given: Inputs | None = None) -> DataFrame:
+    return feature_table(given or relational.inputs(spark, folder), join_keys)
 
 
-def _prepared(spark: SparkSession, folder: str) -> Prepared:
-    return prepare(relational.inputs(spark, folder))
+def _prepared(spark: SparkSession, folder: str, given: Inputs | None = None) -> Prepared:
+    return prepare(given or relational.inputs(spark, folder))
 
 
-def _learners(spark: SparkSession, folder: str) -> DataFrame:
+def _learners(spark: SparkSession, folder: str, given: Inputs | None = None) -> DataFrame:
     """Features with the index and a closed-form pass probability in place of a trained model."""
-    return _features(spark, folder).withColumns(
+    return _features(spark, folder, given=given).withColumns(
         {"learning_index": learning_index(), "prob_pass": fallback_probability()}
     )
 
@@ -78,24 +78,24 @@ def _second_predictions(learners: DataFrame) -> DataFrame:
     return learners.select("student_uid", label_at(p).alias("predicted_label"), p.alias("prob_pass"))
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.weekly_scores(_prepared(spark, folder).test)
+def _scores(spark: SparkSession, folder: str, given: Inputs | None = None) -> DataFrame:
+    return evaluate.weekly_scores(_prepared(spark, folder, given).test)
 
 
 def _histogram(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.by_mode(ranking.score_histogram(_scores(spark, folder), ["week"]), ["pass", "risk"])
 
 
-def _log(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.evaluate_variants(_scores(spark, folder))
+def _log(spark: SparkSession, folder: str, given: Inputs | None = None) -> DataFrame:
+    return evaluate.evaluate_variants(_scores(spark, folder, given))
 
 
 # --- calendar and weekly activity ---------------------------------------------------------------
 
 @query
 def course_calendar(spark, folder):
-    i = relational.inputs(spark, folder)
-    return activity.course_calendar(i.student_vle, i.student_info)
+    vle = relational.student_vle(relational.order_lines(spark, folder))
+    return activity.course_calendar(vle, relational.student_info(spark, folder))
 
 
 @query
@@ -147,9 +147,9 @@ def distinct_learners(spark, folder):
 
 @query
 def assessment_features(spark, folder):
-    i = relational.inputs(spark, folder)
-    profile, keys = assessments.score_profile(i.student_assessment, i.assessments)
-    owners = enrolments.enrolments(i.student_info)
+    scored = relational.student_assessment(relational.order_lines(spark, folder))
+    profile, keys = assessments.score_profile(scored, relational.assessments(spark, folder))
+    owners = enrolments.enrolments(relational.student_info(spark, folder))
     return row_rounded(owners.join(profile, keys).select("student_uid", "n_submitted", "mean_score"))
 
 
@@ -719,9 +719,10 @@ def predictions_round_trip(spark, folder):
 @query
 def early_warning_report(spark, folder):
     """The ranked list of the whole report, with predictions and the latest threshold of a log."""
-    learners = _features(spark, folder)
-    predictions = _learners(spark, folder).select("student_uid", label_at("prob_pass").alias("predicted_label"), "prob_pass")
-    log = _log(spark, folder).filter("variant = 'risk_f1'").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
+    given = relational.inputs(spark, folder)
+    learners = _features(spark, folder, given=given)
+    predictions = _learners(spark, folder, given).select("student_uid", label_at("prob_pass").alias("predicted_label"), "prob_pass")
+    log = _log(spark, folder, given).filter("variant = 'risk_f1'").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
     report = early_warning(learners, predictions, log)
     return row_rounded(report.ranked.select("student_uid", "learning_index", "prob_risk"))
 

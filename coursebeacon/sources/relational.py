@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursebeacon.operators.features import Inputs
+from coursebeacon.session import staged
 
 SUPPLIER_OFFSET = 1_000_000_000
 
@@ -64,17 +65,33 @@ def student_info(spark: SparkSession, folder: str) -> DataFrame:
     return customers.unionByName(suppliers)
 
 
-def student_vle(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _order_course(_read(spark, folder, "orders"))
-    lines = _read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_quantity")
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order line as a click and a score of the learner who ordered: what both logs are cut from."""
+    orders = _order_course(_read(spark, folder, "orders")).drop("o_orderstatus", "o_totalprice")
+    lines = _read(spark, folder, "lineitem")
     offset = 3 * F.col("code_module").cast("int")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "id_student", "code_module", "code_presentation", F.col("l_partkey").alias("id_site"),
+        "id_student", "code_module", "code_presentation", "l_partkey",
         ((F.dayofyear("l_shipdate") - 1) % 210 - 25 + offset).alias("date"),
         (F.col("l_quantity").cast("bigint") * (1 + F.col("id_student") % 4)).alias("sum_click"),
+        F.when(F.col("l_returnflag") != "R", F.round(F.col("l_discount") * 1000)).alias("score"),
     )
 
 
+def written_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``order_lines``, joined and written once, rows of a learner side by side.
+
+    Sums by learner then hold a learner in few tasks, so that little is left to shuffle. The rebalance splits a
+    learner with very many rows over several files.
+    """
+    return staged(order_lines(spark, folder).hint("rebalance", "id_student"), "order-lines")
+
+
+def student_vle(lines: DataFrame) -> DataFrame:
+    return lines.select("id_student", "code_module", "code_presentation", F.col("l_partkey").alias("id_site"),
+                        "date", "sum_click")
+
+
 def assessments(spark: SparkSession, folder: str) -> DataFrame:
     """Six presentations against seven in the orders: one year has no assessments."""
     return _read(spark, folder, "part").select(
@@ -85,17 +102,14 @@ def assessments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def student_assessment(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _read(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("id_student"))
-    lines = _read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_discount")
-    score = F.when(F.col("l_returnflag") != "R", F.round(F.col("l_discount") * 1000))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("l_partkey").alias("id_assessment"), "id_student", score.alias("score")
-    )
+def student_assessment(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_partkey").alias("id_assessment"), "id_student", "score")
 
 
 def inputs(spark: SparkSession, folder: str) -> Inputs:
+    """The four tables; click log and scores are read from ``written_lines``, as often as a job needs them."""
+    lines = written_lines(spark, folder)
     return Inputs(
-        student_info(spark, folder), student_vle(spark, folder),
-        assessments(spark, folder), student_assessment(spark, folder),
+        student_info(spark, folder), student_vle(lines),
+        assessments(spark, folder), student_assessment(lines),
     )

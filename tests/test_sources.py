@@ -1,9 +1,12 @@
+from collections import Counter
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from coursebeacon import schemas
 from coursebeacon.operators.features import feature_table
-from coursebeacon.sources import readers, sinks
+from coursebeacon.sources import readers, relational, sinks
 
 HISTORY = """timestamp,id_student,so_bai_nop,diem_tb,ti_le_hoan_thanh,tong_click,so_tuan_hoat_dong,prob_pass
 2024-03-01 08:00:00,4711_X_2020B,3,81.5,0.75,640,12,0.25
@@ -77,3 +80,28 @@ def test_names_history_and_export(spark, tmp_path):
     assert (r["prob_pass"], r["prob_risk"]) == (0.1235, 0.8765)
     sinks.export_csv(ours, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ours.columns
+
+
+def test_order_lines_meet_their_orders_once(spark, tmp_path):
+    """Click log and scores read written lines; lines and orders with null or repeated keys count as in a plain join."""
+    orders = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    day = datetime(1996, 3, 1)
+    spark.createDataFrame([
+        (1, 6, "F", 10.0, day, "2-HIGH"), (2, 6, "O", 10.0, day, "1-URGENT"), (2, 7, "O", 10.0, day, "1-URGENT"),
+        (3, None, "P", 10.0, day, None), (None, 9, "F", 10.0, day, "3-MEDIUM"),
+    ], orders).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ"
+    spark.createDataFrame([
+        (1, 5, 2.0, 0.05, "N", day), (1, 5, 2.0, 0.05, "N", day), (2, None, 1.0, 0.04, "R", day), (3, 8, None, None, None, None),
+        (None, 5, 2.0, 0.05, "N", day), (4, 5, 2.0, 0.05, "N", day),
+    ], lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, 7)], "p_partkey BIGINT, p_size INT").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 2)], "s_suppkey BIGINT, s_nationkey INT").write.parquet(f"{tmp_path}/supplier.parquet")
+    i = relational.inputs(spark, str(tmp_path))
+    for table in (i.student_vle, i.student_assessment):
+        assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()
+    day_of_course = (61 - 1) % 210 - 25
+    high, urgent = (6, "2", "1996", 5, day_of_course + 6, 6), [(k, "1", "1996", None, day_of_course + 3, n) for k, n in ((6, 3), (7, 4))]
+    assert Counter(map(tuple, i.student_vle.collect())) == Counter([high, high, *urgent, (None, None, "1996", 8, None, None)])
+    assert Counter(map(tuple, i.student_assessment.collect())) == Counter(
+        [(5, 6, 50.0), (5, 6, 50.0), (None, 6, None), (None, 7, None), (8, None, None)])

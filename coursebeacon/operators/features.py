@@ -20,24 +20,28 @@ class Inputs:
     student_assessment: DataFrame
 
 
-def learner_profiles(inputs: Inputs, join_keys: str, max_weeks: int) -> tuple[DataFrame, list[str]]:
-    """Clicks and scores of every key that has either: what a full outer join of both would hold.
+def with_profiles(enrolled: DataFrame, inputs: Inputs, join_keys: str, max_weeks: int) -> DataFrame:
+    """Enrolments whose key has clicks or scores, with the sums of both.
 
-    Weekly sums and scores are put under one another and added up by one aggregate, so one shuffle
-    of map-side sums replaces two aggregates and a join. Where both sides come by different keys
-    (logs without course columns) they are joined instead.
+    By learner, weekly sums and scores are put under one another and added up by one aggregate, so one
+    shuffle of map-side sums replaces two aggregates and a join. By enrolment they are summed on their own: a
+    learner can be scored in many courses without clicks, whose rows stay two numbers instead of all weeks. Where
+    both sides come by different keys (logs without course columns) they are joined instead.
     """
     weeks, click_keys = learner_weeks(inputs.student_vle, inputs.student_info, join_keys)
     scores, score_keys = score_sums(inputs.student_assessment, inputs.assessments, join_keys)
-    has_clicks = (F.count("week_idx") > 0).alias("has_clicks")
-    clicked = [*click_aggregates(max_weeks), has_clicks]
-    if click_keys == score_keys:
+    clicked = [*click_aggregates(max_weeks), (F.count("week_idx") > 0).alias("has_clicks")]
+    if click_keys == score_keys == ["id_student"]:
         both = weeks.unionByName(scores, allowMissingColumns=True)
-        return both.groupBy(*click_keys).agg(*clicked, *score_aggregates()), click_keys
+        return enrolled.join(both.groupBy(*click_keys).agg(*clicked, *score_aggregates()), click_keys)
+    by_clicks = weeks.groupBy(*click_keys).agg(*clicked)
+    by_scores = scores.groupBy(*score_keys).agg(*score_aggregates())
+    if click_keys == score_keys:
+        clicks, marks = by_clicks.withColumn("_clicked", F.lit(True)), by_scores.withColumn("_scored", F.lit(True))
+        found = enrolled.join(clicks, click_keys, "left").join(marks, score_keys, "left")
+        return found.filter("_clicked or _scored").drop("_clicked", "_scored")
     owners = inputs.student_info.select(*ENROLMENT).distinct()
-    by_learner = scores.groupBy(*score_keys).agg(*score_aggregates())
-    by_course = weeks.groupBy(*click_keys).agg(*clicked)
-    return owners.join(by_learner, score_keys).join(by_course, ENROLMENT, "full_outer"), ENROLMENT
+    return enrolled.join(owners.join(by_scores, score_keys).join(by_clicks, ENROLMENT, "full_outer"), ENROLMENT)
 
 
 def feature_table(
@@ -50,11 +54,10 @@ def feature_table(
 
     ``join_keys="student"`` counts all of a learner's activity for each enrolment, ``"enrolment"``
     only that of the course. ``completion="absent"`` leaves the ratio at 0. Enrolments meet finished
-    profiles, one row per key, in a single join that AQE can split where a key is hot.
+    profiles, one row per key, in joins that AQE can split where a key is hot.
     """
-    profiles, keys = learner_profiles(inputs, join_keys, max_weeks)
     totals = course_totals(inputs.assessments)
-    joined = enrolments(inputs.student_info).join(profiles, keys).join(totals, COURSE, "left")
+    joined = with_profiles(enrolments(inputs.student_info), inputs, join_keys, max_weeks).join(totals, COURSE, "left")
     n_submitted = F.coalesce("n_submitted", F.lit(0)).cast("bigint")
     n_assessments = F.coalesce("n_assessments", F.lit(0)).cast("bigint")
     if completion == "ratio":

@@ -103,3 +103,16 @@ def test_matrix_is_summed_before_the_shuffle(spark):
 def test_missing_columns_are_named(inputs):
     with pytest.raises(ValueError, match="final_result"):
         enrolments.enrolments(inputs.student_info.drop("final_result"))
+
+
+def test_by_enrolment_scores_do_not_carry_the_weeks(spark, inputs):
+    """Scores of courses without clicks are summed as two numbers; rows with null keys meet nothing."""
+    make = spark.createDataFrame
+    info = inputs.student_info.unionByName(make([(None, "A", "13", "Pass"), (3, None, "13", "Pass")], STUDENT_INFO))
+    vle = inputs.student_vle.unionByName(make([(None, "A", "13", 7, 1, 9), (3, None, "13", 7, 1, 9), (3, "B", "13", 7, None, 9)], STUDENT_VLE))
+    scores = inputs.student_assessment.unionByName(make([(10, None, 50.0), (None, 1, 50.0), (10, 2, 40.0)], STUDENT_ASSESSMENT))
+    features = feature_table(Inputs(info, vle, inputs.assessments, scores), join_keys="enrolment")
+    sums = [part for part in features._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in part and "score_sum" in part]
+    assert sums and not any("w19_clicks" in part for part in sums)
+    got = {k: (r["has_clicks"], r["total_clicks"], r["n_submitted"], r["mean_score"]) for k, r in by_uid(features).items()}
+    assert got == {"1_A_13": (True, 19, 1, 80.0), "1_B_13": (False, 0, 1, 60.0), "2_A_13": (True, 1, 1, 40.0), "3_B_13": (False, 9, 0, 0.0)}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from coursebeacon.functions.scalars import hash_below, label_at, model_score
 from coursebeacon.operators.overview import with_class_weight
 from coursebeacon.operators.ranking import confusion_counts, ranking_metrics, score_histogram
+from coursebeacon.plans.network import fit_network
 from coursebeacon.plans.prefix_scores import staged_scores
 from coursebeacon.schemas import MAX_WEEKS, METRICS, week_columns
 from coursebeacon.session import checkpoint_root, staged
@@ -79,7 +80,7 @@ def train_sequence(train: DataFrame, max_weeks: int = MAX_WEEKS, **parameters) -
     def features(df: DataFrame) -> DataFrame:
         return with_sequence(df, max_weeks)
 
-    model = MultilayerPerceptronClassifier(labelCol="label", **settings).fit(features(train))
+    model = fit_network(features(train), MultilayerPerceptronClassifier(labelCol="label", **settings))
     return model, scorer(model, features, weekly=True)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from coursebeacon.functions.scalars import hash_below, label_at, model_score
 from coursebeacon.operators.overview import with_class_weight
 from coursebeacon.operators.ranking import confusion_counts, ranking_metrics, score_histogram
+from coursebeacon.plans.boosting import fit_boosting
 from coursebeacon.plans.network import fit_network
 from coursebeacon.plans.prefix_scores import staged_scores
 from coursebeacon.schemas import MAX_WEEKS, METRICS, week_columns
@@ -67,9 +68,8 @@ def predict(df: DataFrame, score: Scorer, inclusive: bool = True) -> DataFrame:
 
 
 def train_boosting(train: DataFrame, **parameters) -> tuple[object, Scorer]:
-    """Gradient boosted trees on all features. The long lineage is cut by the trainer's checkpoints."""
-    checkpoint_root(train.sparkSession)
-    model = GBTClassifier(labelCol="label", **{**BOOSTING, **parameters}).fit(with_all_features(train))
+    """Gradient boosted trees on all features. The long lineage is cut by checkpoints."""
+    model = fit_boosting(with_all_features(train), GBTClassifier(labelCol="label", **{**BOOSTING, **parameters}))
     return model, scorer(model, with_all_features, weekly=True)
 
 

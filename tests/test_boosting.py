@@ -74,6 +74,16 @@ def test_boosting_passes_rows_in_numpy(weekly, passed_to_library):
     assert train.quality(score(weekly)).first()["auc_roc"] > 0.8
 
 
+def test_baselines_hold_all_trees_of_the_baseline_model(weekly, monkeypatch):
+    asked = []
+    monkeypatch.setattr(train, "fit_boosting", lambda given, e: asked.append((given.count(), e)) or boosting.fit_boosting(given, e.copy({e.maxIter: 2})))
+    scores = train.train_baselines(weekly)
+    assert list(scores) == ["logistic_regression", "random_forest", "boosting"]
+    [(n, e)] = asked
+    assert n == weekly.count() and (e.getMaxIter(), e.getStepSize(), e.getMaxDepth(), e.getSubsamplingRate()) == (300, 0.05, 3, 0.9)
+    assert train.quality(scores["boosting"](weekly)).first()["auc_roc"] > 0.8
+
+
 def test_parts_of_the_rows_are_drawn_for_each_tree(spark):
     rows = table(spark, 2000)
     seen = []

@@ -37,9 +37,14 @@ def with_week_index(vle: DataFrame, calendar: DataFrame) -> DataFrame:
     return vle.join(calendar, COURSE).withColumn("week_idx", week_index("date", "min_date"))
 
 
-def learner_weeks(vle: DataFrame, info: DataFrame, join_keys: str = "student") -> tuple[DataFrame, list[str]]:
-    """Weekly sums at the finest grain that does not depend on the enrolment, with its key."""
-    calendar = course_calendar(vle, info)
+def learner_weeks(
+    vle: DataFrame, info: DataFrame, join_keys: str = "student", calendar: DataFrame | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Weekly sums at the finest grain that does not depend on the enrolment, with its key.
+
+    ``calendar`` is that of the log, where it is known already.
+    """
+    calendar = course_calendar(vle, info) if calendar is None else calendar
     clicks = F.sum("sum_click").alias("sum_click")
     if not has_course(vle):
         days = vle.groupBy("id_student", "date").agg(clicks)

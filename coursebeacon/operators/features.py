@@ -18,6 +18,7 @@ class Inputs:
     student_vle: DataFrame
     assessments: DataFrame
     student_assessment: DataFrame
+    calendar: DataFrame | None = None  # of the click log, where it is known already
 
 
 def with_profiles(enrolled: DataFrame, inputs: Inputs, join_keys: str, max_weeks: int) -> DataFrame:
@@ -28,7 +29,7 @@ def with_profiles(enrolled: DataFrame, inputs: Inputs, join_keys: str, max_weeks
     learner can be scored in many courses without clicks, whose rows stay two numbers instead of all weeks. Where
     both sides come by different keys (logs without course columns) they are joined instead.
     """
-    weeks, click_keys = learner_weeks(inputs.student_vle, inputs.student_info, join_keys)
+    weeks, click_keys = learner_weeks(inputs.student_vle, inputs.student_info, join_keys, inputs.calendar)
     scores, score_keys = score_sums(inputs.student_assessment, inputs.assessments, join_keys)
     clicked = [*click_aggregates(max_weeks), (F.count("week_idx") > 0).alias("has_clicks")]
     if click_keys == score_keys == ["id_student"]:

@@ -35,7 +35,7 @@ class ClickScaler:
 
     @staticmethod
     def fit(df: DataFrame, max_weeks: int = MAX_WEEKS) -> "ClickScaler":
-        return ClickScaler.of_table(scaler_table(df, max_weeks), max_weeks)
+        return ClickScaler._of_rows(scaler_table(df, max_weeks).collect(), max_weeks)
 
     @staticmethod
     def of_table(table: DataFrame, max_weeks: int = MAX_WEEKS) -> "ClickScaler":
@@ -47,9 +47,12 @@ class ClickScaler:
         wrong = (F.col("n") > 1) | F.col("week").isNull() | (F.col("week") < 0)
         if not stored.filter(wrong).isEmpty():
             raise ValueError("a scaler table needs one row for each week from 0 on")
-        rows = {r["week"]: (0.0 if r["min"] is None else r["min"], 1.0 if r["max"] is None else r["max"])
-                for r in stored.filter(F.col("week") < max_weeks).collect()}
-        return ClickScaler(tuple(rows.get(k) for k in range(max_weeks)))
+        return ClickScaler._of_rows(stored.filter(F.col("week") < max_weeks).collect(), max_weeks)
+
+    @staticmethod
+    def _of_rows(rows: list, max_weeks: int) -> "ClickScaler":
+        known = {r["week"]: (0.0 if r["min"] is None else r["min"], 1.0 if r["max"] is None else r["max"]) for r in rows}
+        return ClickScaler(tuple(known.get(k) for k in range(max_weeks)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         known = dict(zip(week_columns(len(self.ranges)), self.ranges))

@@ -205,3 +205,74 @@ def test_backlog_parts_are_several_tasks(spark, monkeypatch):
         assert days and (lowest is None or max(days) <= lowest)
         lowest = min(days)
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(4000))
+
+
+SERIES = "id_student long, weeks array<long>, last_week int, n_updates long"
+
+
+def put(spark, alerts, n, *rows):
+    alerts(spark.createDataFrame([(i, w, 1, n) for i, w in rows], SERIES), n)
+
+
+def newest_rows(spark, out):
+    rows = batch_store.merge_newest(["student_uid", "week"])(batch_store.read_table(spark, f"{out}/alerts"))
+    return Counter((r.student_uid, r.week, r.prob_risk, r.theta_t, r.alert) for r in rows.collect())
+
+
+def merged(table):
+    return "Aggregate" in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_running_alerts_merge_only_weeks_that_have_not_been_put_out_whole(spark, tmp_path):
+    enrolled = spark.createDataFrame(
+        [(1, "a", True), (1, "b", True), (1, "x", False), (2, "c", True), (3, "d", False), (4, "e", True), (None, "f", True)],
+        "id_student long, student_uid string, scored boolean")
+    theta = spark.createDataFrame([(0, 0.5), (1, 0.5)], "week int, theta_t double")
+    alerts = running_alerts.RunningAlerts(spark, str(tmp_path), enrolled, theta, max_weeks=2)
+
+    def found():
+        table = alerts.read()
+        assert table.columns == ["student_uid", "week", "prob_risk", "theta_t", "alert"]
+        rows = Counter(tuple(r) for r in table.collect())
+        assert rows == newest_rows(spark, tmp_path) and max(rows.values()) == 1
+        return merged(table), len(rows)
+
+    put(spark, alerts, 0, (1, [0, 0]), (2, [4, 8]), (3, [8, 8]))
+    assert found() == (False, 6)  # the only batch
+    put(spark, alerts, 1, (4, [2, 2]))
+    assert found() == (True, 8)  # no week is put out whole
+    put(spark, alerts, 2, (2, [4, 9]))  # the second week is
+    assert found() == (True, 8)
+    assert {r.week: r.since for r in spark.read.parquet(f"{tmp_path}/scales/batch_id=2").collect()} == {0: 0, 1: 2}
+    put(spark, alerts, 3, (3, [16, 8]))  # both are
+    assert found() == (False, 8)
+    (tmp_path / "alerts" / "batch_id=7").mkdir()  # a batch whose writing has begun
+    assert found() == (False, 8)
+
+
+def test_running_alerts_read_what_was_written_before(spark, tmp_path):
+    """Scales without the batch in which a week was put out whole, rows that share a key, and merged batches."""
+    enrolled = spark.createDataFrame([(1, "a", True), (1, "a", True), (2, "b", True)], "id_student long, student_uid string, scored boolean")
+    theta = spark.createDataFrame([(0, 0.5)], "week int, theta_t double")
+    alerts = running_alerts.RunningAlerts(spark, str(tmp_path), enrolled, theta, max_weeks=1)
+    put(spark, alerts, 0, (1, [0]), (2, [4]))
+    scales = spark.createDataFrame(spark.read.parquet(f"{tmp_path}/scales/batch_id=0").drop("since").collect())
+    runner.batch_table(f"{tmp_path}/scales")(scales.select(F.col("week").cast("int"), *scales.columns[1:]), 0)
+    for n, row in ((1, (1, [2])), (2, (2, [6])), (15, (1, [1]))):  # the last one is followed by a merge
+        put(spark, alerts, n, row)
+        rows = Counter(tuple(r) for r in alerts.read().collect())
+        assert rows == newest_rows(spark, tmp_path) and {r[0]: n for r, n in rows.items()} == {"a": 1, "b": 1}
+    assert batch_store.current(spark, f"{tmp_path}/alerts").upto == 2
+
+
+def test_thresholds_are_taken_from_the_inputs_of_the_stream(spark, small, monkeypatch):
+    from coursebeacon.catalog import entries
+
+    written, lines = [], entries.relational.written_lines
+    monkeypatch.setattr(entries.relational, "written_lines", lambda *where: written.append(where) or lines(*where))
+    i, calendar, *_ = entries._click_stream(spark, small)
+    theta = entries._risk_thresholds(spark, small, i)
+    assert len(written) == 1 and theta.count() == 20 and i.calendar is calendar
+    sweep = entries.thresholds.threshold_sweep(entries._histogram(spark, small).filter("mode = 'risk'"), ["mode", "week"])
+    want = entries.thresholds.select_thresholds(sweep, ["mode", "week"], entries.thresholds.Strategy("f1"))
+    assert {(r.week, r.theta_t) for r in theta.collect()} == {(r.week, r.theta) for r in want.collect()}

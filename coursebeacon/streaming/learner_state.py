@@ -20,7 +20,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from coursebeacon.operators.activity import with_week_index
 from coursebeacon.schemas import COURSE, MAX_WEEKS
 
-SERIES = "id_student BIGINT, weeks ARRAY<BIGINT>, last_week INT, n_updates BIGINT"
 #: Per learner of a bucket, ordered by id: id, clicks of all weeks, last week, number of updates; 64-bit numbers.
 STATE = "learners BINARY"
 #: A stream that has begun keeps its number of buckets.
@@ -47,13 +46,16 @@ def _adder(max_weeks: int):
         changed = np.searchsorted(ids, touched)
         table[changed, max_weeks + 2] += 1
         state.update((table.tobytes(),))
-        out = table[changed]
-        yield pd.DataFrame({"id_student": out[:, 0], "weeks": list(out[:, 1 : max_weeks + 1]),
-                            "last_week": out[:, max_weeks + 1].astype(np.int32), "n_updates": out[:, max_weeks + 2]})
+        yield pd.DataFrame(table[changed], columns=_columns(max_weeks))
 
     return add
 
 
+def _columns(max_weeks: int) -> list[str]:
+    """Of a row of the table: weeks as columns of their own, as an array per learner would cost most of the step."""
+    return ["id_student", *[f"week_{k}" for k in range(max_weeks)], "last_week", "n_updates"]
+
+
 def summed(records: DataFrame) -> DataFrame:
     """Clicks per learner and week within each batch of records: less to shuffle, the same sums."""
 
@@ -78,9 +80,12 @@ def weekly_series(clicks: DataFrame, calendar: DataFrame, max_weeks: int = MAX_W
     )
     typed = timed.select(F.col("id_student").cast("bigint"), F.col("week_idx").cast("int"), F.col("sum_click").cast("bigint"))
     bucket = F.pmod(F.xxhash64("id_student"), F.lit(BUCKETS)).cast("int")
-    return summed(typed).withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
-        _adder(max_weeks), SERIES, STATE, "update", GroupStateTimeout.NoTimeout
+    columns = _columns(max_weeks)
+    rows = summed(typed).withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _adder(max_weeks), ", ".join(f"{c} BIGINT" for c in columns), STATE, "update", GroupStateTimeout.NoTimeout
     )
+    weeks = F.array(*columns[1 : max_weeks + 1])
+    return rows.select("id_student", weeks.alias("weeks"), F.col("last_week").cast("int"), "n_updates")
 
 
 @dataclass(frozen=True)
